@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, piece_bpe
+from . import exact_dedup, packing, piece_bpe, relative_lz, setsketch
 from .common import table
 
 
@@ -28,14 +28,24 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(spark, "word_bpe_49k.json"))
 
 
+def op9_relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relative_lz.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_setsketch_dedup": op7_setsketch_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_relative_lz_dedup": op9_relative_lz_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -48,4 +58,43 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
     """,
+    "op7_setsketch_dedup": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\x09-\x0D\x20]+'), lambda x: x <> '') AS words FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 2 THEN [words[1]]
+                   ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END) AS shingle FROM w
+        ), n AS (
+            SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id
+        ), shared AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL
+        ), link AS (
+            SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 80 * (na.size + nb.size - common)
+        ), two_way AS (
+            SELECT a, b FROM link UNION SELECT b, a FROM link
+        ), reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, t.b FROM reach r JOIN two_way t ON t.a = r.other
+        )
+        SELECT d.doc_id, coalesce(n.size, 0) AS n_shingles, min(r.other) AS component_id, d.doc_id = min(r.other) AS kept
+        FROM documents d JOIN reach r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id, n.size
+    """,
+    "op9_relative_lz_dedup": """
+        WITH w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS words FROM documents
+        ), win AS (
+            SELECT doc_id, i AS start, md5(array_to_string(words[i : i + 34], ' ')) AS h
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w)
+        ), twice AS (
+            SELECT h FROM win GROUP BY h HAVING count(*) > 1
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(start, start + 35)) AS pos FROM win SEMI JOIN twice USING (h)
+        ), word AS (
+            SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w
+        ), kept AS (
+            SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+        )
+        SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(len(w.words) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM w LEFT JOIN kept k USING (doc_id)
+    """,
 }
