@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import atexit
 import gc
+import shutil
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +20,26 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="tallyspark-")) / "tallyspark_package.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(target))
+    atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
+    _shipped.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,8 +55,6 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _drop_local(at: str) -> None:
-    import shutil
-
     shutil.rmtree(at.removeprefix("file://"), ignore_errors=True)
 
 
@@ -41,6 +62,7 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write `df` as a stage table in the shared folder and read it back: lineage ends at files that
     outlive any executor. Then let Spark drop the shuffle files that led to it."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/stage-{what}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks
+from .common import chunks, ship
 
 SPACE = "▁"
 #: Distinct words that a worker remembers; beyond it forgets all and starts anew.
@@ -221,6 +221,8 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     `digest_batches`). Null and empty texts have no tokens. Texts are encoded whole; a row with a
     null id keeps its null, repeated rows come out repeatedly, other columns are ignored."""
 
+    ship(docs.sparkSession)
+
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from digest_batches(batches, model_path)
 

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, piece_bpe, relative_lz, setsketch
-from .common import table
+from . import exact_dedup, language_id, packing, piece_bpe, quality, relative_lz, rp_forest, setsketch, toxicity
+from .common import remainder, table
 
 
 def tokenizer_file(spark: SparkSession, name: str) -> str:
@@ -20,10 +20,24 @@ def tokenizer_file(spark: SparkSession, name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_rp_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file(spark, "piece_bpe_32k.model"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_id.predict_language(table(spark, sf_dir, "documents"), may_learn=remainder("doc_id", 3) != 1)
+    return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), may_learn=remainder("doc_id", 4) != 2)
+    return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -40,12 +54,21 @@ def op9_relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relative_lz.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), may_learn=remainder("doc_id", 5) != 0)
+    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_rp_forest_dedup": op1_rp_forest_dedup,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_language_id": op3_language_id,
+    "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_setsketch_dedup": op7_setsketch_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_relative_lz_dedup": op9_relative_lz_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
@@ -97,4 +120,20 @@ ORACLES: dict[str, str] = {
         SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(len(w.words) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
         FROM w LEFT JOIN kept k USING (doc_id)
     """,
+    "op1_rp_forest_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), link AS (
+            SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+            WHERE list_cosine_similarity(x.e, y.e) >= 0.98
+        ), reach(vec_id, other) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN link l ON l.a = r.other
+        ), n AS (
+            SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a
+        )
+        SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, min(r.other) AS component_id, e.vec_id = min(r.other) AS kept
+        FROM embeddings e JOIN reach r USING (vec_id) LEFT JOIN n USING (vec_id) GROUP BY e.vec_id, n.n_links
+    """,
 }
