@@ -13,6 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
     n = len(texts)
     if not n:
         return
-    lengths = np.nan_to_num(np.asarray(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), dtype=float)).astype(np.int64)
+    lengths = np.nan_to_num(np.asarray(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=float)).astype(np.int64)
     total = np.cumsum(lengths)
     at = 0
     while at < n:

@@ -60,5 +60,5 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows with a null id stay, as they cannot be told apart; rows that repeat an id are kept or
     dropped together. A text that only rows of a null id carry besides is not affected by them."""
-    out = duplicate_groups(docs, id_col, text_col, hot_keys).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped_id"))
-    return docs.join(out.where(F.col("_dropped_id").isNotNull()).distinct(), F.col(id_col) == F.col("_dropped_id"), "left_anti")
+    out = duplicate_groups(docs, id_col, text_col, hot_keys).where(~F.col("kept")).select(F.col("doc_id").alias("__tallyspark_dropped"))
+    return docs.join(out.where(F.col("__tallyspark_dropped").isNotNull()).distinct(), F.col(id_col) == F.col("__tallyspark_dropped"), "left_anti")

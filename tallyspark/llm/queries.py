@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, packing, piece_bpe, quality, relative_lz, rp_forest, setsketch, toxicity
+from . import exact_dedup, language_id, packing, pii, piece_bpe, quality, relative_lz, rp_forest, setsketch, toxicity
 from .common import remainder, table
 
 
@@ -42,6 +42,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op7_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_pii": op6_pii,
     "op7_setsketch_dedup": op7_setsketch_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_relative_lz_dedup": op9_relative_lz_dedup,

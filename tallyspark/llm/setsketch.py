@@ -202,5 +202,5 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = SIMILARITY) -> DataFrame:
     """The rows of `docs` that `near_duplicates` keeps, with all their columns."""
-    gone = near_duplicates(docs, id_col, text_col, shingle_words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped_id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_dropped_id"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, shingle_words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__tallyspark_dropped")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__tallyspark_dropped"), "left_anti")

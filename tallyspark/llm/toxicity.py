@@ -224,8 +224,26 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = lexicon.matcher()
         for batch in batches:
-            x = np.array([matcher.strengths(t) for _, texts in chunks(batch.column(1)) for t in texts]).reshape(batch.num_rows, -1)
-            score = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30))) if len(x) else np.empty(0)
+            score = scores(matcher, weights, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(job, "doc_id long, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows of `docs` that `score_toxicity` does not call toxic, with all their columns."""
+    lexicon, weights = learn(docs, labels, may_learn, id_col, text_col, label_col)
+    at = docs.columns.index(text_col)
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = lexicon.matcher()
+        for batch in batches:
+            score = scores(matcher, weights, batch.column(at))
+            yield batch.filter(pa.array(score < THRESHOLD, pa.bool_()))
+
+    return docs.mapInArrow(job, docs.schema)
+
+
+def scores(matcher: Matcher, weights: np.ndarray, column: pa.Array) -> np.ndarray:
+    x = np.array([matcher.strengths(t) for _, texts in chunks(column) for t in texts]).reshape(len(column), -1)
+    return 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30))) if len(x) else np.empty(0)
