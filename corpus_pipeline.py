@@ -5,23 +5,47 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyspark.llm import exact_dedup, packing
-from tallyspark.llm.common import shared_dir, table
+from tallyspark.llm import exact_dedup, packing, pii, setsketch, toxicity
+from tallyspark.llm.common import remainder, shared_dir, table
 from tallyspark.llm.queries import tokenizer_file
 
 
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; it learns from the rows of `labels` that
+    op10_toxicity learns from."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"), may_learn=remainder("doc_id", 5) != 0)
+
+
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents equal but for the case of A-Z, the one with the largest id stays."""
     return exact_dedup.drop_duplicates(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 or more of their five-word shingles, the one with
+    the smallest id stays."""
+    return setsketch.drop_near_duplicates(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data give way to their kind in brackets; n_chars follows the text."""
+    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's tokens, placed in sequences of at most 2048."""
     return packing.pack(docs, tokenizer_file(spark, "word_bpe_49k.json"))
 
 
-STAGES = [("exact dedup", exact_duplicates), ("best-fit packing", best_fit_packing)]
+STAGES = [
+    ("toxicity", toxic_documents),
+    ("exact dedup", exact_duplicates),
+    ("near-duplicates", near_duplicates),
+    ("personal data", personal_data),
+    ("best-fit packing", best_fit_packing),
+]
 
 #: SQL cannot express the learned stages; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
