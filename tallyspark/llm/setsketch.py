@@ -34,6 +34,8 @@ SPACING, SHIFT, TOP = 1.004, 12000, 65535
 #: An estimate may fall short of the threshold by this much; at 200 registers that is over six
 #: standard errors at similarity 0.8.
 SLACK = 0.18
+#: Members of a band that are compared in one task, and rows that one call gets at about.
+TASK, BOX = 1024, 8192
 SHINGLE_WORDS, SIMILARITY = 5, 80
 
 _FACTORS = np.random.default_rng(0x5E75).integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -163,20 +165,16 @@ def near_duplicates(
 
     stars = keyed.select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.n").alias("n_a"), F.col("n").alias("n_b"))
     stars = materialise(stars.where(close).distinct(), "stars")
-    links = materialise(_verified(stars, reps, docs, id_col, text_col, shingle_words, percent), "star_links")
+    likely = stars
+    for side in "ab":
+        likely = likely.join(reps.select(F.col("id").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+    likely = materialise(likely.mapInPandas(_estimated(percent / 100 - SLACK), "a long, b long").distinct(), "likely")
+    links = materialise(_confirmed_links(likely, docs, id_col, text_col, shingle_words, percent), "star_links")
     parts = materialise(connected_components(links), "parts")
 
-    grouped = keyed.select("key", "id", "n").join(parts, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component_id", "id").alias("part"))
-    mixed = grouped.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    members = materialise(grouped.join(mixed, "key"), "open")
-    present = members.select("key", "part").distinct()
-    apart = present.toDF("key", "part_a").join(present.toDF("key", "part_b"), "key").where("part_a < part_b")
-    for side in "ab":
-        apart = apart.join(members.toDF("key", side, f"n_{side}", f"part_{side}"), ["key", f"part_{side}"])
-    cross = apart.where(close).select("a", "b", "n_a", "n_b").distinct()
-    seen = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    cross = materialise(cross.join(seen, ["a", "b"], "left_anti"), "cross")
-    more = _verified(cross, reps, docs, id_col, text_col, shingle_words, percent)
+    likely = _across(keyed.select("key", "id", "n"), parts, reps, percent)
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = _confirmed_links(materialise(likely.distinct().join(tried, ["a", "b"], "left_anti"), "cross"), docs, id_col, text_col, shingle_words, percent)
 
     # A class joins its members, links join classes, and rows that share an id join theirs.
     shared = member.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select(F.col("low").alias("a"), F.col("high").alias("b"))
@@ -187,11 +185,61 @@ def near_duplicates(
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that the sketches do not rule out and the full sets confirm."""
-    for side in "ab":
-        pairs = pairs.join(reps.select(F.col("id").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
-    likely = materialise(pairs.mapInPandas(_estimated(percent / 100 - SLACK), "a long, b long").distinct(), "likely")
+def _across(keyed: DataFrame, parts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one band, of different components so far, that the sketches do not rule out.
+
+    In each band the largest component's members need only meet the others, not each other, so the
+    work grows with the band's size times the number of others. A band of more than `TASK` members is
+    cut into blocks of both kinds, and pairs of blocks are compared in tasks of their own. Sketches are
+    compared inside the tasks; only likely pairs leave them."""
+    grouped = keyed.join(parts, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component_id", "id").alias("part"))
+    counts = grouped.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size"))
+    mixed = counts.groupBy("key").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.max("size").alias("n_main"), F.sum("size").alias("n_all")).where("n_all > n_main")
+    members = materialise(grouped.join(mixed, "key").join(reps.select("id", "sketch"), "id"), "open")
+    total = members.count()
+    inner, whole = F.col("part") == F.col("main"), F.col("n_all") <= TASK
+    main_blocks, other_blocks = F.ceil(F.col("n_main") / TASK), F.ceil((F.col("n_all") - F.col("n_main")) / TASK)
+    own = F.pmod(F.xxhash64("id"), F.when(inner, main_blocks).otherwise(other_blocks))
+    # Tasks of a member: (left block, right block, side); blocks of the main component count from -1 down.
+    task = lambda i, j, side: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), side.cast("int").alias("side"))
+    zero = F.lit(0)
+    with_others = F.transform(F.sequence(zero, other_blocks - 1), lambda j: task(-1 - F.col("own"), j, zero))
+    with_main = F.transform(F.sequence(zero, main_blocks - 1), lambda i: task(-1 - i, F.col("own"), F.lit(1)))
+    among = F.transform(F.sequence(zero, other_blocks - 1), lambda j: task(F.least("own", j), F.greatest("own", j), F.when(F.col("own") == j, -1).when(F.col("own") < j, 0).otherwise(1)))
+    tasks = F.when(whole, F.array(task(zero, zero, F.lit(-1)))).when(inner, with_others).otherwise(F.concat(with_main, among))
+    dealt = members.withColumn("own", own).withColumn("t", F.explode(tasks)).select(F.xxhash64("key", "t.i", "t.j").alias("task"), "t.side", "id", "n", "part", "sketch")
+    box = F.pmod(F.xxhash64("task"), F.lit(max(1, -(-total // BOX))))
+    return dealt.groupBy(box.alias("box")).applyInArrow(_compared(percent), "a long, b long")
+
+
+def _compared(percent: int):
+    def job(table: pa.Table) -> pa.Table:
+        task, side, ids, n, part = (table.column(c).to_numpy() for c in ("task", "side", "id", "n", "part"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
+        order = np.argsort(task, kind="stable")
+        bounds = np.flatnonzero(np.diff(task[order], prepend=task[order[0]] - 1, append=task[order[-1]] + 1)) if len(order) else []
+        found = [np.empty((2, 0), dtype=np.int64)]
+        for start, end in zip(bounds[:-1], bounds[1:], strict=True):
+            rows = order[start:end]
+            left, right = rows[side[rows] != 1], rows[side[rows] != 0]
+            step = max(1, 40_000 // max(len(right), 1))
+            for at in range(0, len(left), step):
+                x, y = np.repeat(left[at : at + step], len(right)), np.tile(right, len(left[at : at + step]))
+                low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+                open_ = (part[x] != part[y]) & (100 * low >= percent * high)
+                open_ &= (ids[x] < ids[y]) | (side[x] != -1)  # a block that meets itself needs each pair once
+                x, y = x[open_], y[open_]
+                if len(x):
+                    near = similarity(sketch[x], sketch[y], n[x].astype(float), n[y].astype(float)) >= percent / 100 - SLACK
+                    found.append(np.sort(np.stack((ids[x[near]], ids[y[near]])), axis=0))
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+
+    return job
+
+
+def _confirmed_links(likely: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that the full sets of the texts confirm."""
     wanted = materialise(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
     sets = materialise(_full_sets(texts, k), "sets")
