@@ -72,6 +72,14 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a stage table that nothing will read any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remainder(key: str, by: int) -> Column:
     """crc32 of the id written as decimal text, modulo `by`; null for a null id."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % by

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise, mix, runs, word_hashes, word_spans
+from .common import chunks, discard, materialise, mix, runs, word_hashes, word_spans
 
 WINDOW, SEED = 35, 16
 #: Words beside an anchor that a window around it can reach, and the words of a phrase.
@@ -77,7 +77,7 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text, hits) to one row for each hit, with the phrase as 32-bit word hashes."""
+    """(text_no, text, hits) to one row for each hit, with the phrase as 32-bit word hashes."""
     columns = np.arange(PHRASE) - REACH
     for batch in batches:
         for at, texts in chunks(batch.column(1)):
@@ -97,8 +97,8 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 phrase = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * 4 * PHRASE), pa.py_buffer(raw)])
                 left, right = np.minimum(place[part], REACH), np.minimum(size[part] - SEED - place[part], REACH)
                 key = batch.column(0).take(pa.array(row[part] + at))
-                arrays = [key, pa.array(place[part].astype(np.int32)), pa.array(seed[part]), pa.array(copies[part]), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), phrase]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "place", "seed", "copies", "left", "right", "phrase"])
+                arrays = [key, pa.array(place[part].astype(np.int32)), pa.array(seed[part]), pa.array(copies[part].astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), phrase]
+                yield pa.RecordBatch.from_arrays(arrays, names=["text_no", "place", "seed", "copies", "left", "right", "phrase"])
 
 
 def factor_block(block: pa.Table) -> pa.Table:
@@ -133,7 +133,7 @@ def factor_block(block: pa.Table) -> pa.Table:
     row, column = np.nonzero(valid)
     own = windows[row, column] ^ mix(group[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
     # A window with two occurrences of its anchor is in two phrases; it still starts in one place.
-    text = block.column("key").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+    text = np.unique(block.column("text_no").to_numpy(), return_inverse=True)[1]
     begin = (text[row] << 32) + (place - REACH)[row] + column
     _, one, inverse = np.unique(own, return_index=True, return_inverse=True)
     first, last = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
@@ -145,14 +145,14 @@ def factor_block(block: pa.Table) -> pa.Table:
 
     base = place - REACH
     found = np.flatnonzero(high > 0)
-    spans = {"key": block.column("key").take(pa.array(found)), "start": pa.array(base[found] + low[found]), "end": pa.array(base[found] + high[found])}
+    spans = {"text_no": block.column("text_no").take(pa.array(found)), "start": pa.array(base[found] + low[found]), "end": pa.array(base[found] + high[found])}
     spans |= {"window": pa.nulls(len(found), pa.int64()), "seed": pa.nulls(len(found), pa.int64()), "settled": pa.array(np.ones(len(found), dtype=bool))}
     # One entry for each distinct window of anchors that were dealt to several blocks.
     wide = one[copies[row[one]] > BLOCK_COPIES]
     r, c = row[wide], column[wide]
-    more = {"key": block.column("key").take(pa.array(r)), "start": pa.array(base[r] + c), "end": pa.array(base[r] + c + WINDOW)}
+    more = {"text_no": block.column("text_no").take(pa.array(r)), "start": pa.array(base[r] + c), "end": pa.array(base[r] + c + WINDOW)}
     more |= {"window": pa.array(windows[r, c].view(np.int64)), "seed": pa.array(seed[r]), "settled": pa.array(twice[wide])}
-    schema = pa.schema([("key", pa.binary()), ("start", pa.int64()), ("end", pa.int64()), ("window", pa.int64()), ("seed", pa.int64()), ("settled", pa.bool_())])
+    schema = pa.schema([("text_no", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("window", pa.int64()), ("seed", pa.int64()), ("settled", pa.bool_())])
     return pa.concat_tables([pa.table(x).cast(schema) for x in (spans, more)])
 
 
@@ -161,28 +161,33 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans, an array of (start, end) in words, end exclusive. A text that several rows have repeats
     as a whole, its spans are then of no further interest."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), _key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    index = materialise(rows.mapInArrow(_indexed, "id long, key binary, n_words long, seeds array<long>, places array<int>"), "anchors")
-    texts = materialise(index.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_words").alias("n_words")), "texts")
-    named = (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("rep"))
-    first = index.join(texts.select(F.col("key").alias("_key"), "rep"), named, "left_semi")
-    entries = first.select("key", F.explode(F.arrays_zip("seeds", "places")).alias("e")).select(F.col("e.seeds").alias("seed"), "key", F.col("e.places").alias("place")).distinct()
-    seeds = entries.groupBy("seed").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    hits = entries.join(seeds, "seed").groupBy("key").agg(F.collect_list(F.struct("seed", "copies", "place")).alias("hits"))
-    hits = materialise(hits.join(texts.select("key", "rep"), "key"), "hits")
+    index = rows.mapInArrow(_indexed, "id long, key binary, n_words long, seeds array<long>, places array<int>")
+    index = materialise(index.withColumn("row", F.monotonically_increasing_id()), "anchors")
+    # One row stands for each distinct text; its number names the text from here on.
+    texts = index.groupBy("key").agg(F.min_by(F.struct("row", "id"), "row").alias("one"), F.count(F.lit(1)).alias("copies"), F.max("n_words").alias("n_words"))
+    texts = materialise(texts.select("key", F.col("one.row").alias("text_no"), F.col("one.id").alias("rep"), "copies", "n_words"), "texts")
+    first = index.select("row", "seeds", "places").join(texts.select(F.col("text_no").alias("row")), "row", "left_semi")
+    entries = first.select("row", F.explode(F.arrays_zip("seeds", "places")).alias("e")).select(F.col("e.seeds").alias("seed"), F.col("row").alias("text_no"), F.col("e.places").alias("place"))
+    seeds = entries.groupBy("seed").agg(F.count(F.lit(1)).cast("int").alias("copies")).where("copies > 1")
+    hits = entries.join(seeds, "seed").groupBy("text_no").agg(F.collect_list(F.struct("seed", "copies", "place")).alias("hits"))
+    hits = materialise(hits.join(texts.select("text_no", "key", "rep"), "text_no"), "hits")
+    discard(index)
     total = hits.agg(F.sum(F.size("hits"))).first()[0] or 0
 
-    phrases = rows.join(hits.select(F.col("key").alias("_key"), "rep", "hits"), named).select("key", "text", "hits")
-    phrases = phrases.mapInArrow(_phrases, "key binary, place int, seed long, copies long, left int, right int, phrase binary")
-    phrases = phrases.withColumn("salt", F.pmod(F.xxhash64("key", "place"), F.ceil(F.col("copies") / BLOCK_COPIES)))
+    named = (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("rep"))
+    phrases = rows.join(hits.select(F.col("key").alias("_key"), "rep", "text_no", "hits"), named).select("text_no", "text", "hits")
+    phrases = phrases.mapInArrow(_phrases, "text_no long, place int, seed long, copies int, left int, right int, phrase binary")
+    phrases = phrases.withColumn("salt", F.pmod(F.xxhash64("text_no", "place"), F.ceil(F.col("copies") / BLOCK_COPIES)).cast("int"))
     block = F.pmod(F.xxhash64("seed", "salt"), F.lit(-(-total // BLOCK_PHRASES) or 1))
-    factored = phrases.groupBy(block.alias("block")).applyInArrow(lambda t: factor_block(t), "key binary, start long, end long, window long, seed long, settled boolean")
+    factored = phrases.groupBy(block.alias("block")).applyInArrow(lambda t: factor_block(t), "text_no long, start long, end long, window long, seed long, settled boolean")
     factored = materialise(factored, "factors")
     opened = factored.where("window IS NOT NULL")
-    across = opened.groupBy("seed", "window").agg(F.min(F.struct("key", "start")).alias("low"), F.max(F.struct("key", "start")).alias("high"), F.bool_or("settled").alias("settled"))
+    across = opened.groupBy("seed", "window").agg(F.min(F.struct("text_no", "start")).alias("low"), F.max(F.struct("text_no", "start")).alias("high"), F.bool_or("settled").alias("settled"))
     across = across.where("settled OR low != high").select("seed", "window")
     late = opened.where("NOT settled").join(across, ["seed", "window"])
-    spans = factored.where("window IS NULL").select("key", "start", "end").unionByName(late.select("key", "start", "end"))
-    spans = spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    spans = factored.where("window IS NULL").select("text_no", "start", "end").unionByName(late.select("text_no", "start", "end"))
+    spans = spans.groupBy("text_no").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    spans = spans.join(texts.select("text_no", "key"), "text_no").drop("text_no")
     copied = texts.where(f"copies > 1 AND n_words >= {WINDOW}").select("key", "copies")
     return materialise(copied.join(spans, "key", "full").select("key", F.coalesce("copies", F.lit(1)).alias("copies"), "spans"), "spans")
 
