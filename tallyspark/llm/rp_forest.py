@@ -23,11 +23,13 @@ from .components import connected_components
 
 TREES = 6
 #: Distinct vectors that the splits are fitted on at most, and vectors of it in a leaf at most.
-SAMPLE, LEAF = 20_000, 64
+SAMPLE, LEAF = 20_000, 512
 #: Vectors nearer to a split than this go down both sides. At cosine 0.98 two unit vectors of 64
 #: dimensions differ by 0.025 along a random direction, as a standard deviation.
 SPILL = 0.03
 BLOCK = 2048
+#: Rows that one call of the comparison gets at about.
+BOX = 8192
 COSINE = 0.98
 SEED = 0xF0E57
 
@@ -67,8 +69,11 @@ def usable(vector: Column) -> Column:
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    m = np.array(column.tolist(), dtype=np.float64)
-    m /= np.abs(m).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
+    return _unit(np.array(column.tolist(), dtype=np.float64))
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    m = m / np.abs(m).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
@@ -85,20 +90,27 @@ def _routed(forests: dict[int, Forest]):
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """Pairs (a < b) of one task with cosine >= COSINE. Rows of block `i` meet those of block `j`; in
-    a task of one block (i = j) all of them meet."""
-    ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
-    unit = _matrix(table.column("vector").to_pandas())
-    a, b = [], []
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    for at in range(0, len(left), 512):
-        i, j = np.nonzero(unit[left[at : at + 512]] @ unit[right].T >= COSINE - 1e-9)
-        x, y = left[at + i], right[j]
-        near = ids[x] != ids[y]
-        x, y = x[near], y[near]
-        exact = (unit[x] * unit[y]).sum(axis=1) >= COSINE
-        a.append(np.minimum(ids[x], ids[y])[exact]), b.append(np.maximum(ids[x], ids[y])[exact])
-    pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1) if a else np.empty((2, 0), np.int64)
+    """Pairs (a < b) with cosine >= COSINE of all tasks in the table. Rows of block `i` meet those of
+    block `j`; in a task of one block (i = j) all of them meet."""
+    ids, side, task = (table.column(c).to_numpy() for c in ("id", "side", "task"))
+    vectors = table.column("vector").combine_chunks()
+    vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
+    values, start, size = vectors.flatten().to_numpy(), vectors.offsets.to_numpy()[:-1] - vectors.offsets[0].as_py(), vectors.value_lengths().to_numpy()
+    order = np.argsort(task, kind="stable")
+    bounds = np.flatnonzero(np.diff(task[order], prepend=task[order[0]] - 1, append=task[order[-1]] + 1))
+    found = [np.empty((2, 0), dtype=np.int64)]
+    for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+        rows = order[first:last]
+        unit = _unit(values[start[rows][:, None] + np.arange(size[rows[0]])])  # a task has one dimension
+        left, right = np.flatnonzero(side[rows] != 1), np.flatnonzero(side[rows] != 0)
+        for at in range(0, len(left), 512):
+            i, j = np.nonzero(unit[left[at : at + 512]] @ unit[right].T >= COSINE - 1e-9)
+            x, y = left[at + i], right[j]
+            near = ids[rows[x]] != ids[rows[y]]
+            x, y = x[near], y[near]
+            exact = (unit[x] * unit[y]).sum(axis=1) >= COSINE
+            found.append(np.sort(np.stack((ids[rows[x[exact]]], ids[rows[y[exact]]])), axis=0))
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
     return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
 
@@ -135,11 +147,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     tasks = routed.join(sizes, place).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id", "tree"), F.col("blocks")))
     tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tasks = tasks.select(
-        F.xxhash64(*place).alias("leaf_id"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id",
+        F.xxhash64(*place, F.least("own", "other"), F.greatest("own", "other")).alias("task"), "id",
         F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
     )
     tasks = tasks.join(classes.select("id", "vector"), "id")
-    pairs = tasks.groupBy("leaf_id", "i", "j").applyInArrow(_compare, "a long, b long")
+    boxes = max(1, -(-routed.count() // BOX))
+    pairs = tasks.groupBy(F.pmod(F.xxhash64("task"), F.lit(boxes)).alias("box")).applyInArrow(_compare, "a long, b long")
     pairs = materialise(pairs.distinct(), "pairs")
 
     # Back from classes to vectors.
