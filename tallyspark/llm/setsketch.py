@@ -2,13 +2,14 @@
 
 Each distinct shingle set gets `REGISTERS` registers: exponentially spaced, truncated minima of
 exponential hash values, so that sketches merge by maximum and equal registers grow likelier with
-similarity. Runs of `ROWS` registers are band keys. Texts of a band meet in two rounds:
+similarity. Runs of `ROWS` registers are band keys. Texts of a band meet in three rounds:
 
 1. every member is compared with its band's smallest id; confirmed links give first components;
-2. members of one band that are not yet in one component are compared with each other.
+2. every member is compared with the likeliest member of another component that its band has;
+3. members of one band that are still in different components are all compared with each other.
 
-So a large group of copies costs one comparison for each member and band, not one for each pair,
-and no link between components is lost. A pair is first judged by the sketches alone: the
+So a large group of near copies costs a few comparisons for each member and band, not one for each
+pair, and no link between components is lost. A pair is first judged by the sketches alone: the
 similarity is estimated by maximum likelihood from the counts of greater, equal and smaller
 registers and the known set sizes, and far pairs go. All others are confirmed on their full sets.
 """
@@ -59,28 +60,39 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(exponential) / np.log(SPACING)) + SHIFT, 0, TOP).astype("<u2")
 
 
-def similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
-    """Maximum likelihood estimate of the Jaccard similarity of pairs of sketches (rows of a and b)."""
+def register_counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greater, smaller and equal registers of pairs of sketches (rows of a and b)."""
     over, under = (a > b).sum(axis=1), (a < b).sum(axis=1)
-    same = a.shape[1] - over - under
-    u, v = size_a / (size_a + size_b), size_b / (size_a + size_b)
-    low, high = np.zeros(len(u)), np.minimum(u / v, v / u)
+    return over, under, a.shape[1] - over - under
+
+
+def _likelihood(j: np.ndarray | float, counts: tuple[np.ndarray, np.ndarray, np.ndarray], u: np.ndarray) -> np.ndarray:
+    """Log likelihood of a similarity; u is the first set's share of both sizes."""
+
+    def share(x: np.ndarray) -> np.ndarray:
+        return -np.log1p(-np.clip(x, 0, 1) * (SPACING - 1) / SPACING) / np.log(SPACING)
 
-    def likelihood(j: np.ndarray) -> np.ndarray:
-        def share(x: np.ndarray) -> np.ndarray:
-            return -np.log1p(-np.clip(x, 0, 1) * (SPACING - 1) / SPACING) / np.log(SPACING)
+    p, q, tiny = share(u - (1 - u) * j), share(1 - u - u * j), 1e-12
+    return counts[0] * np.log(p + tiny) + counts[1] * np.log(q + tiny) + counts[2] * np.log(np.maximum(1 - p - q, tiny))
 
-        p, q = share(u - v * j), share(v - u * j)
-        tiny = 1e-12
-        return over * np.log(p + tiny) + under * np.log(q + tiny) + same * np.log(np.maximum(1 - p - q, tiny))
 
+def similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Maximum likelihood estimate of the Jaccard similarity of pairs of sketches (rows of a and b)."""
+    counts, u = register_counts(a, b), size_a / (size_a + size_b)
+    low, high = np.zeros(len(u)), np.minimum(u / (1 - u), (1 - u) / u)
     for _ in range(40):  # the likelihood is concave: narrow down from both sides
         x, y = low + (high - low) * 0.382, low + (high - low) * 0.618
-        left = likelihood(x) > likelihood(y)
+        left = _likelihood(x, counts, u) > _likelihood(y, counts, u)
         high, low = np.where(left, y, high), np.where(left, low, x)
     return (low + high) / 2
 
 
+def estimated_above(least: float, counts: tuple[np.ndarray, np.ndarray, np.ndarray], size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether `similarity` is `least` or more: as the likelihood is concave, where it still rises there."""
+    u = size_a / (size_a + size_b)
+    return _likelihood(least + 1e-5, counts, u) > _likelihood(least - 1e-5, counts, u)
+
+
 def sketched(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """doc_id, n_shingles, set_key (128 bits of the set) and sketch; both null for an empty set."""
 
@@ -114,7 +126,7 @@ def _estimated(least: float):
         for pdf in parts:
             if len(pdf):
                 a, b = (np.frombuffer(b"".join(pdf[c]), dtype="<u2").reshape(len(pdf), REGISTERS) for c in ("sketch_a", "sketch_b"))
-                yield pdf.loc[similarity(a, b, pdf["n_a"].to_numpy(float), pdf["n_b"].to_numpy(float)) >= least, ["a", "b"]]
+                yield pdf.loc[estimated_above(least, register_counts(a, b), pdf["n_a"].to_numpy(float), pdf["n_b"].to_numpy(float)), ["a", "b"]]
 
     return job
 
@@ -172,9 +184,14 @@ def near_duplicates(
     links = materialise(_confirmed_links(likely, docs, id_col, text_col, shingle_words, percent), "star_links")
     parts = materialise(connected_components(links), "parts")
 
-    likely = _across(keyed.select("key", "id", "n"), parts, reps, percent)
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _confirmed_links(materialise(likely.distinct().join(tried, ["a", "b"], "left_anti"), "cross"), docs, id_col, text_col, shingle_words, percent)
+    best = materialise(_across(keyed.select("key", "id", "n"), parts, reps, percent, True).distinct().join(tried, ["a", "b"], "left_anti"), "best")
+    links = _confirmed_links(best, docs, id_col, text_col, shingle_words, percent)
+    parts = materialise(connected_components(materialise(parts.toDF("a", "b").unionByName(links), "linked")), "parts")
+
+    rest = _across(keyed.select("key", "id", "n"), parts, reps, percent, False)
+    rest = materialise(rest.distinct().join(tried.unionByName(best), ["a", "b"], "left_anti"), "cross")
+    more = _confirmed_links(rest, docs, id_col, text_col, shingle_words, percent)
 
     # A class joins its members, links join classes, and rows that share an id join theirs.
     shared = member.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select(F.col("low").alias("a"), F.col("high").alias("b"))
@@ -185,8 +202,9 @@ def near_duplicates(
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _across(keyed: DataFrame, parts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one band, of different components so far, that the sketches do not rule out.
+def _across(keyed: DataFrame, parts: DataFrame, reps: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs of one band, of different components so far, that the sketches do not rule out: all, or
+    for each member and task the one with the most equal registers.
 
     In each band the largest component's members need only meet the others, not each other, so the
     work grows with the band's size times the number of others. A band of more than `TASK` members is
@@ -209,16 +227,17 @@ def _across(keyed: DataFrame, parts: DataFrame, reps: DataFrame, percent: int) -
     tasks = F.when(whole, F.array(task(zero, zero, F.lit(-1)))).when(inner, with_others).otherwise(F.concat(with_main, among))
     dealt = members.withColumn("own", own).withColumn("t", F.explode(tasks)).select(F.xxhash64("key", "t.i", "t.j").alias("task"), "t.side", "id", "n", "part", "sketch")
     box = F.pmod(F.xxhash64("task"), F.lit(max(1, -(-total // BOX))))
-    return dealt.groupBy(box.alias("box")).applyInArrow(_compared(percent), "a long, b long")
+    return dealt.groupBy(box.alias("box")).applyInArrow(_compared(percent, best), "a long, b long")
 
 
-def _compared(percent: int):
+def _compared(percent: int, best: bool):
     def job(table: pa.Table) -> pa.Table:
         task, side, ids, n, part = (table.column(c).to_numpy() for c in ("task", "side", "id", "n", "part"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
         order = np.argsort(task, kind="stable")
         bounds = np.flatnonzero(np.diff(task[order], prepend=task[order[0]] - 1, append=task[order[-1]] + 1)) if len(order) else []
         found = [np.empty((2, 0), dtype=np.int64)]
+        partner, most = np.full(len(ids), -1), np.full(len(ids), -1)
         for start, end in zip(bounds[:-1], bounds[1:], strict=True):
             rows = order[start:end]
             left, right = rows[side[rows] != 1], rows[side[rows] != 0]
@@ -229,9 +248,19 @@ def _compared(percent: int):
                 open_ = (part[x] != part[y]) & (100 * low >= percent * high)
                 open_ &= (ids[x] < ids[y]) | (side[x] != -1)  # a block that meets itself needs each pair once
                 x, y = x[open_], y[open_]
-                if len(x):
-                    near = similarity(sketch[x], sketch[y], n[x].astype(float), n[y].astype(float)) >= percent / 100 - SLACK
-                    found.append(np.sort(np.stack((ids[x[near]], ids[y[near]])), axis=0))
+                counts = register_counts(sketch[x], sketch[y])
+                near = estimated_above(percent / 100 - SLACK, counts, n[x].astype(float), n[y].astype(float))
+                x, y, same = x[near], y[near], counts[2][near]
+                if not best:
+                    found.append(np.sort(np.stack((ids[x], ids[y])), axis=0))
+                    continue
+                order_same = np.argsort(same, kind="stable")  # of repeated places the last, largest is kept
+                for one, other in ((x[order_same], y[order_same]), (y[order_same], x[order_same])):
+                    more = same[order_same] > most[one]
+                    most[one[more]], partner[one[more]] = same[order_same][more], other[more]
+        if best:
+            own = np.flatnonzero(partner >= 0)
+            found.append(np.sort(np.stack((ids[own], ids[partner[own]])), axis=0))
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 

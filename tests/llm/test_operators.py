@@ -171,6 +171,8 @@ def reach(links, nodes):
 def test_near_duplicates(spark, docs, real, k):
     base = [f"t{i}" for i in range(80)]
     more = [(1000 + i, " ".join(base[:i] + ["x"] + base[i + 1 :])) for i in range(0, 80, 9)]
+    # A group around one text: its members are near the middle, but not near each other.
+    more += [(3000 + i, " ".join(f"z{j}" if i < 39 and (j * 7 + i) % 39 == 0 else f"m{j}" for j in range(100))) for i in range(40)]
     more += [(2000 + i, " ".join(base[: 60 + i] + [f"y{j}" for j in range(20 - i)])) for i in range(0, 20, 3)]
     for table in (docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string")), real.select("doc_id", "text")):
         got = setsketch.near_duplicates(table, shingle_words=k).collect()
@@ -196,7 +198,10 @@ def test_similarity_estimate():
         a, b = (setsketch.registers(np.concatenate((common, p)))[None, :] for p in parts)
         n = len(common) + 400
         true = len(common) / (len(common) + 800)
-        assert abs(setsketch.similarity(a, b, np.array([n]), np.array([n]))[0] - true) < 0.12
+        got = setsketch.similarity(a, b, np.array([n]), np.array([n]))[0]
+        assert abs(got - true) < 0.12
+        for least in (got - 0.01, got + 0.01):
+            assert setsketch.estimated_above(least, setsketch.register_counts(a, b), np.array([n]), np.array([n]))[0] == (got >= least)
     merged = np.maximum(setsketch.registers(parts[0]), setsketch.registers(parts[1]))
     assert (merged == setsketch.registers(parts.ravel())).all()
 
