@@ -2,16 +2,18 @@
 
 Each distinct shingle set gets `REGISTERS` registers: exponentially spaced, truncated minima of
 exponential hash values, so that sketches merge by maximum and equal registers grow likelier with
-similarity. Runs of `ROWS` registers are band keys. Texts of a band meet in three rounds:
+similarity. Runs of `ROWS` registers are band keys. Texts of a band meet in two rounds:
 
 1. every member is compared with its band's smallest id; confirmed links give first components;
-2. every member is compared with the likeliest member of another component that its band has;
-3. members of one band that are still in different components are all compared with each other.
+2. members of one band that are not yet in one component are compared with each other.
 
-So a large group of near copies costs a few comparisons for each member and band, not one for each
-pair, and no link between components is lost. A pair is first judged by the sketches alone: the
+So a large group of copies costs one comparison for each member and band, not one for each pair,
+and no link between components is lost. A pair is first judged by the sketches alone: the
 similarity is estimated by maximum likelihood from the counts of greater, equal and smaller
 registers and the known set sizes, and far pairs go. All others are confirmed on their full sets.
+The second round does both inside its tasks: a first pass over the sketches finds the members that
+have a likely partner, a second one gets their full sets and hands on, for each member, one link to
+its component within the task. So no table of pairs is ever made.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ SPACING, SHIFT, TOP = 1.004, 12000, 65535
 SLACK = 0.18
 #: Members of a band that are compared in one task, and rows that one call gets at about.
 TASK, BOX = 1024, 8192
+#: Shingles that one call of the confirmation gets at about.
+BOX_SHINGLES = 4_000_000
 SHINGLE_WORDS, SIMILARITY = 5, 80
 
 _FACTORS = np.random.default_rng(0x5E75).integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -170,9 +174,9 @@ def near_duplicates(
     reps = materialise(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"), "classes")
 
     bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("sketch", i * 2 * ROWS + 1, F.lit(2 * ROWS)))).alias("band", "part")
-    keyed = reps.select("id", "n", bands).select(F.xxhash64("band", "part").alias("key"), "id", "n")
+    keyed = reps.select("id", "n", bands).select(F.xxhash64("band", "part").alias("key"), "band", "id", "n")
     heads = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    keyed = materialise(keyed.join(heads, "key").select("key", "id", "n", "head"), "bands")
+    keyed = materialise(keyed.join(heads, "key").select("key", "band", "id", "n", "head"), "bands")
     close = f"a != b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
 
     stars = keyed.select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.n").alias("n_a"), F.col("n").alias("n_b"))
@@ -184,14 +188,8 @@ def near_duplicates(
     links = materialise(_confirmed_links(likely, docs, id_col, text_col, shingle_words, percent), "star_links")
     parts = materialise(connected_components(links), "parts")
 
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    best = materialise(_across(keyed.select("key", "id", "n"), parts, reps, percent, True).distinct().join(tried, ["a", "b"], "left_anti"), "best")
-    links = _confirmed_links(best, docs, id_col, text_col, shingle_words, percent)
-    parts = materialise(connected_components(materialise(parts.toDF("a", "b").unionByName(links), "linked")), "parts")
-
-    rest = _across(keyed.select("key", "id", "n"), parts, reps, percent, False)
-    rest = materialise(rest.distinct().join(tried.unionByName(best), ["a", "b"], "left_anti"), "cross")
-    more = _confirmed_links(rest, docs, id_col, text_col, shingle_words, percent)
+    open_ = materialise(_likely_members(keyed.select("key", "band", "id", "n"), parts, reps, percent), "likely_members")
+    more = materialise(_linked_members(open_, docs, id_col, text_col, shingle_words, percent), "cross_links")
 
     # A class joins its members, links join classes, and rows that share an id join theirs.
     shared = member.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select(F.col("low").alias("a"), F.col("high").alias("b"))
@@ -202,15 +200,15 @@ def near_duplicates(
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _across(keyed: DataFrame, parts: DataFrame, reps: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs of one band, of different components so far, that the sketches do not rule out: all, or
-    for each member and task the one with the most equal registers.
+def _likely_members(keyed: DataFrame, parts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(task, side, id, n, part) of members of a band that have a partner there, of another component
+    so far, which the sketches do not rule out. A pair counts in the first band that it shares.
 
     In each band the largest component's members need only meet the others, not each other, so the
     work grows with the band's size times the number of others. A band of more than `TASK` members is
     cut into blocks of both kinds, and pairs of blocks are compared in tasks of their own. Sketches are
     compared inside the tasks; only likely pairs leave them."""
-    grouped = keyed.join(parts, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component_id", "id").alias("part"))
+    grouped = keyed.join(parts, F.col("id") == F.col("node"), "left").select("key", "band", "id", "n", F.coalesce("component_id", "id").alias("part"))
     counts = grouped.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size"))
     mixed = counts.groupBy("key").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.max("size").alias("n_main"), F.sum("size").alias("n_all")).where("n_all > n_main")
     members = materialise(grouped.join(mixed, "key").join(reps.select("id", "sketch"), "id"), "open")
@@ -225,21 +223,25 @@ def _across(keyed: DataFrame, parts: DataFrame, reps: DataFrame, percent: int, b
     with_main = F.transform(F.sequence(zero, main_blocks - 1), lambda i: task(-1 - i, F.col("own"), F.lit(1)))
     among = F.transform(F.sequence(zero, other_blocks - 1), lambda j: task(F.least("own", j), F.greatest("own", j), F.when(F.col("own") == j, -1).when(F.col("own") < j, 0).otherwise(1)))
     tasks = F.when(whole, F.array(task(zero, zero, F.lit(-1)))).when(inner, with_others).otherwise(F.concat(with_main, among))
-    dealt = members.withColumn("own", own).withColumn("t", F.explode(tasks)).select(F.xxhash64("key", "t.i", "t.j").alias("task"), "t.side", "id", "n", "part", "sketch")
+    dealt = members.withColumn("own", own).withColumn("t", F.explode(tasks)).select(F.xxhash64("key", "t.i", "t.j").alias("task"), "t.side", "band", "id", "n", "part", "sketch")
     box = F.pmod(F.xxhash64("task"), F.lit(max(1, -(-total // BOX))))
-    return dealt.groupBy(box.alias("box")).applyInArrow(_compared(percent, best), "a long, b long")
+    return dealt.groupBy(box.alias("box")).applyInArrow(_compared(percent), "task long, side int, id long, n long, part long")
+
 
+def _task_rows(task: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of each task in turn."""
+    order = np.argsort(task, kind="stable")
+    bounds = np.flatnonzero(np.diff(task[order], prepend=task[order[0]] - 1, append=task[order[-1]] + 1)) if len(order) else []
+    for start, end in zip(bounds[:-1], bounds[1:], strict=True):
+        yield order[start:end]
 
-def _compared(percent: int, best: bool):
+
+def _compared(percent: int):
     def job(table: pa.Table) -> pa.Table:
-        task, side, ids, n, part = (table.column(c).to_numpy() for c in ("task", "side", "id", "n", "part"))
+        task, side, band, ids, n, part = (table.column(c).to_numpy() for c in ("task", "side", "band", "id", "n", "part"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
-        order = np.argsort(task, kind="stable")
-        bounds = np.flatnonzero(np.diff(task[order], prepend=task[order[0]] - 1, append=task[order[-1]] + 1)) if len(order) else []
-        found = [np.empty((2, 0), dtype=np.int64)]
-        partner, most = np.full(len(ids), -1), np.full(len(ids), -1)
-        for start, end in zip(bounds[:-1], bounds[1:], strict=True):
-            rows = order[start:end]
+        likely = np.zeros(len(ids), dtype=bool)
+        for rows in _task_rows(task):
             left, right = rows[side[rows] != 1], rows[side[rows] != 0]
             step = max(1, 40_000 // max(len(right), 1))
             for at in range(0, len(left), step):
@@ -248,30 +250,64 @@ def _compared(percent: int, best: bool):
                 open_ = (part[x] != part[y]) & (100 * low >= percent * high)
                 open_ &= (ids[x] < ids[y]) | (side[x] != -1)  # a block that meets itself needs each pair once
                 x, y = x[open_], y[open_]
-                counts = register_counts(sketch[x], sketch[y])
-                near = estimated_above(percent / 100 - SLACK, counts, n[x].astype(float), n[y].astype(float))
-                x, y, same = x[near], y[near], counts[2][near]
-                if not best:
-                    found.append(np.sort(np.stack((ids[x], ids[y])), axis=0))
-                    continue
-                order_same = np.argsort(same, kind="stable")  # of repeated places the last, largest is kept
-                for one, other in ((x[order_same], y[order_same]), (y[order_same], x[order_same])):
-                    more = same[order_same] > most[one]
-                    most[one[more]], partner[one[more]] = same[order_same][more], other[more]
-        if best:
-            own = np.flatnonzero(partner >= 0)
-            found.append(np.sort(np.stack((ids[own], ids[partner[own]])), axis=0))
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+                near = estimated_above(percent / 100 - SLACK, register_counts(sketch[x], sketch[y]), n[x].astype(float), n[y].astype(float))
+                x, y = x[near], y[near]
+                first = (sketch[x] == sketch[y]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band[x]
+                likely[x[first]] = likely[y[first]] = True
+        return table.select(["task", "side", "id", "n", "part"]).filter(pa.array(likely))
+
+    return job
+
+
+def _linked_members(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that join, in each task, the members that their full sets link."""
+    sets = _sets_of(members.select("id").distinct(), docs, id_col, text_col, k)
+    total = members.agg(F.sum("n")).first()[0] or 0
+    box = F.pmod(F.xxhash64("task"), F.lit(-(-total // BOX_SHINGLES) or 1))
+    return members.join(sets.where("octet_length(hashes) > 0"), "id").groupBy(box.alias("box")).applyInArrow(_linked(percent), "a long, b long").distinct()
+
+
+def _linked(percent: int):
+    def job(table: pa.Table) -> pa.Table:
+        task, side, ids, part = (table.column(c).to_numpy() for c in ("task", "side", "id", "part"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        found = [np.empty((2, 0), dtype=np.int64)]
+        for rows in _task_rows(task):
+            left, right = np.flatnonzero(side[rows] != 1), np.flatnonzero(side[rows] != 0)
+            if not len(left) or not len(right):
+                continue
+            words, number = np.unique(np.concatenate([sets[r] for r in rows[right]]), return_inverse=True)
+            starts = np.cumsum(size[rows[right]]) - size[rows[right]]
+            label = np.arange(len(rows))
+            for i in left:
+                own = sets[rows[i]]
+                at = np.minimum(np.searchsorted(words, own), len(words) - 1)
+                mark = np.zeros(len(words), dtype=np.int32)
+                mark[at[words[at] == own]] = 1
+                shared = np.add.reduceat(mark[number], starts)
+                near = 100 * shared >= percent * (len(own) + size[rows[right]] - shared)
+                joined = np.unique(label[np.append(right[near & (part[rows[right]] != part[rows[i]])], i)])
+                if len(joined) > 1:
+                    label[np.isin(label, joined)] = joined[0]
+            moved = np.flatnonzero(label != np.arange(len(rows)))
+            found.append(np.stack((ids[rows[moved]], ids[rows[label[moved]]])))
+        pairs = np.concatenate(found, axis=1)
         return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
     return job
 
 
+def _sets_of(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(id, hashes): the full sets of the texts whose ids are wanted."""
+    wanted = materialise(wanted, "wanted")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
+    return materialise(_full_sets(texts, k), "sets")
+
+
 def _confirmed_links(likely: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that the full sets of the texts confirm."""
-    wanted = materialise(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-    sets = materialise(_full_sets(texts, k), "sets")
+    sets = _sets_of(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, id_col, text_col, k)
     for side in "ab":
         likely = likely.join(sets.select(F.col("id").alias(side), F.col("hashes").alias(f"hashes_{side}")), side)
     return likely.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_confirmed(percent), "a long, b long").distinct()
