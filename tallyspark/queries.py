@@ -410,7 +410,7 @@ def f9_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a18_thread_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("thread_id"))
     messages = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("thread_id"))
-    runs = read(spark, sf_dir, "events").where("user_id < 40").select(F.col("user_id").alias("thread_id"), F.col("event_id").alias("run_id"), F.col("ts").alias("created_at"))
+    runs = read(spark, sf_dir, "events").select(F.col("user_id").alias("thread_id"), F.col("event_id").alias("run_id"), F.col("ts").alias("created_at"))
     known = documents.select("thread_id").unionByName(messages.select("thread_id")).distinct()
     return search.thread_overview(documents, messages, runs).join(known, "thread_id", "left_semi")
 
