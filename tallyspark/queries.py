@@ -134,7 +134,7 @@ def n20_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, regexp_replace(regexp_replace(text, '(?i)ground[_\\s-]*truth(\\.json)?', '[CONFIDENTIAL_BENCHMARK]', 'g'), '(?i)answer[_\\s-]*key', '[CONFIDENTIAL_BENCHMARK]', 'g') AS text FROM conversations WHERE text NOT LIKE '%AIza%' AND text NOT LIKE '%sk-%'")
 def n25_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "conversations").where("text NOT LIKE '%AIza%' AND text NOT LIKE '%sk-%'").select("conv_id", "turn", S.redact(F.col("text")).alias("text"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", S.redact(F.col("text")).alias("text"))
 
 
 @query("SELECT event_type, CASE WHEN regexp_matches(upper(event_type), 'UPLOAD|DOCUMENT|INGEST') THEN 'INGESTION' WHEN regexp_matches(upper(event_type), 'RECONCIL|MATCH') THEN 'RECONCILIATION' WHEN regexp_matches(upper(event_type), 'EXCEPTION|REVIEW') THEN 'EXCEPTION' WHEN regexp_matches(upper(event_type), 'TAX') THEN 'TAX' WHEN regexp_matches(upper(event_type), 'FORECAST|CASH') THEN 'FORECAST' WHEN regexp_matches(upper(event_type), 'QUESTION|MESSAGE|ANSWER|QUERY') THEN 'QA' ELSE 'SYSTEM' END AS category, count(*) AS n FROM events GROUP BY ALL")

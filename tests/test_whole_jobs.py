@@ -18,3 +18,11 @@ def test_thread_overview_has_runs_of_all_threads(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     got = {r.thread_id: (r.n_documents, r.n_messages, r.latest_run) for r in queries.QUERIES["a18_thread_overview"](spark, str(tmp_path)).collect()}
     assert got == {1: (1, 0, 9), 50: (0, 1, 8), 51: (0, 1, None)}
+
+
+def test_redaction_keeps_rows_with_keys(spark, tmp_path):
+    texts = ["key AIzaSyD9834273849234823948234 here", "lsv2_pt_0123456789abcdef", "sk-abcdefghij0123456789", "a risk-free answer_key", None]
+    rows = [(i, 0, "user", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r.text for r in queries.QUERIES["n25_redact"](spark, str(tmp_path)).collect()}
+    assert got == {0: "key [REDACTED_KEY] here", 1: "[REDACTED_KEY]", 2: "[REDACTED_KEY]", 3: "a risk-free [CONFIDENTIAL_BENCHMARK]", 4: None}
