@@ -33,14 +33,14 @@ BASE = {
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 # Looser forms.
 LOOSE = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]{2,63})++", r"[\[(]at[\])]"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]++(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]{2,}+)++", r"[\[(]at[\])]"),
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", r"[0-9A-Fa-f]:[0-9A-Fa-f]"),
     ("phone", r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])", r"[0-9]{3}[ .-][0-9]{4}"),
     ("card", r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]"),
     ("id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]"),
     ("id", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}"),
     ("secret", r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])", r"AKIA"),
-    ("secret", r"(?i)(?<![a-z0-9])(?:password|passwd|token|secret|api_?key)[\"']? ?[:=] ?[\"']?[a-z0-9+/_-]{8,128}", r"[:=]"),
+    ("secret", r"(?i)(?<![a-z0-9])(?:password|passwd|token|secret|api_?key)[\"']? ?[:=] ?[\"']?[a-z0-9+/_-]{8,}+", r"[:=]"),
 )
 # Words that go before personal data.
 CONTEXT = r"(?i)mail|phone|call|tel|card|visa|iban|address|ssn|password|token|secret|key|account"
