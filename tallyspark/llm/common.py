@@ -87,18 +87,18 @@ def remainder(key: str, by: int) -> Column:
 
 def chunks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) for runs of rows with about CHUNK_BYTES of text; a null text counts as empty."""
-    if pa.types.is_large_string(texts.type) is False:
-        texts = texts.cast(pa.large_string())
-    n = len(texts)
-    if not n:
-        return
-    lengths = np.nan_to_num(np.asarray(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=float)).astype(np.int64)
-    total = np.cumsum(lengths)
-    at = 0
-    while at < n:
-        base = total[at] - lengths[at]
-        to = max(at + 1, int(np.searchsorted(total, base + CHUNK_BYTES, side="right")))
-        yield at, [t or "" for t in texts.slice(at, to - at).to_pylist()]
+    for at, part in slices(texts, CHUNK_BYTES):
+        yield at, [t or "" for t in part.to_pylist()]
+
+
+def slices(texts: pa.Array, size: int) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) for runs of rows with about `size` bytes of text, as Arrow arrays."""
+    texts = texts if pa.types.is_large_string(texts.type) else texts.cast(pa.large_string())
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, at = np.cumsum(lengths), 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(total, total[at] - lengths[at] + size, side="right")))
+        yield at, texts.slice(at, to - at)
         at = to
 
 

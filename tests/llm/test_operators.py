@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -131,19 +132,51 @@ def test_packing(docs, real, none):
     assert packing.pack(none, WORDS).count() == 0
 
 
-def test_words_alone_have_the_ids_of_texts():
+def test_words_alone_have_the_ids_of_texts(monkeypatch):
     tokenizer = Tokenizer.from_file(WORDS)
     rng = np.random.default_rng(1)
-    letters = list("ab İΣςé.,' \t\n\r\x85\xa0中1²<|>") + ["<|endoftext|>", "'s", "é́"]
+    letters = list("ab ZÉíß İΣςé.,*?' \t\n\r\v\f\x85\xa0中1²<|>") + ["<|endoftext|>", "'s", "é́"]
     texts = ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(500)]
-    for text, raw in zip(texts, packing.token_bytes(texts, WORDS), strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+    texts += [*texts[:50], "", " \n", "word " * 3000]
+    monkeypatch.setattr(packing, "REMEMBERED", 100)  # so that words are forgotten as well
+    for at in range(0, len(texts), 90):
+        ids, starts = packing.token_ids(pa.array([*texts[at : at + 90], None], pa.large_string()), WORDS)
+        for i, text in enumerate([*texts[at : at + 90], ""]):
+            assert ids[starts[i] : starts[i + 1]].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
+def fewest_bins(lengths, size):
+    """By trying all placements."""
+    best = len(lengths)
+
+    def place(i, fills):
+        nonlocal best
+        if len(fills) < best and i == len(lengths):
+            best = len(fills)
+        elif len(fills) < best:
+            for k in range(len(fills)):
+                if fills[k] + lengths[i] <= size:
+                    place(i + 1, [*fills[:k], fills[k] + lengths[i], *fills[k + 1 :]])
+            place(i + 1, [*fills, lengths[i]])
+
+    place(0, [])
+    return best
 
 
 def test_local_search_empties_bins():
-    lengths = np.array([6, 6, 4, 3, 3, 2, 6])  # best fit may need four bins of ten, three do
-    bins = packing.local_search(lengths, np.array([0, 1, 2, 2, 2, 3, 4]), 10)
-    assert len(set(bins)) == 3 and max(lengths[bins == b].sum() for b in set(bins)) <= 10
+    rng = np.random.default_rng(0)
+    cases = [np.array([8, 7, 8, 3, 2, 8, 2, 6, 2, 4, 5, 5, 5, 2]), *(rng.integers(2, 10, 11) for _ in range(60))]
+    better = 0
+    for lengths in cases:
+        start = packing.best_fit(lengths, 17)
+        for bins in (start, np.arange(len(lengths))):
+            done = packing.local_search(lengths, bins, 17)
+            assert np.bincount(done, lengths).max() <= 17
+            assert fewest_bins(lengths.tolist(), 17) <= len(set(done)) <= len(set(bins))
+            better += len(set(done)) < len(set(start))
+    done = packing.local_search(cases[0], packing.best_fit(cases[0], 17), 17)
+    assert len(set(packing.best_fit(cases[0], 17))) == 5 and len(set(done)) == fewest_bins(cases[0].tolist(), 17) == 4
+    assert better
 
 
 # Near-duplicates
