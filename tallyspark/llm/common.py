@@ -45,39 +45,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests on one
-    machine) is one set here."""
+    """The folder that driver and executors share, as the session names it. Where it names none and
+    all runs on one machine, as in tests, a folder of this machine is set; a cluster must name one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = f"file:///tmp/checkpoints/tallyspark-{uuid.uuid4().hex[:12]}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='tallyspark-stages-')}"
         spark.conf.set("spark.checkpoint.dir", at)
-        atexit.register(_drop_local, at)
+        atexit.register(shutil.rmtree, at.removeprefix("file://"), ignore_errors=True)
     return at
 
 
-def _drop_local(at: str) -> None:
-    shutil.rmtree(at.removeprefix("file://"), ignore_errors=True)
-
-
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write `df` as a stage table in the shared folder and read it back: lineage ends at files that
-    outlive any executor. Then let Spark drop the shuffle files that led to it."""
+    outlive any executor. Tables that a lazy result still needs stay until `clear`; operators
+    discard the others themselves."""
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/stage-{what}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    gc.collect()
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    gc.collect()  # plans that nothing refers to any more let Spark drop their shuffle files
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+_written: dict[str, set[str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _written.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stage tables that nothing will read any more."""
+    for df in tables:
+        _delete(df.sparkSession, df.stage_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all stage tables of this application, once its results are written."""
+    for path in list(_written.get(spark.sparkContext.applicationId, ())):
+        _delete(spark, path)
+
+
+#: A key with more than this share of all rows is hot; there are as many hot keys at most.
+HOT_SHARE = 1024
+
 
+def join_by_key(rows: DataFrame, keyed: DataFrame, key: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of `rows` with `keyed`, which has one row for each key and in `weight` at least the
+    number of the key's rows; the weights sum up to `total` at most, or nearly so.
 
-def discard(df: DataFrame) -> None:
-    """Delete a stage table that nothing will read any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    Hot keys, HOT_SHARE or so at most, are broadcast, so that their rows stay where they are; all
+    others are shuffled. Weights decide only the way, never the result."""
+    least = max(1, total // HOT_SHARE)
+    hot = F.broadcast(keyed.where(F.col(weight) > least))
+    rest = rows.join(hot.select(*key), key, "left_anti").join(keyed.where(F.col(weight) <= least), key)
+    return rows.join(hot, key).unionByName(rest)
 
 
 def remainder(key: str, by: int) -> Column:

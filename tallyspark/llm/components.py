@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, join_by_key, materialise
 
 
 def _contract(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -36,25 +36,25 @@ def _contract(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"u": nodes, "v": tops}, dtype="int64").query("u != v")
 
 
-def _towards(links: DataFrame, least: DataFrame) -> DataFrame:
-    return links.join(least, "u")
-
-
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component_id) for every node of `links` (columns a and b, not null); component_id is
-    the smallest node reachable. Links of a node with itself and repeated links do no harm."""
+    the smallest node reachable. Links of a node with itself and repeated links do no harm. A node
+    with very many links is a hot key and is joined by broadcast."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     edges = edges.where("u != v").mapInPandas(_contract, "u long, v long").distinct()
     edges, mark = _fixed(edges)
     while mark:
+        total = 2 * mark[0]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = _towards(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _towards(large, down).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
+        large = join_by_key(both, least, ["u"], "degree", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"))  # few smaller nodes are left for each node
+        small = large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(down.select("u", F.col("m").alias("v"))).distinct()
+        before = edges
         edges, now = _fixed(small)
+        discard(before)
         if now == mark:
             break
         mark = now

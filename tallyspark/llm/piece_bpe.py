@@ -2,13 +2,17 @@
 
 Texts are cut into words at spaces; each distinct word of a batch is encoded once. All words of a
 round lie in one flat array of symbols. A round looks up the rank of every adjacent pair, takes the
-smallest rank of each word (a segmented minimum), merges the leftmost pair of that rank in all words
-at once, compacts the array and goes on until no word has a pair left. Words are cut further where
-two neighbouring characters occur together in no piece, since no merge can cross such a place.
+smallest rank of each word (a segmented minimum), merges the pairs of that rank from the left in all
+words at once, compacts the array and goes on until no word has a pair left. A merge that makes a
+pair of no greater rank is the word's last in its round, as that pair comes before those to the
+right. Words are cut further where two neighbouring characters occur together in no piece, since no
+merge can cross such a place. So a word of one letter takes a round for each doubling of its pieces,
+and any word at most about one for each rank that it meets.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 from collections.abc import Iterator
@@ -146,8 +150,7 @@ class PieceModel:
                 lengths = lengths[best < NONE]
                 best = best[best < NONE]
                 starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            minimal = np.flatnonzero(rank == np.repeat(best, lengths))
-            chosen = minimal[np.diff(seg[minimal], prepend=-1) != 0]  # the leftmost of each part
+            chosen = self._chosen(np.flatnonzero(rank == np.repeat(best, lengths)), sym, seg, whole)
             sym = sym.copy()
             sym[chosen] = whole[chosen]
             keep = np.ones(len(sym), dtype=bool)
@@ -157,6 +160,38 @@ class PieceModel:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return np.concatenate(places), np.concatenate(ids)
 
+    def _chosen(self, minimal: np.ndarray, sym: np.ndarray, seg: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """Which of the least pairs are merged in one round, as if one after the other from the left:
+        of overlapping ones every other one, and in each part all up to the first whose merge makes
+        a pair of no greater rank with a neighbour."""
+        run = np.flatnonzero(np.diff(minimal, prepend=-2) != 1)
+        nth = np.arange(len(minimal)) - np.repeat(run, np.diff(np.append(run, len(minimal))))
+        at = minimal[nth % 2 == 0]
+        part, made = seg[at], whole[at]
+        # What stands beside the merged pair then: to the left perhaps the pair that was merged before.
+        before = np.maximum(at - 1, 0)
+        follows = np.zeros(len(at), dtype=bool)
+        follows[1:] = (at[1:] - at[:-1] == 2) & (part[1:] == part[:-1])
+        left = np.where(follows, np.roll(made, 1), sym[before])
+        after = np.minimum(at + 2, len(sym) - 1)
+        rank = self.ranks[made]
+        first, last = (at == 0) | (seg[before] != part), (at + 2 >= len(sym)) | (seg[after] != part)
+        stop = ~first & (self._rank_of(left, made) <= rank)
+        stop |= ~last & (self._rank_of(made, sym[after]) <= rank)
+        stops = np.cumsum(stop) - stop  # before each pair
+        new = np.flatnonzero(np.diff(part, prepend=-1) != 0)
+        return at[stops == np.repeat(stops[new], np.diff(np.append(new, len(at))))]
+
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of what two symbols make together, NONE for nothing."""
+        key = left * self.size + right
+        bucket = self._bucket(key)
+        out = np.full(len(key), NONE)
+        for way in range(4):
+            hit = np.flatnonzero(self.key[way][bucket] == key)
+            out[hit] = self.ranks[self.merged[way][bucket[hit]]]
+        return out
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: one leading space, which encoding has put there, goes; bytes that are no
         UTF-8 become U+FFFD, one for each."""
@@ -165,10 +200,10 @@ class PieceModel:
 
 
 def _utf8(raw: bytes) -> str:
-    try:
-        return raw.decode("utf-8")
-    except UnicodeDecodeError as at:
-        return raw[: at.start].decode("utf-8") + "�" + _utf8(raw[at.start + 1 :])
+    return raw.decode("utf-8", "tallyspark_each_byte")
+
+
+codecs.register_error("tallyspark_each_byte", lambda at: ("�", at.start + 1))
 
 
 class _Words:
@@ -218,8 +253,10 @@ def encode(text: str | None, path: str) -> list[int]:
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256 (see the digests' rules in
-    `digest_batches`). Null and empty texts have no tokens. Texts are encoded whole; a row with a
-    null id keeps its null, repeated rows come out repeatedly, other columns are ignored."""
+    `digest_batches`). Null and empty texts have no tokens. Texts are encoded whole, however long they
+    or their words are. Pairs of equal rank tie, and the leftmost goes first. A row with a null id
+    keeps its null, repeated rows come out repeatedly, an empty table gives no rows, other columns
+    are ignored."""
 
     ship(docs.sparkSession)
 

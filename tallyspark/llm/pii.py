@@ -1,12 +1,15 @@
 """Personal data: candidate spans from high-recall patterns, judged by boosted trees; all in SQL functions.
 
 Generators propose spans, overlapping ones too: the four base kinds, and looser forms of them, ids
-and secrets. Each candidate gets a code of a few format and context features. How many candidates of
-a code pass their kind's own check (Luhn, octets, digits, mod 97 ...) is counted over all rows; boosted
-trees are fitted to these counts, of which there are at most `CODES`, and so judge a format in its
-context rather than a single value. For each kind the lowest threshold at which nine of ten selected
-candidates pass their check is kept. As the trees see nothing but the code, their decision is a set
-of codes, and rows are scored by plain expressions. Base spans that pass their rule always stay.
+and secrets. Each candidate gets a code of a few format and context features, and each kind has a
+check that its values may fail (Luhn, mod 97, octets, name forms, address ranges ...). How many
+candidates of a code pass is counted over all rows, apart for two halves dealt by a hash of the
+candidate's place. Boosted trees are fitted to the counts of one half, of which there are at most
+`CODES`, and so judge a format in its context rather than a single value: where most matches fail,
+a pass is chance. For each kind the lowest threshold is kept at which nine of ten candidates of the
+other half pass. As the trees see nothing but the code, their decision is a set of codes, and rows
+are scored by plain expressions: a looser candidate is selected if its code is and it passes its
+check. Base spans that pass their rule always stay.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
+from .common import materialise
 
 KINDS = ("email", "ip", "card", "phone", "id", "secret")
 
@@ -55,19 +59,44 @@ CANDIDATES, BASE_SPANS, ALL_SPANS = (f"__tallyspark_pii_{x}" for x in ("candidat
 EMPTY = "CAST(array() AS array<struct<kind: int, start: int, end: int, code: int, valid: boolean, base: boolean>>)"
 
 
+#: Elements that one step of a fold handles, so that folds copy little however many there are.
+FOLD = 256
+
+
+def folded(items: Column, first: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> tuple[Column, Column]:
+    """Fold an array from the left with a running value: `step(value, item)` gives the next value and
+    an array that is put out. Returns the last value and all that was put out, of SQL type `kind`."""
+    empty = F.expr(f"CAST(array() AS array<{kind}>)")
+    blocks = F.expr(f"CAST(array() AS array<array<{kind}>>)")
+
+    def add(have: Column, item: Column) -> Column:
+        value, out = step(have["value"], item)
+        return F.struct(value.alias("value"), F.concat(have["out"], out).alias("out"))
+
+    def block(have: Column, i: Column) -> Column:
+        done = F.aggregate(F.slice(items, i * FOLD + 1, FOLD), F.struct(have["value"].alias("value"), empty.alias("out")), add)
+        return F.struct(done["value"].alias("value"), F.concat(have["out"], F.array(done["out"])).alias("out"))
+
+    count = F.greatest(F.ceil(F.size(items) / FOLD).cast("int"), F.lit(1))
+    done = F.aggregate(F.sequence(F.lit(0), count - 1), F.struct(first.alias("value"), blocks.alias("out")), block)
+    return done["value"], F.flatten(done["out"])
+
+
+HIT = "struct<start: int, end: int, value: string>"
+
+
 def found(text: Column, pattern: str, hint: str) -> Column:
     """Array of (start, end, value) of all matches, in code points, end exclusive."""
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    nothing = F.expr("struct(0 AS at, CAST(array() AS array<struct<start: int, end: int, value: string>>) AS hits)")
 
-    def add(have: Column, piece: Column) -> Column:
-        start = have["at"] + F.char_length(piece["gap"])
+    def add(at: Column, piece: Column) -> tuple[Column, Column]:
+        start = at + F.char_length(piece["gap"])
         end = start + F.char_length(piece["hit"])
         hit = F.struct(start.alias("start"), end.alias("end"), piece["hit"].alias("value"))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(end.isNull(), have["hits"]).otherwise(F.concat(have["hits"], F.array(hit))).alias("hits"))
+        return F.coalesce(end, start), F.when(end.isNull(), F.expr(f"CAST(array() AS array<{HIT}>)")).otherwise(F.array(hit))
 
-    hits = F.aggregate(pieces, nothing, add)["hits"]
-    return F.when(text.rlike(hint), hits).otherwise(F.expr("CAST(array() AS array<struct<start: int, end: int, value: string>>)"))
+    hits = folded(pieces, F.lit(0), add, HIT)[1]
+    return F.when(text.rlike(hint), hits).otherwise(F.expr(f"CAST(array() AS array<{HIT}>)"))
 
 
 def luhn(digits: Column) -> Column:
@@ -123,7 +152,18 @@ def loose_rule(kind: str, value: Column) -> Column:
         return F.when(value.rlike("^[A-Z]"), mod97(value)).otherwise(~value.rlike("^(?:000|666|9)|-00-|-0000$"))
     if kind == "secret":
         return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-    return _between(n, 10, 15) if kind == "phone" else F.lit(True)
+    if kind == "email":
+        return ~value.rlike(_BAD_NAME) & value.rlike(_TOP_NAME)
+    if kind == "ip":
+        return value.rlike(_ADDRESS) & value.rlike("[0-9A-Fa-f]{3}")
+    return _between(n, 10, 15)
+
+
+# What no mail address has (a dot at either end of its name or twice), how one ends, and
+# how addresses start that are in use: global, local to a site, to a link.
+_BAD_NAME = r"^\.|\.\.|\. ?[\[(]at|^-"
+_TOP_NAME = r"(?:\.|\[dot\]|\(dot\)) ?[A-Za-z]{2,24}$"
+_ADDRESS = r"^(?i)(?:[23][0-9a-f]{3}|f[cd][0-9a-f]{2}|fe[89ab][0-9a-f]):"
 
 
 def _code(kind: str, text: Column, hit: Column) -> Column:
@@ -164,38 +204,51 @@ def candidates(text: Column) -> Column:
     return F.concat(*base, *(judged(k, p, h, loose_rule, False) for k, p, h in LOOSE))
 
 
-def fit_codes(docs: DataFrame, text_col: str = "text") -> list[int]:
-    """The codes that the boosted trees select, learned from the candidates of all rows."""
-    each = docs.select(F.explode(candidates(F.coalesce(text_col, F.lit("")))).alias("c"))
-    rows = each.groupBy("c.code").agg(F.count(F.lit(1)).alias("n"), F.count_if("c.valid").alias("valid")).orderBy("code").collect()  # CODES rows at most
-    code = np.array([r["code"] for r in rows], dtype=np.int64)
-    n, valid = np.array([r["n"] for r in rows], dtype=float), np.array([r["valid"] for r in rows], dtype=float)
-    x = _features(code) if len(code) else np.zeros((0, 11))
+def fit_codes(candidates_: DataFrame) -> list[int]:
+    """The codes that the boosted trees select, learned from the candidates (column CANDIDATES) of all
+    rows: fitted to one half of them, and thresholds set by the other."""
+    each = candidates_.select(F.explode(CANDIDATES).alias("c"), F.pmod(F.xxhash64("c.start", "c.end", F.size(CANDIDATES)), F.lit(2)).alias("half"))
+    rows = each.groupBy("c.code", "half").agg(F.count(F.lit(1)).alias("n"), F.count_if("c.valid").alias("valid")).orderBy("code").collect()  # 2 * CODES rows at most
+    code = np.unique(np.array([r["code"] for r in rows], dtype=np.int64))
+    n, valid = np.zeros((2, len(code))), np.zeros((2, len(code)))
+    for r in rows:
+        at = np.searchsorted(code, r["code"])
+        n[r["half"], at], valid[r["half"], at] = r["n"], r["valid"]
+    return select_codes(code, n, valid)
+
+
+def select_codes(code: np.ndarray, n: np.ndarray, valid: np.ndarray) -> list[int]:
+    """Codes above their kind's threshold. `n` and `valid`: candidates of each code, and those that
+    pass their check, in the half to fit (row 0) and in the half to calibrate (row 1)."""
+    x = _features(code)
     y = np.concatenate((np.ones(len(code)), np.zeros(len(code))))
-    model = boosting.fit(np.concatenate((x, x)), y, np.concatenate((valid, n - valid)), trees=40, depth=3, rate=0.3)
+    model = boosting.fit(np.concatenate((x, x)), y, np.concatenate((valid[0], n[0] - valid[0])), trees=40, depth=3, rate=0.3, least=1.0)
     score = model.probabilities(x) if len(x) else np.empty(0)
     chosen: list[int] = []
     kind = code // (16 * (len(DIGITS) + 1))
     for k in np.unique(kind):
         own = np.flatnonzero(kind == k)
-        own = own[np.argsort(-score[own], kind="stable")]
-        precise = np.cumsum(valid[own]) / np.cumsum(n[own]) >= PRECISION
-        if precise.any():  # the lowest threshold that is precise enough
-            chosen += code[own[: np.flatnonzero(precise)[-1] + 1]].tolist()
+        levels = np.unique(score[own])[::-1]  # codes of one score go together
+        for threshold in levels[::-1]:  # the lowest threshold that is precise enough
+            above = own[score[own] >= threshold]
+            # A kind so rare that this half has none of it is judged by the other half.
+            half = 1 if n[1, above].sum() else 0
+            if valid[half, above].sum() >= PRECISION * n[half, above].sum():
+                chosen += code[above].tolist()
+                break
     return sorted(chosen)
 
 
-def with_spans(docs: DataFrame, codes: list[int], text_col: str = "text") -> DataFrame:
-    """`docs` with BASE_SPANS and ALL_SPANS: arrays of (start, kind, end), ordered, base rules applied."""
-    text = F.coalesce(text_col, F.lit(""))
+def with_spans(candidates_: DataFrame, codes: list[int]) -> DataFrame:
+    """Rows with BASE_SPANS and ALL_SPANS in place of CANDIDATES: arrays of (start, kind, end),
+    ordered, base rules applied."""
 
     def bare(x: Column) -> Column:
         return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
 
-    all_ = docs.withColumn(CANDIDATES, candidates(text))
     base = F.filter(CANDIDATES, lambda x: x["base"] & x["valid"])
-    more = F.filter(CANDIDATES, lambda x: (x["base"] & x["valid"]) | (~x["base"] & (x["code"].isin(codes) if codes else F.lit(False))))
-    return all_.withColumns({BASE_SPANS: F.array_sort(F.transform(base, bare)), ALL_SPANS: F.array_sort(F.array_distinct(F.transform(more, bare)))}).drop(CANDIDATES)
+    more = F.filter(CANDIDATES, lambda x: x["valid"] & (x["base"] | (x["code"].isin(codes) if codes else F.lit(False))))
+    return candidates_.withColumns({BASE_SPANS: F.array_sort(F.transform(base, bare)), ALL_SPANS: F.array_sort(F.array_distinct(F.transform(more, bare)))}).drop(CANDIDATES)
 
 
 def _named(spans: str) -> Column:
@@ -208,9 +261,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Counts and base_sha256 are of the base rules alone; `spans` lists all selected spans as
     kind:start:end by start, then kind, in code points with the end exclusive. Null and empty texts
-    have none. Rows of a null or repeated id are rows like any other. An empty table gives no rows;
-    other columns are ignored."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    have none. Texts are read whole, once; what stays of them are the candidates. Rows of a null or
+    repeated id are rows like any other. Spans that start together are ordered by kind, then end. An
+    empty table gives no rows; other columns are ignored."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), candidates(F.coalesce(text_col, F.lit(""))).alias(CANDIDATES))
+    rows = materialise(rows, "candidates")
     out = with_spans(rows, fit_codes(rows))
 
     def count(kind: str) -> Column:
@@ -222,19 +277,18 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with every selected span replaced by its kind in brackets; overlapping spans become one,
-    named by the first. Null texts stay null; all columns stay."""
-    plain = docs.select(F.col(text_col).alias("text"))
-    out = with_spans(docs, fit_codes(plain), text_col)
+    named by the first. Null texts stay null; repeated rows and all columns stay; an empty table
+    stays empty. Texts may have any length."""
+    rows = materialise(docs.withColumn(CANDIDATES, candidates(F.coalesce(text_col, F.lit("")))), "redaction")
+    out = with_spans(rows, fit_codes(rows.select(CANDIDATES)))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     text = F.col(text_col)
-    begin = F.struct(F.lit(0).alias("at"), F.array(F.lit("")).alias("parts"))
 
-    def add(have: Column, span: Column) -> Column:
-        gap = F.substring(text, have["at"] + 1, span["start"] - have["at"])
-        taken = F.struct(span["end"].alias("at"), F.concat(have["parts"], F.array(gap, F.get(names, span["kind"]))).alias("parts"))
-        longer = F.struct(F.greatest(have["at"], span["end"]).alias("at"), have["parts"].alias("parts"))
-        return F.when(span["start"] >= have["at"], taken).otherwise(longer)
+    def add(at: Column, span: Column) -> tuple[Column, Column]:
+        gap = F.substring(text, at + 1, span["start"] - at)
+        parts = F.when(span["start"] >= at, F.array(gap, F.get(names, span["kind"]))).otherwise(F.expr("CAST(array() AS array<string>)"))
+        return F.greatest(at, span["end"]), parts
 
-    done = F.aggregate(ALL_SPANS, begin, add)
-    whole = F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.char_length(text)))
+    at, parts = folded(F.col(ALL_SPANS), F.lit(0), add, "string")
+    whole = F.concat(F.array_join(parts, ""), F.substring(text, at + 1, F.char_length(text)))
     return out.withColumn(text_col, F.when(F.size(ALL_SPANS) > 0, whole).otherwise(text)).select(*docs.columns)

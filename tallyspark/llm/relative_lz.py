@@ -3,14 +3,16 @@
 A window is `WINDOW` consecutive words. Of the `SEED`-word runs in a window the one with the least
 hash is its anchor, so equal windows have equal anchors wherever they are. Anchors that occur twice
 or more among the distinct texts index the corpus: each occurrence, with as many words on either
-side as a window can reach, is a phrase of the reference block that its anchor hashes to.
-
-In its block every phrase is factored against the block's reference occurrence of the anchor: the
-match is extended greedily, word by word, to both sides, and a factor of `WINDOW` words or more is a
-repeated span of both. Windows that cross a factor's ends are checked by their hash against all
-phrases of the anchor in the block. An anchor with very many occurrences is dealt to several blocks;
-then each block hands on one entry for each distinct window, and a last grouping finds the windows
-that repeat only across those blocks. No task gets more than a block.
+side as a window can reach, is a phrase of the reference block that its anchor hashes to. So each
+text is parsed against just those blocks that hold anything of it.
+
+In its block every phrase is parsed greedily against all other phrases of its anchor: the parse goes
+to the first word from which another phrase has the words up to the anchor, and takes the longest
+factor from there that any of them has. A factor of `WINDOW` words or more is a repeated span.
+Windows that start inside a factor and cross its end are looked up by their hash, and only these.
+An anchor with very many occurrences is dealt to several blocks; then each block hands on one entry
+for each distinct window, and a last grouping finds the windows that repeat only across those
+blocks. No task gets more than a block.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, materialise, mix, runs, word_hashes, word_spans
+from .common import chunks, discard, join_by_key, materialise, mix, runs, word_hashes, word_spans
 
 WINDOW, SEED = 35, 16
 #: Words beside an anchor that a window around it can reach, and the words of a phrase.
@@ -101,62 +103,91 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(arrays, names=["text_no", "place", "seed", "copies", "left", "right", "phrase"])
 
 
-def factor_block(block: pa.Table) -> pa.Table:
+def parse(words: np.ndarray, group: np.ndarray, left: np.ndarray, total: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each phrase's factor around the anchor: the first word from which some other
+    phrase of the group has all words to the anchor's end, and the longest match from there. Words
+    beyond a text's ends must differ from all others. Start -1: no other phrase has the anchor."""
+    n, tail = len(words), REACH + SEED
+    # By what follows the anchor: of phrases that are equal up to there, neighbours share most.
+    follows = np.empty(n, dtype=np.int64)
+    follows[np.lexsort(words[:, :tail - 1 : -1].T)] = np.arange(n)
+    start, end = np.full(n, -1), np.zeros(n, dtype=np.int64)
+    rows = np.arange(n)
+    for first in range(REACH + 1):
+        open_groups = np.zeros(int(group.max(initial=-1)) + 1, dtype=bool)
+        open_groups[group[start < 0]] = True
+        rows = rows[open_groups[group[rows]]]
+        if not len(rows):
+            break
+        at = rows[left[rows] >= REACH - first]
+        h = mix((total[at, tail] - total[at, first]) * back[first]) ^ mix(group[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        order = np.lexsort((follows[at], h))
+        same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+        a, b = at[order[same]], at[order[same + 1]]
+        shared = np.cumprod(words[a, tail:] == words[b, tail:], axis=1).sum(axis=1)
+        most = np.full(n, -1)
+        np.maximum.at(most, a, shared)
+        np.maximum.at(most, b, shared)
+        found = np.flatnonzero((start < 0) & (most >= 0))
+        start[found], end[found] = first, tail + most[found]
+    return start, end
+
+
+def factor_block(block: pa.Table, block_copies: int) -> pa.Table:
     """Spans (start, end) of repeated words, and open windows of anchors that other blocks have too."""
     n = len(block)
     seed, salt, copies, place, left, right = (block.column(c).to_numpy().astype(np.int64) for c in ("seed", "salt", "copies", "place", "left", "right"))
     words = np.frombuffer(b"".join(block.column("phrase").to_pylist()), "<u4").reshape(n, PHRASE).astype(np.uint64)
-    order = np.lexsort((place, salt, seed))
+    at = np.arange(PHRASE)
+    outside = (at < REACH - left[:, None]) | (at >= REACH + SEED + right[:, None])
+    words[outside] = (np.uint64(1) << np.uint64(32)) + np.flatnonzero(outside).astype(np.uint64)
+    order = np.lexsort((salt, seed))
     new = np.ones(n, dtype=bool)
     new[1:] = (np.diff(seed[order]) != 0) | (np.diff(salt[order]) != 0)
     group = np.empty(n, dtype=np.int64)
     group[order] = np.cumsum(new) - 1
-    head = order[new][group]  # the reference occurrence
-
-    # Greedy factor around the anchor, to the left and right as far as both texts agree.
-    equal = words == words[head]
-    to_left = np.minimum(np.minimum(left, left[head]), np.cumprod(equal[:, REACH - 1 :: -1], axis=1).sum(axis=1))
-    to_right = np.minimum(np.minimum(right, right[head]), np.cumprod(equal[:, REACH + SEED :], axis=1).sum(axis=1))
-    long = (to_left + SEED + to_right >= WINDOW) & (head != np.arange(n)) & equal[:, REACH : REACH + SEED].all(axis=1)
-    low, high = np.full(n, PHRASE), np.zeros(n, dtype=np.int64)
-    low[long], high[long] = (REACH - to_left)[long], (REACH + SEED + to_right)[long]
-    np.minimum.at(low, head[long], low[long])
-    np.maximum.at(high, head[long], high[long])
-
-    # Windows by hash: those that cross the factors' ends.
+
     power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(PHRASE - 1, _BASE))), dtype=np.uint64)
     back = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(REACH, _BASE_INVERSE))), dtype=np.uint64)
     total = np.concatenate((np.zeros((n, 1), np.uint64), np.cumsum((words + np.uint64(1)) * power, axis=1, dtype=np.uint64)), axis=1)
-    windows = mix((total[:, WINDOW : WINDOW + REACH + 1] - total[:, : REACH + 1]) * back)
-    start = np.arange(REACH + 1)
-    valid = (start >= REACH - left[:, None]) & (start <= right[:, None])
-    row, column = np.nonzero(valid)
-    own = windows[row, column] ^ mix(group[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-    # A window with two occurrences of its anchor is in two phrases; it still starts in one place.
-    text = np.unique(block.column("text_no").to_numpy(), return_inverse=True)[1]
-    begin = (text[row] << 32) + (place - REACH)[row] + column
-    _, one, inverse = np.unique(own, return_index=True, return_inverse=True)
-    first, last = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
-    np.minimum.at(first, inverse, begin)
-    np.maximum.at(last, inverse, begin)
-    twice = (first != last)[inverse]
-    np.minimum.at(low, row[twice], column[twice])
-    np.maximum.at(high, row[twice], column[twice] + WINDOW)
+    start, end = parse(words, group, left, total, back)
+    long = end - start >= WINDOW
+    low, high = np.where(long & (start >= 0), start, PHRASE), np.where(long & (start >= 0), end, 0)
+
+    # Windows that cross a factor's end: no factor shows whether another phrase has them.
+    column = np.arange(REACH + 1)
+    valid = (column >= REACH - left[:, None]) & (column <= right[:, None])
+    crossing = valid & (start >= 0)[:, None] & (column > start[:, None]) & (column + WINDOW > end[:, None])
+    asked = np.zeros((int(group.max(initial=-1)) + 1, REACH + 1), dtype=bool)
+    row, col = np.nonzero(crossing)
+    asked[group[row], col] = True
+    row, col = np.nonzero(valid & asked[group])
+
+    def window(row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        return mix((total[row, col + WINDOW] - total[row, col]) * back[col])
+
+    own = window(row, col) ^ mix((group[row] * (REACH + 1) + col).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    _, number, times = np.unique(own, return_inverse=True, return_counts=True)
+    hit = crossing[row, col] & (times[number] > 1)
+    row, col = row[hit], col[hit]
+    np.minimum.at(low, row, col)
+    np.maximum.at(high, row, col + WINDOW)  # all these windows hold the anchor, so their union has no gap
 
     base = place - REACH
     found = np.flatnonzero(high > 0)
     spans = {"text_no": block.column("text_no").take(pa.array(found)), "start": pa.array(base[found] + low[found]), "end": pa.array(base[found] + high[found])}
     spans |= {"window": pa.nulls(len(found), pa.int64()), "seed": pa.nulls(len(found), pa.int64()), "settled": pa.array(np.ones(len(found), dtype=bool))}
     # One entry for each distinct window of anchors that were dealt to several blocks.
-    wide = one[copies[row[one]] > BLOCK_COPIES]
-    r, c = row[wide], column[wide]
+    r, c = np.nonzero(valid & (copies > block_copies)[:, None])
+    _, one = np.unique(np.stack((window(r, c), seed[r].astype(np.uint64)), axis=1), axis=0, return_index=True) if len(r) else (None, np.empty(0, np.int64))
+    r, c = r[one], c[one]
     more = {"text_no": block.column("text_no").take(pa.array(r)), "start": pa.array(base[r] + c), "end": pa.array(base[r] + c + WINDOW)}
-    more |= {"window": pa.array(windows[r, c].view(np.int64)), "seed": pa.array(seed[r]), "settled": pa.array(twice[wide])}
+    more |= {"window": pa.array(window(r, c).view(np.int64)), "seed": pa.array(seed[r]), "settled": pa.array((low[r] <= c) & (c + WINDOW <= high[r]))}
     schema = pa.schema([("text_no", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("window", pa.int64()), ("seed", pa.int64()), ("settled", pa.bool_())])
     return pa.concat_tables([pa.table(x).cast(schema) for x in (spans, more)])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_phrases: int = BLOCK_PHRASES, block_copies: int = BLOCK_COPIES) -> DataFrame:
     """For each distinct text with a repeated window: key (MD5), copies (rows with that text) and
     spans, an array of (start, end) in words, end exclusive. A text that several rows have repeats
     as a whole, its spans are then of no further interest."""
@@ -168,19 +199,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = materialise(texts.select("key", F.col("one.row").alias("text_no"), F.col("one.id").alias("rep"), "copies", "n_words"), "texts")
     first = index.select("row", "seeds", "places").join(texts.select(F.col("text_no").alias("row")), "row", "left_semi")
     entries = first.select("row", F.explode(F.arrays_zip("seeds", "places")).alias("e")).select(F.col("e.seeds").alias("seed"), F.col("row").alias("text_no"), F.col("e.places").alias("place"))
-    seeds = entries.groupBy("seed").agg(F.count(F.lit(1)).cast("int").alias("copies")).where("copies > 1")
-    hits = entries.join(seeds, "seed").groupBy("text_no").agg(F.collect_list(F.struct("seed", "copies", "place")).alias("hits"))
+    seeds = materialise(entries.groupBy("seed").agg(F.count(F.lit(1)).cast("int").alias("copies")).where("copies > 1"), "seeds")
+    total = seeds.agg(F.sum("copies")).first()[0] or 0
+    hits = join_by_key(entries, seeds, ["seed"], "copies", total).groupBy("text_no").agg(F.collect_list(F.struct("seed", "copies", "place")).alias("hits"))
     hits = materialise(hits.join(texts.select("text_no", "key", "rep"), "text_no"), "hits")
-    discard(index)
-    total = hits.agg(F.sum(F.size("hits"))).first()[0] or 0
+    discard(index, seeds)
 
     named = (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("rep"))
     phrases = rows.join(hits.select(F.col("key").alias("_key"), "rep", "text_no", "hits"), named).select("text_no", "text", "hits")
     phrases = phrases.mapInArrow(_phrases, "text_no long, place int, seed long, copies int, left int, right int, phrase binary")
-    phrases = phrases.withColumn("salt", F.pmod(F.xxhash64("text_no", "place"), F.ceil(F.col("copies") / BLOCK_COPIES)).cast("int"))
-    block = F.pmod(F.xxhash64("seed", "salt"), F.lit(-(-total // BLOCK_PHRASES) or 1))
-    factored = phrases.groupBy(block.alias("block")).applyInArrow(lambda t: factor_block(t), "text_no long, start long, end long, window long, seed long, settled boolean")
+    phrases = phrases.withColumn("salt", F.pmod(F.xxhash64("text_no", "place"), F.ceil(F.col("copies") / block_copies)).cast("int"))
+    block = F.pmod(F.xxhash64("seed", "salt"), F.lit(-(-total // block_phrases) or 1))
+    factored = phrases.groupBy(block.alias("block")).applyInArrow(lambda t: factor_block(t, block_copies), "text_no long, start long, end long, window long, seed long, settled boolean")
     factored = materialise(factored, "factors")
+    discard(hits)
     opened = factored.where("window IS NOT NULL")
     across = opened.groupBy("seed", "window").agg(F.min(F.struct("text_no", "start")).alias("low"), F.max(F.struct("text_no", "start")).alias("high"), F.bool_or("settled").alias("settled"))
     across = across.where("settled OR low != high").select("seed", "window")
@@ -189,7 +221,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = spans.groupBy("text_no").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     spans = spans.join(texts.select("text_no", "key"), "text_no").drop("text_no")
     copied = texts.where(f"copies > 1 AND n_words >= {WINDOW}").select("key", "copies")
-    return materialise(copied.join(spans, "key", "full").select("key", F.coalesce("copies", F.lit(1)).alias("copies"), "spans"), "spans")
+    out = materialise(copied.join(spans, "key", "full").select("key", F.coalesce("copies", F.lit(1)).alias("copies"), "spans"), "spans")
+    discard(texts, factored)
+    return out
 
 
 def _kept(with_text: bool):
@@ -217,15 +251,16 @@ def _kept(with_text: bool):
     return job
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, block_phrases: int = BLOCK_PHRASES, block_copies: int = BLOCK_COPIES) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, and kept_text if wanted.
 
     Every word covered by a window of 35 words that starts anywhere else as well goes, in all its
     places; the input decides, not what is left. Words are runs of anything but ASCII white space.
     Null, empty and blank texts have no words; texts of fewer words than a window lose none. Rows
-    with a null or repeated id are rows like any other: an equal text elsewhere is a repetition. An
-    empty table gives no rows; other columns are ignored."""
-    spans = repeated_spans(docs, id_col, text_col)
+    with a null or repeated id are rows like any other: an equal text elsewhere is a repetition. Long
+    texts are read whole. Nothing is chosen among repetitions, so there are no ties. An empty table
+    gives no rows; other columns are ignored."""
+    spans = repeated_spans(docs, id_col, text_col, block_phrases, block_copies)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _key(F.col(text_col)).alias("key"))
     out = rows.join(spans, "key", "left").select("doc_id", "text", "copies", "spans")
     out = out.mapInArrow(_kept(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

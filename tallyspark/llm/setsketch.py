@@ -8,7 +8,9 @@ similarity. Runs of `ROWS` registers are band keys. Texts of a band meet in two
 2. members of one band that are not yet in one component are compared with each other.
 
 So a large group of copies costs one comparison for each member and band, not one for each pair,
-and no link between components is lost. A pair is first judged by the sketches alone: the
+and no link between components is lost. Members of a band that no link joins to its main component meet
+each other in blocks, so that a band costs the square of their number: such bands hold texts that
+share five registers though they are not similar, which are few, or chains of texts. A pair is first judged by the sketches alone: the
 similarity is estimated by maximum likelihood from the counts of greater, equal and smaller
 registers and the known set sizes, and far pairs go. All others are confirmed on their full sets.
 The second round does both inside its tasks: a first pass over the sketches finds the members that
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise, runs, word_hashes
+from .common import chunks, discard, join_by_key, materialise, runs, word_hashes
 from .components import connected_components
 
 BANDS, ROWS = 40, 5
@@ -39,6 +41,8 @@ SPACING, SHIFT, TOP = 1.004, 12000, 65535
 SLACK = 0.18
 #: Members of a band that are compared in one task, and rows that one call gets at about.
 TASK, BOX = 1024, 8192
+#: Partners of a text that its full set meets in one place.
+SALTED = 1024
 #: Shingles that one call of the confirmation gets at about.
 BOX_SHINGLES = 4_000_000
 SHINGLE_WORDS, SIMILARITY = 5, 80
@@ -163,12 +167,13 @@ def near_duplicates(
     component is all that links reach, named by its smallest id, which is the one kept. Null, empty
     and blank texts have no shingles and link with nothing. Rows of a null id get component_id null
     and kept true, and link nothing. Rows that repeat an id are one document if their texts have
-    equal sets, else their components are joined, since links are between ids. An empty table gives
-    no rows; other columns are ignored."""
+    equal sets, else their components are joined, since links are between ids. Texts are read whole,
+    however long. An empty table gives no rows; other columns are ignored."""
     rows = materialise(sketched(docs, id_col, text_col, shingle_words), "sketches")
     known = rows.where(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
-    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    member = materialise(known.select("set_key", "doc_id").join(classes, "set_key"), "members")
+    classes = materialise(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    member = materialise(join_by_key(known.select("set_key", "doc_id"), classes, ["set_key"], "copies", total), "members")
     first = member.where("doc_id = rep").select("set_key", "doc_id").distinct()
     reps = known.join(first, ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key"])
     reps = materialise(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"), "classes")
@@ -176,26 +181,34 @@ def near_duplicates(
     bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("sketch", i * 2 * ROWS + 1, F.lit(2 * ROWS)))).alias("band", "part")
     keyed = reps.select("id", "n", bands).select(F.xxhash64("band", "part").alias("key"), "band", "id", "n")
     heads = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    keyed = materialise(keyed.join(heads, "key").select("key", "band", "id", "n", "head"), "bands")
+    heads = materialise(heads, "heads")
+    total = heads.agg(F.sum("size")).first()[0] or 0
+    keyed = materialise(join_by_key(keyed, heads, ["key"], "size", total).select("key", "band", "id", "n", "head"), "bands")
     close = f"a != b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
 
     stars = keyed.select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.n").alias("n_a"), F.col("n").alias("n_b"))
     stars = materialise(stars.where(close).distinct(), "stars")
-    likely = stars
-    for side in "ab":
-        likely = likely.join(reps.select(F.col("id").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+    # A head may have very many partners, so it brings its sketch as a hot key does.
+    degree = stars.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).join(reps.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+    degree = materialise(degree, "star_heads")
+    likely = join_by_key(stars, degree, ["a"], "degree", stars.count()).join(reps.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
     likely = materialise(likely.mapInPandas(_estimated(percent / 100 - SLACK), "a long, b long").distinct(), "likely")
     links = materialise(_confirmed_links(likely, docs, id_col, text_col, shingle_words, percent), "star_links")
     parts = materialise(connected_components(links), "parts")
+    discard(classes, heads, stars, degree, likely, links)
 
     open_ = materialise(_likely_members(keyed.select("key", "band", "id", "n"), parts, reps, percent), "likely_members")
+    discard(keyed, reps)
     more = materialise(_linked_members(open_, docs, id_col, text_col, shingle_words, percent), "cross_links")
+    discard(open_)
 
     # A class joins its members, links join classes, and rows that share an id join theirs.
     shared = member.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select(F.col("low").alias("a"), F.col("high").alias("b"))
     found = connected_components(parts.toDF("a", "b").unionByName(more).unionByName(shared))
-    at = member.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(found, F.col("rep") == F.col("node"), "left")
-    at = at.select("doc_id", F.coalesce("component_id", "rep").alias("component_id"))
+    # Of each representative its component; a text with very many copies is a hot key here as well.
+    tops = member.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")).join(found, F.col("rep") == F.col("node"), "left")
+    tops = materialise(tops.select("rep", "copies", F.coalesce("component_id", "rep").alias("component_id")), "tops")
+    at = join_by_key(member, tops.withColumnRenamed("copies", "weight"), ["rep"], "weight", member.count()).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles").join(at, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -209,9 +222,13 @@ def _likely_members(keyed: DataFrame, parts: DataFrame, reps: DataFrame, percent
     cut into blocks of both kinds, and pairs of blocks are compared in tasks of their own. Sketches are
     compared inside the tasks; only likely pairs leave them."""
     grouped = keyed.join(parts, F.col("id") == F.col("node"), "left").select("key", "band", "id", "n", F.coalesce("component_id", "id").alias("part"))
+    grouped = materialise(grouped, "grouped")
     counts = grouped.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size"))
     mixed = counts.groupBy("key").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.max("size").alias("n_main"), F.sum("size").alias("n_all")).where("n_all > n_main")
-    members = materialise(grouped.join(mixed, "key").join(reps.select("id", "sketch"), "id"), "open")
+    mixed = materialise(mixed, "mixed")
+    all_ = mixed.agg(F.sum("n_all")).first()[0] or 0
+    members = materialise(join_by_key(grouped, mixed, ["key"], "n_all", all_).join(reps.select("id", "sketch"), "id"), "open")
+    discard(grouped, mixed)
     total = members.count()
     inner, whole = F.col("part") == F.col("main"), F.col("n_all") <= TASK
     main_blocks, other_blocks = F.ceil(F.col("n_main") / TASK), F.ceil((F.col("n_all") - F.col("n_main")) / TASK)
@@ -300,7 +317,6 @@ def _linked(percent: int):
 
 def _sets_of(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(id, hashes): the full sets of the texts whose ids are wanted."""
-    wanted = materialise(wanted, "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
     return materialise(_full_sets(texts, k), "sets")
 
@@ -308,12 +324,17 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, k:
 def _confirmed_links(likely: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that the full sets of the texts confirm."""
     sets = _sets_of(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, id_col, text_col, k)
-    for side in "ab":
-        likely = likely.join(sets.select(F.col("id").alias(side), F.col("hashes").alias(f"hashes_{side}")), side)
-    return likely.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_confirmed(percent), "a long, b long").distinct()
+    # The set of a text with very many partners goes to as many places as SALTED of them fill.
+    degree = materialise(likely.groupBy("a").agg(F.count(F.lit(1)).alias("degree")), "degree")
+    places = F.ceil(F.col("degree") / SALTED)
+    salted = join_by_key(likely, degree, ["a"], "degree", likely.count()).withColumn("salt", F.pmod(F.xxhash64("b"), places)).drop("degree")
+    spread = sets.select(F.col("id").alias("a"), F.col("hashes").alias("hashes_a")).join(degree, "a").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), places - 1))).drop("degree")
+    pairs = salted.join(spread, ["a", "salt"]).join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hashes_b")), "b")
+    return pairs.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_confirmed(percent), "a long, b long").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = SIMILARITY) -> DataFrame:
-    """The rows of `docs` that `near_duplicates` keeps, with all their columns."""
+    """The rows of `docs` that `near_duplicates` keeps, with all their columns. Rows with a null id or
+    without words stay; rows that repeat an id stay or go together; an empty table stays empty."""
     gone = near_duplicates(docs, id_col, text_col, shingle_words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__tallyspark_dropped")).distinct()
     return docs.join(gone, F.col(id_col).cast("long") == F.col("__tallyspark_dropped"), "left_anti")

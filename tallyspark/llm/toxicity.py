@@ -2,8 +2,9 @@
 
 Terms - words, and stems that stand for all words they begin - are learned from a bounded sample of
 labelled texts by their log odds. Words of a text that are a term, or a few edits from one, are
-hits. A hit inside quotation marks, or after a word that reports speech, weighs as quotation, others
-as abuse, more so if they crowd. A logistic model over these strengths gives the score.
+hits, unless the sample shows that word in clean texts. A hit inside quotation marks, or after a word
+that reports speech, weighs as quotation, others as abuse. A logistic model over these strengths
+gives the score.
 """
 
 from __future__ import annotations
@@ -18,16 +19,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise
+from .common import chunks, discard, materialise
 from .lexicon_automaton import LexiconAutomaton, allowed_edits
 from .quality import SAMPLE, labelled_sample
 
 THRESHOLD = 0.5
-#: Terms at most, texts of class 1 that a term needs, least log odds ratio, and lengths of stems.
-TERMS, LEAST_TEXTS, LEAST_ODDS = 2000, 8, 3.0
+#: Texts of class 1 that a term needs, least log odds ratio, and lengths of stems. The sample's size
+#: bounds the number of terms.
+LEAST_TEXTS, LEAST_ODDS = 8, 3.0
 STEMS = range(4, 9)
-#: Words before a hit that may report speech, and words in which hits crowd.
-REPORT_WINDOW, CROWD_WINDOW = 4, 20
+#: Words before a hit that may report speech.
+REPORT_WINDOW = 4
 #: Known words that a worker remembers.
 REMEMBERED = 400_000
 
@@ -37,7 +39,9 @@ REPORTING = frozenset("said says say called calls wrote writes quoted quotes quo
 DISGUISES = str.maketrans("0134578@$", "oieastbas")
 
 _TOKEN = re.compile(r"[\w@$]+")
-_QUOTED = re.compile(r'"[^"\n]{1,400}"|“[^”\n]{1,400}”|„[^“”\n]{1,400}[“”]|«[^»\n]{1,400}»')
+#: Quotations end with their line at the latest, and may have any length. No search runs over another
+#: opening mark, so a text is read once.
+_QUOTED = re.compile(r'"[^"\n]+"|“[^“”\n]+”|„[^„“”\n]+[“”]|«[^«»\n]+»')
 _DISGUISED = re.compile(r"[0134578@$]")
 
 
@@ -86,15 +90,17 @@ def choose_terms(counts: list[tuple[str, int, float]]) -> list[tuple[str, float]
                 longer[f"{bare[:n]}*"] = max(longer[f"{bare[:n]}*"], texts[t])
     kept = {t for t in texts if not (t.endswith("*") and longer[t] >= 0.95 * texts[t])}
     covered = {t for t in kept if any(f"{t.removesuffix('*')[:n]}*" in kept for n in STEMS if n < len(t.removesuffix("*")))}
-    return [(t, weight[t]) for t in sorted(kept - covered, key=lambda t: (-texts[t], t))[:TERMS]]
+    return [(t, weight[t]) for t in sorted(kept - covered, key=lambda t: (-texts[t], t))]
 
 
 @dataclass
 class Lexicon:
     terms: list[str]
     weights: list[float]
-    #: Edits that a term allows: none if texts of class 0 have words near it.
+    #: Edits that a term allows: none if it has more words near it in texts of class 0 than of class 1.
     edits: list[int]
+    #: Words near a term that are words of their own, as texts of class 0 have them.
+    harmless: frozenset[str] = frozenset()
 
     def matcher(self) -> Matcher:
         return Matcher(self)
@@ -115,7 +121,7 @@ class Matcher:
             if w in self.known:
                 hit = self.known[w]
             else:
-                hit = self.automaton.look_up(plain(w))
+                hit = self.automaton.look_up(plain(w)) if w not in self.lexicon.harmless else None
                 if hit and w != plain(w):
                     hit = (max(hit[0], 1), hit[1])
                 self.known[w] = hit
@@ -130,16 +136,17 @@ class Matcher:
         if not near:
             return []
         quoted = [m.span() for m in _QUOTED.finditer(low)]
-        out, before, q = [], [], 0
+        out: list[tuple[str, int, int, bool]] = []
+        before, q = [], 0
         for m in _TOKEN.finditer(low):
             w = m.group()
             if w in near:
                 while q < len(quoted) and quoted[q][1] <= m.start():
                     q += 1
                 inside = q < len(quoted) and quoted[q][0] <= m.start() and m.end() <= quoted[q][1]
-                out.append((w, *near[w], inside or not REPORTING.isdisjoint(before), len(out)))
+                out.append((w, *near[w], inside or not REPORTING.isdisjoint(before)))
             before = [*before[-REPORT_WINDOW + 1 :], w]
-        return [h[:4] for h in out]
+        return out
 
     def strengths(self, text: str) -> list[float]:
         """Abuse by exact terms, abuse by near ones, quotation, and number of distinct exact terms."""
@@ -177,6 +184,23 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def allow_edits(lexicon: Lexicon, near: list[tuple[str, str, int, int]], ones: int, zeros: int) -> None:
+    """Settle edits and harmless words from (term, word, texts of class 1, texts of class 0) of words
+    near a term. A word is harmless unless it is as telling as a term has to be, or in no text of
+    class 0; a term allows no edits if its harmless words have the greater share of texts."""
+
+    def odds(n1: int, n0: int) -> float:
+        return float(np.log((n1 + 0.5) / (ones + 1)) - np.log((n0 + 0.5) / (zeros + 1)))
+
+    lexicon.harmless = frozenset(word for _, word, n1, n0 in near if n0 and odds(n1, n0) < LEAST_ODDS)
+    sums: dict[int, np.ndarray] = {}
+    for term, _, n1, n0 in near:
+        sums[term] = sums.get(term, 0) + np.array([n1, n0])
+    for term, (n1, n0) in sums.items():
+        if odds(n1, n0) < 0:
+            lexicon.edits[term] = 0
+
+
 def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str, text_col: str, label_col: str) -> tuple[Lexicon, np.ndarray]:
     """Lexicon and logistic weights, from at most SAMPLE labelled rows; equal texts count once."""
     wanted = F.broadcast(labelled_sample(labels, may_learn, label_col).withColumnRenamed("doc_id", "_id"))
@@ -188,18 +212,23 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str, te
     found = found.agg(F.sum(F.expr("IF(y = 1, texts, 0)")).alias("n1"), F.sum(F.expr("IF(y = 0, texts, 0)")).alias("n0"))
     odds = F.log((F.col("n1") + 0.5) / F.lit(ones + 1)) - F.log((F.col("n0") + 0.5) / F.lit(zeros + 1))
     found = found.select("term", "n1", odds.alias("odds")).where((F.col("n1") >= LEAST_TEXTS) & (F.col("odds") >= LEAST_ODDS))
-    top = found.orderBy(F.desc("n1"), "term").limit(20 * TERMS).collect()
+    top = found.orderBy(F.desc("n1"), "term").collect()  # terms of LEAST_TEXTS texts of the sample or more
     chosen = choose_terms([(r["term"], r["n1"], min(r["odds"], 6.0)) for r in top])
     lexicon = Lexicon([t for t, _ in chosen], [w for _, w in chosen], [allowed_edits(t) for t, _ in chosen])
 
     def approached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(term, word, y) once for each text that has the word near the term outside quotations."""
         matcher = lexicon.matcher()
         for batch in batches:
-            near = {hit[1] for _, texts in chunks(batch.column(0)) for t in texts for hit in matcher.near(set(tokens(t))).values() if hit[0]}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(near), pa.int32())], names=["term"])
+            classes, rows = batch.column(1).to_pylist(), []
+            for at, texts in chunks(batch.column(0)):
+                for i, text in enumerate(texts):
+                    rows += [(term, word, classes[at + i]) for word, term in {(w, t) for w, edits, t, quoted in matcher.hits(text) if edits and not quoted}]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int32()))], names=["term", "word", "y"])
 
-    for row in sample.where("y = 0").select("text").mapInArrow(approached, "term int").distinct().collect():  # terms at most
-        lexicon.edits[row["term"]] = 0
+    near = sample.mapInArrow(approached, "term int, word string, y int").groupBy("term", "word")
+    near = near.agg(F.count_if("y = 1").alias("n1"), F.count_if("y = 0").alias("n0")).collect()  # words of the sample near a term
+    allow_edits(lexicon, [tuple(r) for r in near], ones, zeros)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = lexicon.matcher()
@@ -209,6 +238,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str, te
 
     rows = sample.mapInArrow(measured, "y int, x array<double>").groupBy("y", "x").count().orderBy("y", "x").collect()
     x = np.repeat(np.array([r["x"] for r in rows]).reshape(-1, len(PRIOR) - 1), [r["count"] for r in rows], axis=0)
+    discard(sample)
     return lexicon, fit_logistic(x, np.repeat([r["y"] for r in rows], [r["count"] for r in rows]).astype(float))
 
 
@@ -216,9 +246,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col
     """One row per input row: doc_id, score (0 to 1, higher for class 1), predicted (score >= 0.5).
 
     `labels` has doc_id and `label_col`; `may_learn` is a condition on its doc_id. Null and empty
-    texts get the score of a text without hits. Rows of a null or repeated id are scored like any
-    other. Without labels there is no term and all score alike, low. An empty table gives no rows;
-    other columns are ignored."""
+    texts get the score of a text without hits. Texts are read whole, however long. Rows of a null or
+    repeated id are scored like any other. A word as near to two terms counts for the first of them,
+    a score at the threshold as toxic. Without labels there is no term and all score alike, low. An
+    empty table gives no rows; other columns are ignored."""
     lexicon, weights = learn(docs, labels, may_learn, id_col, text_col, label_col)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +262,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """The rows of `docs` that `score_toxicity` does not call toxic, with all their columns."""
+    """The rows of `docs` that `score_toxicity` does not call toxic, with all their columns, repeated
+    rows and those of a null id or text included. An empty table stays empty."""
     lexicon, weights = learn(docs, labels, may_learn, id_col, text_col, label_col)
     at = docs.columns.index(text_col)
 

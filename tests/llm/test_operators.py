@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyspark.llm import components, exact_dedup, language_id, packing, pii, piece_bpe, quality, relative_lz, rp_forest, setsketch, toxicity
+from tallyspark.llm import common, components, exact_dedup, language_id, packing, pii, piece_bpe, quality, relative_lz, rp_forest, setsketch, toxicity
 from tallyspark.llm.common import remainder
 from tallyspark.llm.lexicon_automaton import LexiconAutomaton
 
@@ -83,7 +83,10 @@ def test_exact_groups(docs, none):
 
 def test_pieces_like_the_library(docs, real, none):
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    odd = ["  a  b\n\tc ", "▁a▁ b", "ｆｕｌｌ é ﬁ 😀", "\x00a\r\n", "=" * 401, " " * 77 + "a", "ing" * 200, "<s> hi </s>"]
+    rng = np.random.default_rng(4)
+    odd = ["".join(rng.choice(list("abet n"), 300)) for _ in range(40)] + ["".join(rng.choice(list("aàe中"), 90)) for _ in range(20)]
+    odd += ["a" * 4001, "ab" * 1500, "ing" * 1001 + "x", "0" * 777, "=-" * 300, "ha" * 333 + " haha" * 20]
+    odd += ["  a  b\n\tc ", "▁a▁ b", "ｆｕｌｌ é ﬁ 😀", "\x00a\r\n", "=" * 401, " " * 77 + "a", "ing" * 200, "<s> hi </s>"]
     for text in odd:
         ids = piece_bpe.encode(text, PIECES)
         assert ids == model.encode(text)
@@ -98,6 +101,16 @@ def test_pieces_like_the_library(docs, real, none):
     assert piece_bpe.encode_decode(none, PIECES).count() == 0
 
 
+def test_a_very_long_word_takes_few_rounds(monkeypatch):
+    own, rounds = piece_bpe.model_at(PIECES), []
+    pairs = own._pairs
+    monkeypatch.setattr(own, "_pairs", lambda sym: rounds.append(len(sym)) or pairs(sym))
+    ids, _ = own.encode_words(["▁" + "a" * 400_000])
+    assert b"".join(own.spelled[i] for i in ids) == b" " + b"a" * 400_000 and len(rounds) < 40
+    assert ids[:1000].tolist() == sentencepiece.SentencePieceProcessor(model_file=PIECES).encode("a" * 400_000)[:1000]
+    assert len(own.decode(np.full(100_000, own.byte_id[0xC3]))) == 100_000  # bytes that are no UTF-8
+
+
 def test_pieces_of_invalid_bytes():
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     own = piece_bpe.model_at(PIECES)
@@ -285,17 +298,40 @@ def removed(data):
 
 
 @pytest.mark.parametrize("copies", [1024, 2])
-def test_repeated_spans(spark, docs, real, copies, monkeypatch):
-    monkeypatch.setattr(relative_lz, "BLOCK_COPIES", copies)
-    monkeypatch.setattr(relative_lz, "BLOCK_PHRASES", 7)
+def test_repeated_spans(spark, docs, real, copies):
     loops = ["x " * 34 + "x", "x " * 90, "ab ba " * 60, f"{PASSAGE} {PASSAGE}", " ".join(PASSAGE.split()[:34]), " ".join(PASSAGE.split()[20:55]) + " tail"]
+    # Three texts, of which each two share another part of one passage.
+    loops += [" ".join(PASSAGE.split()[:45]) + " left", "right " + " ".join(PASSAGE.split()[8:]), "mid " + " ".join(PASSAGE.split()[4:50]) + " dle"]
     more = spark.createDataFrame([(500 + i, t) for i, t in enumerate(loops)], "doc_id long, text string")
     for table in (docs.select("doc_id", "text").unionByName(more), real.select("doc_id", "text")):
         data = [(r.doc_id, r.text) for r in table.collect()]
-        assert sorted(map(tuple, relative_lz.remove_repeats(table).collect()), key=str) == removed(data)
+        assert sorted(map(tuple, relative_lz.remove_repeats(table, block_phrases=7, block_copies=copies).collect()), key=str) == removed(data)
     assert relative_lz.remove_repeats(table.limit(0)).count() == 0
 
 
+def test_repeated_spans_come_from_factors(spark, docs, monkeypatch):
+    table = docs.select("doc_id", "text").coalesce(1)
+    data = [(r.doc_id, r.text) for r in table.collect()]
+    batch = pa.table({"text": [t or "" for _, t in data]})
+    words, first = common.word_hashes(batch["text"].to_pylist(), lower=False)
+    place, seed = relative_lz.anchors(words, first)
+    text = np.searchsorted(first, place, side="right") - 1
+    hits = [[{"seed": int(s.view(np.int64)), "copies": 2, "place": int(p - first[t])} for p, s in zip(place[text == t], seed[text == t], strict=True)] for t in range(len(data))]
+    rows = pa.record_batch([pa.array(range(len(data)), pa.int64()), batch["text"].combine_chunks(), pa.array(hits, pa.list_(pa.struct([("seed", pa.int64()), ("copies", pa.int32()), ("place", pa.int32())])))], names=["text_no", "text", "hits"])
+    phrases = pa.Table.from_batches(list(relative_lz._phrases(iter([rows]))))
+    phrases = phrases.append_column("salt", pa.array([0] * len(phrases), pa.int32()))
+    passage = [i for i, (d, _) in enumerate(data) if d in (12, 13)]
+
+    def spans():
+        out = relative_lz.factor_block(phrases, 1024).to_pylist()
+        return {(r["text_no"], k) for r in out if r["text_no"] in passage for k in range(r["start"], r["end"])}
+
+    whole = spans()
+    assert len(whole) == 120  # both texts hold the passage of 60 words
+    monkeypatch.setattr(relative_lz, "parse", lambda words, *_: (np.full(len(words), -1), np.zeros(len(words), dtype=np.int64)))
+    assert spans() == set()
+
+
 # Learned models
 
 
@@ -335,12 +371,39 @@ def test_automaton():
                 d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
         return d[-1][-1]
 
-    one = LexiconAutomaton(["abcab"], [2])
-    for _ in range(2000):
-        word = "".join(rng.choice(list("abc"), rng.integers(1, 8)))
-        got, want = one.look_up(word), distance("abcab", word)
-        assert (got is not None) or want > 2
-        assert got is None or got[0] <= want
+    def swapped(word):
+        return {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)} - {word}
+
+    # A whole lexicon: edit distance, where a swap of neighbours in the term costs one as well.
+    terms, edits = ["abcab", "aabb", "cacacaca", "bcb*", "abc"], [2, 1, 2, 0, 0]
+    whole = LexiconAutomaton(terms, edits)
+    for _ in range(3000):
+        word = "".join(rng.choice(list("abcd"), rng.integers(1, 11)))
+        want = []
+        for t, (term, k) in enumerate(zip(terms, edits, strict=True)):
+            if term.endswith("*"):
+                d = 0 if word.startswith(term[:-1]) else 99
+            else:
+                d = min([distance(term, word), *(1 + distance(s, word) for s in swapped(term))])
+            if d <= k:
+                want.append((d, t))
+        assert whole.look_up(word) == min(want, default=None)
+
+
+def test_edits_and_harmless_words():
+    lexicon = toxicity.Lexicon(["moron", "idiot"], [6.0, 6.0], [1, 1])
+    toxicity.allow_edits(lexicon, [(0, "oron", 0, 40), (0, "morom", 5, 0), (1, "idito", 30, 0), (1, "idiom", 0, 3)], 1000, 1000)
+    assert lexicon.harmless == {"oron", "idiom"} and lexicon.edits == [0, 1]
+    found = lexicon.matcher().near({"idiom", "idito", "moron", "morom"})
+    assert found == {"idito": (1, 1), "moron": (0, 0)}
+
+
+def test_long_quotations():
+    lexicon = toxicity.Lexicon(["moron"], [6.0], [0])
+    for a, b in (('"', '"'), ("“", "”"), ("«", "»"), ("„", "“")):
+        inside = f"x {a}{'so ' * 250}moron{b} out"
+        assert lexicon.matcher().strengths(inside)[:3] == [0, 0, 6] and lexicon.matcher().strengths(inside + " moron")[0] == 6
+    assert lexicon.matcher().strengths('5" wide\nyou moron and "so"')[0] == 6
 
 
 def test_toxicity(spark, docs, none, labels):
