@@ -35,9 +35,11 @@ def amount(x: Column) -> Column:
 
 
 def iso_date(x: Column) -> Column:
-    """Date from text in the first form that fits, else a date of this century anywhere in it."""
+    """Date from text in the first form that fits, with a year of four digits, else a date of this
+    century anywhere in it."""
     text = F.trim(x.cast("string"))
-    forms = [F.to_date(F.try_to_timestamp(text, F.lit(form))) for form in DATE_FORMS]
+    whole_year = F.when(text.rlike(r"(?<!\d)\d{4}(?!\d)"), text)
+    forms = [F.to_date(F.try_to_timestamp(whole_year, F.lit(form))) for form in DATE_FORMS]
     found = F.regexp_replace(F.regexp_extract(text, r"\b(20\d\d[-/](?:0[1-9]|1[0-2])[-/](?:0[1-9]|[12]\d|3[01]))\b", 1), "/", "-")
     return F.coalesce(*forms, found.try_cast("date"))
 
@@ -63,7 +65,8 @@ def canonical_id(x: Column) -> Column:
     """Upper-case id without surrounding quotes and brackets; separators stay; empty if missing."""
     text = F.trim(x.cast("string"))
     bare = F.regexp_replace(text, "^['\"`()\\[\\]{}]+|['\"`()\\[\\]{}]+$", "")
-    return F.when(is_missing(text), "").otherwise(F.upper(F.trim(F.regexp_replace(bare, r"\s+", " "))))
+    missing = text.isNull() | F.lower(text).isin("nan", "none", "null", "n/a", "")
+    return F.when(missing, "").otherwise(F.upper(F.regexp_replace(bare, r"\s+", " ")))
 
 
 def currency(x: Column) -> Column:

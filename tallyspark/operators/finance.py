@@ -98,15 +98,16 @@ def ewma(daily: DataFrame, value: str, by: Column, alpha: float = 0.3) -> DataFr
 def forecast(daily: DataFrame, horizon: int, opening: str | None = None) -> DataFrame:
     """Projected flow and running balance for `horizon` days (1 to 90) after the last day.
 
-    Run rates are totals over the days with inflow; weekdays weigh the inflow. Without an opening
+    Run rates are totals over the days with inflow; weekdays weigh the inflow and the outflow. Without an opening
     balance the history's net flow is one."""
     if not 1 <= horizon <= 90:
         raise ValueError("horizon must lie between 1 and 90 days")
     base = daily.agg(F.max("day").alias("last"), F.sum("inflow").alias("inflow"), F.sum("outflow").alias("outflow"), F.greatest(F.count_if(F.col("inflow") > 0), F.lit(1)).alias("days"))
     weights = F.array(*(F.lit(w) for w in WEEKDAY_WEIGHTS))
     days = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("i")).withColumn("day", F.date_add("last", F.col("i")))
-    rate = F.col("inflow").cast("double") / F.col("days")
-    days = days.withColumns({"in_flow": F.round(rate * F.get(weights, F.weekday("day")), 2).cast(MONEY), "out_flow": F.round(F.col("outflow").cast("double") / F.col("days"), 2).cast(MONEY)})
+    weight = F.get(weights, F.weekday("day"))
+    flow = lambda c: F.round(F.col(c).cast("double") / F.col("days") * weight, 2).cast(MONEY)
+    days = days.withColumns({"in_flow": flow("inflow"), "out_flow": flow("outflow")})
     start = F.lit(opening).cast("decimal(38,2)") if opening is not None else (F.col("inflow") - F.col("outflow")).cast("decimal(38,2)")
     running = F.sum(F.col("in_flow") - F.col("out_flow")).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0))  # horizon rows at most
     return days.select("day", "in_flow", "out_flow", (start + running).cast("decimal(38,2)").alias("balance"))

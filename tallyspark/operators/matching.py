@@ -18,6 +18,10 @@ from ..functions.scalar import MONEY
 
 FIELDS = ("uid", "record_id", "canonical_id", "clean_ref", "dt", "amount", "net_amount", "fee_amount", "currency", "entity", "source")
 
+# Strategies of the passes by id and by reference, without and with a fee between.
+ID_STRATEGIES = ("EXACT_TRANSACTION_ID", "EXACT_TRANSACTION_ID_FEE_DELTA")
+REFERENCE_STRATEGIES = ("FALLBACK_EXACT_REFERENCE", "FALLBACK_REFERENCE_FEE_DELTA")
+
 
 @dataclass(frozen=True)
 class Tolerances:
@@ -38,7 +42,7 @@ def differences(t: Tolerances) -> dict[str, Column]:
     net = F.least(F.abs(na - b), F.abs(a - nb), F.abs(na - nb))
     near = gross <= money(t.amount)
     return {
-        "gross_diff": gross.cast(MONEY), "basis": F.when(near, "GROSS").otherwise("NET"),
+        "gross_diff": gross.cast(MONEY), "net_diff": net.cast(MONEY), "basis": F.when(near, "GROSS").otherwise("NET"),
         "best_diff": F.when(near, gross).otherwise(net).cast(MONEY), "days_diff": F.coalesce(F.abs(F.datediff("dt_a", "dt_b")), F.lit(0)),
     }
 
@@ -77,9 +81,10 @@ def rank_zip(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return ranked(a, "a").join(ranked(b, "b"), ["_key", "_rank"]).drop("_key", "_rank")
 
 
-def key_pass(a: DataFrame, b: DataFrame, key: str, strategy: str, t: Tolerances, scores: tuple[int, int, int], repeated: DataFrame | None) -> DataFrame:
+def key_pass(a: DataFrame, b: DataFrame, key: str, strategies: tuple[str, str], t: Tolerances, scores: tuple[int, int, int], repeated: DataFrame | None) -> DataFrame:
     """Outcomes of the rank-zipped pairs of one key. `repeated` (canonical_id) names the ids that are
-    duplicates; without it a key that several rows of a side share is an ambiguous candidate."""
+    duplicates; without it a key that several rows of a side share is an ambiguous candidate. The second
+    strategy is that of matches whose difference only the fee tolerance allows."""
     pairs = rank_zip(a, b, key).withColumns(differences(t))
     if repeated is not None:
         known = repeated.select(F.col("canonical_id").alias("canonical_id_a"), F.lit(True).alias("_dup"))
@@ -89,8 +94,9 @@ def key_pass(a: DataFrame, b: DataFrame, key: str, strategy: str, t: Tolerances,
         pairs = pairs.withColumn("_dup", F.lit(False))
         duplicate, ambiguous = F.lit(False), (F.col("_size_a") > 1) | (F.col("_size_b") > 1)
     steps = ladder(t, duplicate, ambiguous, *scores)
-    out = pairs.withColumn("outcome", steps["outcome"]).withColumns({"confidence": steps["confidence"], "is_match": steps["is_match"], "strategy": F.lit(strategy)})
-    return out.drop("_dup", "_size_a", "_size_b")
+    out = pairs.withColumn("outcome", steps["outcome"]).withColumns({"confidence": steps["confidence"], "is_match": steps["is_match"]})
+    by_fee = F.col("is_match") & (F.col("best_diff") > money(t.amount))
+    return out.withColumn("strategy", F.when(by_fee, strategies[1]).otherwise(strategies[0])).drop("_dup", "_size_a", "_size_b")
 
 
 def residual(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
@@ -154,21 +160,22 @@ def amount_candidates(a: DataFrame, b: DataFrame, t: Tolerances) -> DataFrame:
 
 def amount_pass(a: DataFrame, b: DataFrame, t: Tolerances) -> DataFrame:
     """Greedy outcomes of the amount candidates in order of phase and rows. A candidate whose rows have
-    others too is ambiguous; else it matches, better if the names share a word."""
+    others too is ambiguous; else it matches, better if the names are equal or share a word."""
     pairs = amount_candidates(a, b, t)
     for side in "ab":
         pairs = pairs.withColumn(f"_degree_{side}", F.count(F.lit(1)).over(Window.partitionBy(f"uid_{side}")))
-    shares = F.arrays_overlap(F.split("entity_a", " "), F.split("entity_b", " ")) & (F.col("entity_a") != "") & (F.col("entity_b") != "")
+    shares = F.arrays_overlap(F.split("entity_a", " "), F.split("entity_b", " "))  # two empty names are equal
     score = F.when(shares, 85).otherwise(76)
     outcome = F.when(F.col("currency_a") != F.col("currency_b"), "CURRENCY_MISMATCH").when((F.col("_degree_a") > 1) | (F.col("_degree_b") > 1), "AMBIGUOUS_CANDIDATE_CONFLICT").when(score >= t.confidence, "FUZZY_MATCH")
-    pairs = pairs.withColumns({"outcome": outcome, "confidence": F.when(outcome == "FUZZY_MATCH", score), "strategy": F.lit("AMOUNT_DATE")}).where("outcome IS NOT NULL")
+    pairs = pairs.withColumns({"outcome": outcome, "confidence": F.when(outcome == "FUZZY_MATCH", score), "strategy": F.lit("FALLBACK_AMOUNT_DATE")}).where("outcome IS NOT NULL")
     points = pairs.withColumns({"_a": F.concat(F.lit("a"), F.col("uid_a")), "_b": F.concat(F.lit("b"), F.col("uid_b"))})
     out = greedy(points, ["_a", "_b"], ["phase", "uid_a", "uid_b"])
     return out.withColumn("is_match", F.col("outcome") == "FUZZY_MATCH").drop("_a", "_b", "_degree_a", "_degree_b", "phase")
 
 
 def entity_candidates(a: DataFrame, b: DataFrame, t: Tolerances) -> DataFrame:
-    """Pairs of equal entity, within the date window and with a best difference within the fee band.
+    """Pairs of equal entity, within the date window and with a best difference within the fee band;
+    here the smaller of the gross and the net difference is the best, whichever it is.
 
     Equal entities are also joined on a bucket of the date, so that an entity with very many rows is
     not multiplied out: rows meet only those of their own and the neighbouring buckets."""
@@ -178,6 +185,7 @@ def entity_candidates(a: DataFrame, b: DataFrame, t: Tolerances) -> DataFrame:
     right = sided(b, "b").join(b.select(F.col("uid").alias("uid_b"), bucket.alias("_bucket")), "uid_b")
     on = (F.col("entity_a") == F.col("entity_b")) & (left["_bucket"] == right["_bucket"])
     pairs = left.join(right, on).drop("_bucket").where(F.abs(F.datediff("dt_a", "dt_b")) <= t.days).withColumns(differences(t))
+    pairs = pairs.withColumn("best_diff", F.least("gross_diff", "net_diff"))
     return pairs.where(F.col("best_diff") <= money(t.fee))
 
 
@@ -193,7 +201,7 @@ def entity_pass(a: DataFrame, b: DataFrame, t: Tolerances) -> DataFrame:
     for side in "ab":
         same = same.withColumn(f"_degree_{side}", F.count(F.lit(1)).over(Window.partitionBy(f"uid_{side}")))
     only = same.where("_degree_a = 1 AND _degree_b = 1").drop("_degree_a", "_degree_b").withColumns({"outcome": F.lit("FUZZY_MATCH"), "confidence": F.lit(78)})
-    return cross.unionByName(only).withColumns({"strategy": F.lit("ENTITY_BAND"), "is_match": F.col("outcome") == "FUZZY_MATCH"})
+    return cross.unionByName(only).withColumns({"strategy": F.lit("FALLBACK_ENTITY_AMOUNT_DATE"), "is_match": F.col("outcome") == "FUZZY_MATCH"})
 
 
 def splits(a: DataFrame, b: DataFrame, t: Tolerances) -> DataFrame:
@@ -201,13 +209,14 @@ def splits(a: DataFrame, b: DataFrame, t: Tolerances) -> DataFrame:
 
     Rather than making all pairs of rows, each (single, member) pair within the window looks up the
     partner amount it needs, to the cent within the tolerance, by an equi-join. Rows are consumed
-    greedily by difference, then ids, over both directions."""
+    greedily by difference, then their sorted record ids, so that swapping the sides changes nothing;
+    only rows of equal record ids are told apart by direction and place."""
     cents = int(float(t.amount) * 100 + 0.5)
     found = None
     for kind, one, two in (("ONE_TO_TWO_SPLIT", a, b), ("TWO_TO_ONE_SPLIT", b, a)):
         tag_one, tag_two = ("a", "b") if kind.startswith("ONE") else ("b", "a")
-        single = one.where("amount IS NOT NULL").select(F.col("uid").alias("single"), F.col("amount").alias("whole"), F.col("dt").alias("dt_s"))
-        parts = two.where("amount IS NOT NULL").select("uid", "amount", "dt")
+        single = one.where("amount IS NOT NULL").select(F.col("uid").alias("single"), F.col("amount").alias("whole"), F.col("dt").alias("dt_s"), F.col("record_id").alias("id_s"))
+        parts = two.where("amount IS NOT NULL").select("uid", "amount", "dt", "record_id")
         # Days that a single can meet; rows without a date meet all, in joins of
         # their own that only such rows take part in.
         day = F.explode(F.sequence(F.date_sub("dt_s", t.days), F.date_add("dt_s", t.days)))
@@ -215,16 +224,15 @@ def splits(a: DataFrame, b: DataFrame, t: Tolerances) -> DataFrame:
         undated = F.lit(True)
         open_s = single.where("dt_s IS NULL").join(parts, undated)
         open_p = single.where("dt_s IS NOT NULL").join(parts.where("dt IS NULL"), undated)
-        columns = ["single", "whole", "dt_s", "uid", "amount"]
+        columns = ["single", "whole", "dt_s", "id_s", "uid", "amount", "record_id"]
         first = dated.select(*columns).unionByName(open_s.select(*columns)).unionByName(open_p.select(*columns))
         need = first.withColumn("need", F.explode(F.sequence(F.lit(-cents), F.lit(cents))))
-        need = need.select("single", "whole", "dt_s", F.col("uid").alias("one"), F.col("amount").alias("part_one"), ((F.col("whole") - F.col("amount")) + F.col("need") / F.lit(100).cast("decimal(3,0)")).cast(MONEY).alias("part_two"))
-        second = parts.select(F.col("uid").alias("two"), F.col("amount").alias("part_two"), F.col("dt").alias("dt_two"))
+        need = need.select("single", "whole", "dt_s", "id_s", F.col("record_id").alias("id_one"), F.col("uid").alias("one"), F.col("amount").alias("part_one"), ((F.col("whole") - F.col("amount")) + F.col("need") / F.lit(100).cast("decimal(3,0)")).cast(MONEY).alias("part_two"))
+        second = parts.select(F.col("uid").alias("two"), F.col("amount").alias("part_two"), F.col("dt").alias("dt_two"), F.col("record_id").alias("id_two"))
         edges = need.join(second, "part_two").where("one < two").where(F.coalesce(F.abs(F.datediff("dt_s", "dt_two")) <= t.days, F.lit(True)))
-        edges = edges.select(F.lit(kind).alias("kind"), "single", "one", "two", F.abs(F.col("part_one") + F.col("part_two") - F.col("whole")).cast(MONEY).alias("diff"), *(F.concat(F.lit(tag), F.col(c)).alias(f"_{c}") for tag, c in ((tag_one, "single"), (tag_two, "one"), (tag_two, "two"))))
+        edges = edges.select(F.lit(kind).alias("kind"), "single", "one", "two", F.abs(F.col("part_one") + F.col("part_two") - F.col("whole")).cast(MONEY).alias("diff"), F.array_join(F.array_sort(F.array("id_s", "id_one", "id_two")), "~").alias("_ids"), *(F.concat(F.lit(tag), F.col(c)).alias(f"_{c}") for tag, c in ((tag_one, "single"), (tag_two, "one"), (tag_two, "two"))))
         found = edges if found is None else found.unionByName(edges)
-    ids = F.concat_ws("~", F.array_sort(F.array("_single", "_one", "_two")))
-    out = greedy(found.distinct().withColumn("_ids", ids), ["_single", "_one", "_two"], ["diff", "_ids"])
+    out = greedy(found.distinct(), ["_single", "_one", "_two"], ["diff", "_ids", "kind", "single", "one", "two"])
     return out.select("kind", "single", "one", "two", "diff").withColumn("confidence", F.lit(80))
 
 
@@ -233,8 +241,8 @@ def reconcile(a: DataFrame, b: DataFrame, t: Tolerances = Tolerances()) -> tuple
     both = a.select("canonical_id", F.lit("a").alias("side")).unionByName(b.select("canonical_id", F.lit("b").alias("side")))
     outcomes = None
     for run in (
-        lambda x, y: key_pass(x, y, "canonical_id", "EXACT_TRANSACTION_ID", t, (100, 98, 90), duplicate_ids(both)),
-        lambda x, y: key_pass(x, y, "clean_ref", "CLEAN_REFERENCE", t, (95, 95, 90), None),
+        lambda x, y: key_pass(x, y, "canonical_id", ID_STRATEGIES, t, (100, 98, 95), duplicate_ids(both)),
+        lambda x, y: key_pass(x, y, "clean_ref", REFERENCE_STRATEGIES, t, (95, 95, 90), None),
         lambda x, y: amount_pass(x, y, t),
         lambda x, y: entity_pass(x, y, t),
     ):

@@ -20,7 +20,7 @@ ORACLES: dict[str, str] = {}
 
 
 #: Columns of money and of days: results show them as doubles and as ISO texts, in both engines.
-MONEY = "amount net best_diff adjustment total total_a total_b variance total_expected total_reported inflow outflow receivable payable dso dpo diff balance in_flow out_flow".split()
+MONEY = "amount net best_diff gross_diff adjustment total total_a total_b variance total_expected total_reported inflow outflow receivable payable dso dpo diff balance in_flow out_flow".split()
 DAYS = ["day"]
 
 
@@ -49,14 +49,14 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def first_pass(a: DataFrame, b: DataFrame) -> DataFrame:
     both = a.select("canonical_id", F.lit("a").alias("side")).unionByName(b.select("canonical_id", F.lit("b").alias("side")))
-    return matching.key_pass(a, b, "canonical_id", "EXACT_TRANSACTION_ID", T, (100, 98, 90), matching.duplicate_ids(both))
+    return matching.key_pass(a, b, "canonical_id", matching.ID_STRATEGIES, T, (100, 98, 95), matching.duplicate_ids(both))
 
 
 def second_pass(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(outcomes, rows left of a, rows left of b) of the reference pass after the id pass."""
     done = matching.checkpointed(first_pass(a, b))
     a, b = matching.residual(a, done, "a"), matching.residual(b, done, "b")
-    pairs = matching.checkpointed(matching.key_pass(a, b, "clean_ref", "CLEAN_REFERENCE", T, (95, 95, 90), None))
+    pairs = matching.checkpointed(matching.key_pass(a, b, "clean_ref", matching.REFERENCE_STRATEGIES, T, (95, 95, 90), None))
     return pairs, matching.residual(a, pairs, "a"), matching.residual(b, pairs, "b")
 
 
@@ -75,7 +75,7 @@ def _zip(left: str, right: str, key: str, name: str, case: str) -> str:
  {name}_0 AS (SELECT {columns}, x.sz AS sz_x, y.sz AS sz_y FROM {ranked(left)} x JOIN {ranked(right)} y ON x.{key} = y.{key} AND x.rk = y.rk),
  {name}_1 AS (SELECT *, {best} AS best, coalesce(abs(dt_x - dt_y), 0) AS days FROM {name}_0),
  {name} AS (SELECT uid_x AS uid_a, uid_y AS uid_b, CASE WHEN amount_x IS NULL OR amount_y IS NULL THEN 'MISSING_AMOUNT' WHEN currency_x <> currency_y THEN 'CURRENCY_MISMATCH' {case}
-   WHEN best = 0 AND days = 0 THEN 'EXACT_MATCH' WHEN best <= 2.50 THEN 'TOLERANCE_MATCH' ELSE 'AMOUNT_MISMATCH' END AS outcome, best, days, amount_x AS amount_a FROM {name}_1)"""
+   WHEN best = 0 AND days = 0 THEN 'EXACT_MATCH' WHEN best <= 2.50 THEN 'TOLERANCE_MATCH' ELSE 'AMOUNT_MISMATCH' END AS outcome, best, days, amount_x AS amount_a, abs(amount_x - amount_y) AS gross FROM {name}_1)"""
 
 
 _PASS1 = _ROWS + "," + _zip("a", "b", "canonical_id", "p1", "WHEN canonical_id_x IN (SELECT canonical_id FROM dup) THEN 'DUPLICATE_TRANSACTION'")
@@ -83,6 +83,13 @@ _LEFT1 = _PASS1 + ", a1 AS (SELECT * FROM a WHERE uid NOT IN (SELECT uid_a FROM
 _PASS2 = _LEFT1 + "," + _zip("a1", "b1", "clean_ref", "p2", "WHEN sz_x > 1 OR sz_y > 1 THEN 'AMBIGUOUS_CANDIDATE_CONFLICT'")
 _LEFT2 = _PASS2 + ", a2 AS (SELECT * FROM a1 WHERE uid NOT IN (SELECT uid_a FROM p2)), b2 AS (SELECT * FROM b1 WHERE uid NOT IN (SELECT uid_b FROM p2))"
 _SHOWN = ("uid_a", "uid_b", "outcome", "days_diff")
+_EVIDENCE = ("best_diff", "gross_diff", "basis", "strategy", "confidence")
+
+
+def _shown_sql(strategy: str, fee_strategy: str, exact: int, near: int, fee: int) -> str:
+    by_fee = "outcome = 'TOLERANCE_MATCH' AND best > 0.05"
+    return f"""uid_a, uid_b, outcome, days AS days_diff, best AS best_diff, gross AS gross_diff, CASE WHEN gross <= 0.05 THEN 'GROSS' ELSE 'NET' END AS basis, CASE WHEN {by_fee} THEN '{fee_strategy}' ELSE '{strategy}' END AS strategy,
+ CASE WHEN outcome = 'EXACT_MATCH' THEN {exact} WHEN {by_fee} THEN {fee} WHEN outcome = 'TOLERANCE_MATCH' THEN {near} END AS confidence"""
 
 
 # Scalar functions
@@ -170,14 +177,14 @@ def l3_key_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Matching
 
 
-@query(f"WITH {_PASS1} SELECT uid_a, uid_b, outcome, days AS days_diff, best AS best_diff FROM p1", columns="best_diff")
+@query(f"WITH {_PASS1} SELECT {_shown_sql('EXACT_TRANSACTION_ID', 'EXACT_TRANSACTION_ID_FEE_DELTA', 100, 98, 95)} FROM p1", columns="best_diff gross_diff")
 def j1_pass1_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_pass(*sides(spark, sf_dir)).select(*_SHOWN, "best_diff")
+    return first_pass(*sides(spark, sf_dir)).select(*_SHOWN, *_EVIDENCE)
 
 
-@query(f"WITH {_PASS2} SELECT uid_a, uid_b, outcome, days AS days_diff, best AS best_diff FROM p2", columns="best_diff")
+@query(f"WITH {_PASS2} SELECT {_shown_sql('FALLBACK_EXACT_REFERENCE', 'FALLBACK_REFERENCE_FEE_DELTA', 95, 95, 90)} FROM p2", columns="best_diff gross_diff")
 def j2_pass2_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return second_pass(*sides(spark, sf_dir))[0].select(*_SHOWN, "best_diff")
+    return second_pass(*sides(spark, sf_dir))[0].select(*_SHOWN, *_EVIDENCE)
 
 
 @query(f"WITH {_LEFT2} SELECT x.uid AS uid_a, y.uid AS uid_b, CASE WHEN x.amount = y.amount THEN 0 ELSE 1 END AS phase FROM a2 x JOIN b2 y ON abs(x.dt - y.dt) <= 3 AND (x.amount = y.amount OR x.net_amount = y.net_amount)")
@@ -192,7 +199,7 @@ def j5_amount_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.amount_pass(a, b, T).select(*_SHOWN, "confidence")
 
 
-@query(f"WITH {_LEFT2} SELECT x.uid AS uid_a, y.uid AS uid_b FROM a2 x JOIN b2 y ON x.entity = y.entity AND abs(x.dt - y.dt) <= 3 WHERE least(CASE WHEN abs(x.amount - y.amount) <= 0.05 THEN abs(x.amount - y.amount) ELSE 1e9 END, abs(x.net_amount - y.amount), abs(x.amount - y.net_amount), abs(x.net_amount - y.net_amount)) <= 2.50")
+@query(f"WITH {_LEFT2} SELECT x.uid AS uid_a, y.uid AS uid_b FROM a2 x JOIN b2 y ON x.entity = y.entity AND abs(x.dt - y.dt) <= 3 WHERE least(abs(x.amount - y.amount), abs(x.net_amount - y.amount), abs(x.amount - y.net_amount), abs(x.net_amount - y.net_amount)) <= 2.50")
 def j6_entity_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, a, b = second_pass(*sides(spark, sf_dir))
     return matching.entity_candidates(a, b, T).select("uid_a", "uid_b")
@@ -346,7 +353,13 @@ def d16_working_capital(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finance.working_capital(matching.residual(a, pairs, "a"), adapter.cash_flows(spark, sf_dir), pairs.where("is_match")).select("receivable", "payable", "dso", "dpo")
 
 
-@query()
+@query(
+    f"""WITH {sql_views('cash_flows')}, d AS (SELECT day, sum(inflow) AS i, sum(outflow) AS o FROM cash_flows GROUP BY 1), t AS (SELECT max(day) AS last, sum(i) AS i, sum(o) AS o, greatest(count_if(i > 0), 1) AS n FROM d),
+    h AS (SELECT CAST(last + CAST(k AS INTEGER) AS DATE) AS day, CAST(i AS DOUBLE) / n AS ir, CAST(o AS DOUBLE) / n AS orr, i - o AS start FROM t, range(1, 31) r(k)),
+    f AS (SELECT day, start, CAST(round(ir * CASE isodow(day) WHEN 1 THEN 1.1e0 WHEN 2 THEN 1.05e0 WHEN 5 THEN 1.15e0 WHEN 6 THEN 0.4e0 WHEN 7 THEN 0.3e0 ELSE 1e0 END, 2) AS DECIMAL(18,2)) AS in_flow, CAST(round(orr * CASE isodow(day) WHEN 1 THEN 1.1e0 WHEN 2 THEN 1.05e0 WHEN 5 THEN 1.15e0 WHEN 6 THEN 0.4e0 WHEN 7 THEN 0.3e0 ELSE 1e0 END, 2) AS DECIMAL(18,2)) AS out_flow FROM h)
+    SELECT day, in_flow, out_flow, start + sum(in_flow - out_flow) OVER (ORDER BY day) AS balance FROM f""",
+    columns="day in_flow out_flow balance",
+)
 def w1_forecast_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finance.forecast(finance.daily_flows(adapter.cash_flows(spark, sf_dir)), 30)
 
@@ -369,9 +382,9 @@ def k1_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.page(read(spark, sf_dir, "events"), [F.desc("ts"), F.col("event_id")], 50, 100).select("event_id", "user_id")
 
 
-@query(f"WITH {_PASS1} SELECT uid_a, best AS best_diff FROM p1 WHERE outcome = 'AMOUNT_MISMATCH' ORDER BY best DESC, uid_a LIMIT 50", columns="best_diff")
+@query(f"WITH {_PASS1} SELECT uid_a, gross AS gross_diff FROM p1 WHERE outcome = 'AMOUNT_MISMATCH' ORDER BY gross DESC, uid_a LIMIT 50", columns="gross_diff")
 def k3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_pass(*sides(spark, sf_dir)).where("outcome = 'AMOUNT_MISMATCH'").orderBy(F.desc("best_diff"), "uid_a").limit(50).select("uid_a", "best_diff")
+    return first_pass(*sides(spark, sf_dir)).where("outcome = 'AMOUNT_MISMATCH'").orderBy(F.desc("gross_diff"), "uid_a").limit(50).select("uid_a", "gross_diff")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%E\\_1%' ESCAPE '\\' OR p_type ILIKE '%e\\_1%' ESCAPE '\\' OR p_brand ILIKE '%BRAND#1%'")
@@ -387,7 +400,7 @@ def a20_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM documents), h AS (SELECT * FROM t WHERE term IN ('license', 'version', 'reserved')), i AS (SELECT term, ln((SELECT count(*) + 1 FROM documents) / (count(*) + 1)) + 1 AS idf FROM h GROUP BY 1)
-    SELECT doc_id AS id, round(sum(idf * CASE term WHEN 'license' THEN 2 ELSE 1 END), 6) AS score, count(*) AS n_terms FROM h JOIN i USING (term) GROUP BY 1 ORDER BY sum(idf * CASE term WHEN 'license' THEN 2 ELSE 1 END) DESC, count(*) DESC, doc_id LIMIT 10"""
+    SELECT doc_id AS id, round(sum(idf * CASE term WHEN 'license' THEN 2 ELSE 1 END), 6) AS score, CAST(sum(CASE term WHEN 'license' THEN 2 ELSE 1 END) AS BIGINT) AS n_terms FROM h JOIN i USING (term) GROUP BY 1 ORDER BY sum(idf * CASE term WHEN 'license' THEN 2 ELSE 1 END) DESC, n_terms DESC, doc_id LIMIT 10"""
 )
 def f5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(read(spark, sf_dir, "documents"), "doc_id", "text", "License version, LICENSE reserved")
@@ -401,7 +414,16 @@ def f4_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.look_up([("matches", matches), ("records", a.select(F.col("record_id").alias("id")))], wanted)
 
 
-@query("SELECT CASE WHEN trim(coalesce(text, '')) = '' THEN 'EMPTY' WHEN length(text) > 4000 THEN 'TOO_LONG' ELSE 'ALLOW' END AS verdict, count(*) AS n FROM conversations GROUP BY 1")
+def _guard_sql() -> str:
+    found = lambda column, pattern: f"regexp_matches({column}, '(?i){pattern.replace(chr(39), chr(39) * 2)}')"
+    steps = "".join(f" WHEN {found('plain', pattern)} THEN '{verdict}'" for verdict, pattern in search.injection_ladder())
+    greetings = ", ".join(f"'{g}'" for g in search.GREETINGS)
+    domain = f"trim(plain) IN ({greetings}) OR {found('trim(plain)', search.any_of(search.FINANCE_TERMS))} OR {found('text', search.RECORD_ID)} OR ({found('plain', search.ASKING)} AND {found('plain', search.OWN_DATA)})"
+    return f"""WITH m AS (SELECT text, lower(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS plain FROM conversations)
+    SELECT CASE WHEN trim(plain) = '' THEN 'EMPTY' WHEN length(text) > 4000 THEN 'TOO_LONG'{steps} WHEN {found('plain', search.any_of(search.OFF_TOPIC))} THEN 'OFF_TOPIC' WHEN {domain} THEN 'ALLOW' ELSE 'OFF_TOPIC' END AS verdict, count(*) AS n FROM m GROUP BY 1"""
+
+
+@query(_guard_sql())
 def f9_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").groupBy(search.guard(F.col("text")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
