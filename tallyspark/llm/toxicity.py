@@ -227,7 +227,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str, te
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int32()))], names=["term", "word", "y"])
 
     near = sample.mapInArrow(approached, "term int, word string, y int").groupBy("term", "word")
-    near = near.agg(F.count_if("y = 1").alias("n1"), F.count_if("y = 0").alias("n0")).collect()  # words of the sample near a term
+    near = near.agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0")).collect()  # words of the sample near a term
     allow_edits(lexicon, [tuple(r) for r in near], ones, zeros)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
