@@ -139,7 +139,13 @@ def n20_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("score.category", "verdict.status").agg(F.count(F.lit(1)).alias("n"), F.min("score.total").alias("low"), F.max("score.total").alias("high"))
 
 
-@query("SELECT conv_id, turn, regexp_replace(regexp_replace(text, '(?i)ground[_\\s-]*truth(\\.json)?', '[CONFIDENTIAL_BENCHMARK]', 'g'), '(?i)answer[_\\s-]*key', '[CONFIDENTIAL_BENCHMARK]', 'g') AS text FROM conversations WHERE text NOT LIKE '%AIza%' AND text NOT LIKE '%sk-%'")
+def _redact_sql(text: str) -> str:
+    for pattern, instead in S.REDACTIONS:
+        text = f"regexp_replace({text}, '{pattern}', '{instead}', 'g')"
+    return text
+
+
+@query(f"SELECT conv_id, turn, {_redact_sql('text')} AS text FROM conversations")
 def n25_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", S.redact(F.col("text")).alias("text"))
 
@@ -406,12 +412,24 @@ def f5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(read(spark, sf_dir, "documents"), "doc_id", "text", "License version, LICENSE reserved")
 
 
-@query(f"WITH {_PASS1}, w AS (SELECT DISTINCT record_id AS id FROM a WHERE uid % 14 = 0 UNION ALL SELECT 'NONE-1'), s AS (SELECT id, min(l) AS l FROM (SELECT a.record_id AS id, 0 AS l FROM p1 JOIN a ON a.uid = p1.uid_a WHERE outcome IN ('EXACT_MATCH', 'TOLERANCE_MATCH') UNION ALL SELECT a.record_id, 1 FROM a) GROUP BY 1) SELECT w.id, CASE s.l WHEN 0 THEN 'matches' WHEN 1 THEN 'records' END AS stage, CASE WHEN s.l IS NULL THEN 'NOT_FOUND' ELSE 'FOUND' END AS status FROM w LEFT JOIN s ON s.id = w.id")
+@query(
+    f"""WITH {_LEFT1}, w AS (SELECT record_id AS id FROM a UNION SELECT record_id FROM b UNION SELECT 'NONE-1'), m AS (SELECT *, outcome NOT IN ('EXACT_MATCH', 'TOLERANCE_MATCH') AS bad FROM p1),
+    t AS (SELECT record_id AS id, CASE WHEN bad THEN 1 ELSE 0 END AS l FROM m JOIN a ON a.uid = uid_a UNION ALL SELECT record_id, CASE WHEN bad THEN 1 ELSE 0 END FROM m JOIN b ON b.uid = uid_b
+     UNION ALL SELECT record_id, 1 FROM a1 UNION ALL SELECT record_id, 1 FROM b1 UNION ALL SELECT record_id, 2 FROM a UNION ALL SELECT record_id, 2 FROM b),
+    c AS (SELECT id, l, count(*) AS n FROM t GROUP BY 1, 2), s AS (SELECT id, min(l) AS l, arg_min(n, l) AS n FROM c GROUP BY 1)
+    SELECT w.id, CASE s.l WHEN 0 THEN 'matches' WHEN 1 THEN 'exceptions' WHEN 2 THEN 'records' END AS stage, CASE WHEN s.l IS NULL THEN 'NOT_FOUND' WHEN s.n > 1 THEN 'AMBIGUOUS' ELSE 'FOUND' END AS status FROM w LEFT JOIN s ON s.id = w.id"""
+)
 def f4_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record id of both sides, and one that is in none: exceptions are the outcomes that are no
+    match and the rows without a counterpart."""
     a, b = sides(spark, sf_dir)
-    wanted = a.where("uid % 14 = 0").select(F.col("record_id").alias("id")).unionByName(spark.createDataFrame([("NONE-1",)], "id string"))
-    matches = first_pass(a, b).where("is_match").select(F.col("record_id_a").alias("id"))
-    return search.look_up([("matches", matches), ("records", a.select(F.col("record_id").alias("id")))], wanted)
+    pairs = matching.checkpointed(first_pass(a, b))
+    ids = lambda df, c="record_id": df.select(F.col(c).alias("id"))
+    of_pairs = lambda df: ids(df, "record_id_a").unionByName(ids(df, "record_id_b"))
+    records = ids(a).unionByName(ids(b))
+    odd = of_pairs(pairs.where("NOT is_match")).unionByName(ids(matching.residual(a, pairs, "a"))).unionByName(ids(matching.residual(b, pairs, "b")))
+    wanted = records.distinct().unionByName(spark.createDataFrame([("NONE-1",)], "id string"))
+    return search.look_up([("matches", of_pairs(pairs.where("is_match"))), ("exceptions", odd), ("records", records)], wanted)
 
 
 def _guard_sql() -> str:
@@ -428,7 +446,7 @@ def f9_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").groupBy(search.guard(F.col("text")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT coalesce(d.t, m.t) AS thread_id, coalesce(d.n, 0) AS n_documents, coalesce(m.n, 0) AS n_messages, r.latest_run FROM (SELECT doc_id % 40 AS t, count(*) AS n FROM documents GROUP BY 1) d FULL JOIN (SELECT conv_id AS t, count(*) AS n FROM conversations GROUP BY 1) m ON d.t = m.t FULL JOIN (SELECT user_id AS t, arg_max(event_id, (ts, event_id)) AS latest_run FROM events WHERE user_id < 40 GROUP BY 1) r ON r.t = coalesce(d.t, m.t) WHERE coalesce(d.t, m.t) IS NOT NULL")
+@query("SELECT coalesce(d.t, m.t) AS thread_id, coalesce(d.n, 0) AS n_documents, coalesce(m.n, 0) AS n_messages, r.latest_run FROM (SELECT doc_id % 40 AS t, count(*) AS n FROM documents GROUP BY 1) d FULL JOIN (SELECT conv_id AS t, count(*) AS n FROM conversations GROUP BY 1) m ON d.t = m.t FULL JOIN (SELECT user_id AS t, arg_max(event_id, (ts, event_id)) AS latest_run FROM events GROUP BY 1) r ON r.t = coalesce(d.t, m.t) WHERE coalesce(d.t, m.t) IS NOT NULL")
 def a18_thread_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("thread_id"))
     messages = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("thread_id"))
