@@ -41,11 +41,16 @@ def multi_source(rows: DataFrame, sources: int, tolerance: str = "0.05", outlier
     """Agreement of all sources on each canonical id. `source_no` orders the sources.
 
     The first that holds: a source has the id twice, an amount is missing, currencies differ, a source
-    lacks it, all agree with the first source within the tolerance, one or several do not."""
-    entry = F.struct("source_no", "uid", "amount", "source")
-    groups = rows.where("canonical_id != ''").groupBy("canonical_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("n_sources"), F.count_if(F.col("amount").isNull()).alias("n_null"), F.count_distinct("currency").alias("n_currencies"),
-        F.array_sort(F.collect_list(entry)).alias("entries"), F.percentile(F.col("amount").cast("double"), 0.5).alias("median"),
+    lacks it, all agree with the first source within the tolerance, one or several do not.
+
+    Rows are first counted by id and source, so that lists hold one entry a source, however many rows
+    an id has; a source that has it twice is compared by its first row."""
+    each = rows.where("canonical_id != ''").groupBy("canonical_id", "source").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("amount").isNull()).alias("n_null"), F.min("currency").alias("low"), F.max("currency").alias("high"), F.min(F.struct("source_no", "uid", "amount")).alias("entry"),
+    )
+    groups = each.groupBy("canonical_id").agg(
+        F.sum("n").alias("n"), F.count("source").alias("n_sources"), F.sum("n_null").alias("n_null"), F.when(F.min("low") < F.max("high"), 2).otherwise(1).alias("n_currencies"),
+        F.array_sort(F.collect_list("entry")).alias("entries"), F.percentile(F.col("entry.amount").cast("double"), 0.5).alias("median"),
     )
     first = F.element_at("entries", 1)["amount"]
     off = F.size(F.filter("entries", lambda e: F.abs(e["amount"] - first) > F.lit(tolerance).cast(MONEY)))

@@ -8,7 +8,9 @@ at most once.
 
 from __future__ import annotations
 
-import uuid
+import atexit
+import shutil
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -74,9 +76,9 @@ def rank_zip(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
     def ranked(rows: DataFrame, side: str) -> DataFrame:
         own = rows.where((F.col(key) != "") & F.col(key).isNotNull())
-        rank = F.row_number().over(Window.partitionBy(key).orderBy("uid"))
-        size = F.count(F.lit(1)).over(Window.partitionBy(key))
-        return sided(own, side).join(own.select(F.col("uid").alias(f"uid_{side}"), F.col(key).alias("_key"), rank.alias("_rank"), size.alias(f"_size_{side}")), f"uid_{side}")
+        order = Window.partitionBy(key).orderBy("uid")  # one sort serves both columns
+        size = F.count(F.lit(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        return own.select(*(F.col(c).alias(f"{c}_{side}") for c in FIELDS), F.col(key).alias("_key"), F.row_number().over(order).alias("_rank"), size.alias(f"_size_{side}"))
 
     return ranked(a, "a").join(ranked(b, "b"), ["_key", "_rank"]).drop("_key", "_rank")
 
@@ -139,23 +141,40 @@ def greedy(edges: DataFrame, ends: list[str], order: list[str]) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the session shares with its executors."""
+    """Cut the lineage in the folder that the session shares with its executors. Where it names none and
+    all runs on one machine, as in tests, a folder of this machine serves; a cluster must name one."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(f"/tmp/checkpoints/tallyspark-{uuid.uuid4().hex[:12]}")
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            at = tempfile.mkdtemp(prefix="tallyspark-checkpoints-")
+            atexit.register(shutil.rmtree, at, ignore_errors=True)
+        context.setCheckpointDir(at)
     return df.checkpoint()
 
 
+def by_days(a: DataFrame, b: DataFrame, t: Tolerances) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides, and a condition that a pair within the date window meets once: buckets of the date as
+    wide as the window, where rows of `a` are in their own and the neighbouring ones. Joined on with
+    another key, it keeps a key with very many rows from being multiplied out."""
+    width = max(1, t.days)
+    bucket = lambda side: F.floor(F.datediff(f"dt_{side}", F.lit("1970-01-01").cast("date")) / width)
+    left = sided(a, "a").where("dt_a IS NOT NULL").withColumn("_bucket_a", F.explode(F.array(*(bucket("a") + i for i in (-1, 0, 1)))))
+    right = sided(b, "b").where("dt_b IS NOT NULL").withColumn("_bucket_b", bucket("b"))
+    return left, right, F.col("_bucket_a") == F.col("_bucket_b")
+
+
 def amount_candidates(a: DataFrame, b: DataFrame, t: Tolerances) -> DataFrame:
     """Pairs of equal gross amount, and of equal net amount if not among those, within the date
     window; a missing date is in no window. `phase` is 0 for gross and 1 for net."""
     window = F.abs(F.datediff("dt_a", "dt_b")) <= t.days
-    left, right = sided(a, "a"), sided(b, "b")
-    gross = left.join(right, F.col("amount_a") == F.col("amount_b")).where(window).withColumn("phase", F.lit(0))
-    net = left.join(right, F.col("net_amount_a") == F.col("net_amount_b")).where(window & ~F.coalesce(F.col("amount_a") == F.col("amount_b"), F.lit(False)))
-    return gross.unionByName(net.withColumn("phase", F.lit(1))).withColumns(differences(t))
+    left, right, days = by_days(a, b, t)
+    gross = left.join(right, (F.col("amount_a") == F.col("amount_b")) & days).where(window).withColumn("phase", F.lit(0))
+    net = left.join(right, (F.col("net_amount_a") == F.col("net_amount_b")) & days).where(window & ~F.coalesce(F.col("amount_a") == F.col("amount_b"), F.lit(False)))
+    return gross.unionByName(net.withColumn("phase", F.lit(1))).drop("_bucket_a", "_bucket_b").withColumns(differences(t))
 
 
 def amount_pass(a: DataFrame, b: DataFrame, t: Tolerances) -> DataFrame:
@@ -175,16 +194,9 @@ def amount_pass(a: DataFrame, b: DataFrame, t: Tolerances) -> DataFrame:
 
 def entity_candidates(a: DataFrame, b: DataFrame, t: Tolerances) -> DataFrame:
     """Pairs of equal entity, within the date window and with a best difference within the fee band;
-    here the smaller of the gross and the net difference is the best, whichever it is.
-
-    Equal entities are also joined on a bucket of the date, so that an entity with very many rows is
-    not multiplied out: rows meet only those of their own and the neighbouring buckets."""
-    width = max(1, t.days)
-    bucket = F.floor(F.datediff("dt", F.lit("1970-01-01").cast("date")) / width)
-    left = sided(a, "a").join(a.select(F.col("uid").alias("uid_a"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_bucket")), "uid_a")
-    right = sided(b, "b").join(b.select(F.col("uid").alias("uid_b"), bucket.alias("_bucket")), "uid_b")
-    on = (F.col("entity_a") == F.col("entity_b")) & (left["_bucket"] == right["_bucket"])
-    pairs = left.join(right, on).drop("_bucket").where(F.abs(F.datediff("dt_a", "dt_b")) <= t.days).withColumns(differences(t))
+    here the smaller of the gross and the net difference is the best, whichever it is."""
+    left, right, days = by_days(a, b, t)
+    pairs = left.join(right, (F.col("entity_a") == F.col("entity_b")) & days).drop("_bucket_a", "_bucket_b").where(F.abs(F.datediff("dt_a", "dt_b")) <= t.days).withColumns(differences(t))
     pairs = pairs.withColumn("best_diff", F.least("gross_diff", "net_diff"))
     return pairs.where(F.col("best_diff") <= money(t.fee))
 
