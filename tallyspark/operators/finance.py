@@ -91,6 +91,34 @@ def daily_flows(flows: DataFrame) -> DataFrame:
     return flows.groupBy("day").agg(F.sum("inflow").cast("decimal(38,2)").alias("inflow"), F.sum("outflow").cast("decimal(38,2)").alias("outflow"))
 
 
+def cash_records(records: DataFrame) -> DataFrame:
+    """day, inflow, outflow and pending of each record (amount, source, description, day). Negative
+    amounts, fees by source and refunds by description flow out; a null amount is zero, and a record
+    without a day is pending."""
+    size, none, dated = F.abs(F.coalesce("amount", F.lit(0))).cast(MONEY), F.lit(0).cast(MONEY), F.col("day").isNotNull()
+    signs = ((F.col("amount") < 0), F.lower("source").contains("fee"), F.lower("description").contains("refund"))
+    out = F.lit(False)
+    for sign in signs:
+        out = out | F.coalesce(sign, F.lit(False))
+    part = lambda holds: F.when(holds, size).otherwise(none)
+    return records.select("day", part(dated & ~out).alias("inflow"), part(dated & out).alias("outflow"), part(~dated).alias("pending"))
+
+
+def stale_context(projection: DataFrame, today: str) -> DataFrame:
+    """The last day before a projection, and whether it lies before `today`; one row, without an end and
+    not stale if there is no projection."""
+    end = F.date_sub(F.min("day"), 1)
+    return projection.agg(F.lit(today).alias("analysis_date"), end.alias("window_end"), F.coalesce(end < F.lit(today).cast("date"), F.lit(False)).alias("stale"))
+
+
+def all_exceptions(outcomes: DataFrame, source: DataFrame, counterpart: DataFrame) -> DataFrame:
+    """origin, uid and reason: the outcomes that are no match by their source row, then the rows of both
+    sides that no pair has (`exceptions`)."""
+    conflicts = outcomes.where("NOT is_match").select(F.lit("pass").alias("origin"), F.col("uid_a").alias("uid"), F.col("outcome").alias("reason"))
+    rest = [rows.select(F.lit(name).alias("origin"), "uid", "reason") for name, rows in (("source", source), ("counterpart", counterpart))]
+    return conflicts.unionByName(rest[0]).unionByName(rest[1])
+
+
 def ewma(daily: DataFrame, value: str, by: Column, alpha: float = 0.3) -> DataFrame:
     """Exponentially weighted level of each group after its last day, starting from the first value.
 

@@ -20,7 +20,7 @@ ORACLES: dict[str, str] = {}
 
 
 #: Columns of money and of days: results show them as doubles and as ISO texts, in both engines.
-MONEY = "amount net best_diff gross_diff adjustment total total_a total_b variance total_expected total_reported inflow outflow receivable payable dso dpo diff balance in_flow out_flow".split()
+MONEY = "amount net best_diff gross_diff adjustment total total_a total_b variance total_expected total_reported inflow outflow receivable payable dso dpo diff balance in_flow out_flow pending".split()
 DAYS = ["day"]
 
 
@@ -350,6 +350,80 @@ def d2_exceptions_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finance.exceptions(b, a, used, matching.duplicate_ids(both), "UNRECORDED_TRANSACTION").select("uid", "reason")
 
 
+def exceptions_of(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(outcomes of the id pass, exceptions of a, exceptions of b)."""
+    both = a.select("canonical_id", F.lit("a").alias("side")).unionByName(b.select("canonical_id", F.lit("b").alias("side")))
+    twice, pairs = matching.duplicate_ids(both), matching.checkpointed(first_pass(a, b))
+    of = lambda rows, other, side, last: finance.exceptions(rows, other, pairs.select(F.col(f"uid_{side}").alias("uid")), twice, last)
+    return pairs, of(a, b, "a", "MISSING_COUNTERPART"), of(b, a, "b", "UNRECORDED_TRANSACTION")
+
+
+_ALL = f"""{_D1}, o2 AS (SELECT clean_ref, count(*) AS n FROM a GROUP BY 1),
+ x2 AS (SELECT b.uid, CASE WHEN b.amount IS NULL THEN 'MISSING_AMOUNT' WHEN b.canonical_id IN (SELECT canonical_id FROM dup) THEN 'DUPLICATE_TRANSACTION' WHEN o2.n > 1 THEN 'AMBIGUOUS_CANDIDATE_CONFLICT' WHEN o2.n = 1 THEN 'AMOUNT_MISMATCH' ELSE 'UNRECORDED_TRANSACTION' END AS reason FROM b LEFT JOIN o2 USING (clean_ref) WHERE b.uid NOT IN (SELECT uid_b FROM p1)),
+ every AS (SELECT 'pass' AS origin, uid_a AS uid, outcome AS reason FROM p1 WHERE outcome NOT IN ('EXACT_MATCH', 'TOLERANCE_MATCH') UNION ALL SELECT 'source', uid, reason FROM x UNION ALL SELECT 'counterpart', uid, reason FROM x2)"""
+
+
+@query(f"WITH {_ALL} SELECT * FROM every")
+def u6_all_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finance.all_exceptions(*exceptions_of(*sides(spark, sf_dir)))
+
+
+@query(f"WITH {_ALL} SELECT * FROM every WHERE reason = 'AMOUNT_MISMATCH'")
+def f2_exception_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.given(u6_all_exceptions(spark, sf_dir), reason="AMOUNT_MISMATCH", origin="ALL", uid=None)
+
+
+@query(f"WITH {_ALL} SELECT *, (SELECT count(*) FROM every) AS total FROM every ORDER BY uid DESC, origin LIMIT 200 OFFSET 10")
+def k2_exceptions_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = matching.checkpointed(u6_all_exceptions(spark, sf_dir))
+    return search.counted_page(rows, [F.desc("uid"), F.col("origin")], 200, 10)
+
+
+@query(
+    f"""WITH {_D1}, e AS (SELECT a.uid, x.reason, a.amount, CASE WHEN x.reason = 'AMOUNT_MISMATCH' THEN abs(a.amount - nullif(o.amt, -99999)) END AS diff FROM x JOIN a USING (uid) LEFT JOIN o USING (clean_ref))
+    SELECT uid, reason, diff FROM e WHERE coalesce(diff, abs(amount), 0) > 1 ORDER BY diff DESC NULLS LAST, uid LIMIT 50""",
+    columns="diff",
+)
+def f6_material(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = search.given(exceptions_of(*sides(spark, sf_dir))[1], level="MATERIAL")
+    return search.page(rows, [F.desc_nulls_last("amount_difference"), F.col("uid")], 50).select("uid", "reason", F.col("amount_difference").alias("diff"))
+
+
+@query(f"WITH {_PASS1} SELECT record_id FROM p1 JOIN a ON a.uid = uid_a WHERE outcome IN ('EXACT_MATCH', 'TOLERANCE_MATCH') UNION SELECT record_id FROM p1 JOIN b ON b.uid = uid_b WHERE outcome IN ('EXACT_MATCH', 'TOLERANCE_MATCH')")
+def u5_matched_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = first_pass(*sides(spark, sf_dir)).where("is_match")
+    return pairs.select(F.explode(F.array("record_id_a", "record_id_b")).alias("record_id")).distinct()
+
+
+@query(f"WITH {sql_views('ledger', 'bank')} SELECT record_id, dt FROM bank ORDER BY dt DESC NULLS LAST, record_id LIMIT 50", columns="dt")
+def k9_settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.page(adapter.bank(spark, sf_dir), [F.desc_nulls_last("dt"), F.col("record_id")], 50).select("record_id", "dt")
+
+
+#: Bank rows with signs of every direction of cash, in both engines.
+_RECORDS = "CASE WHEN k % 13 = 0 THEN -amount ELSE amount END AS amount, CASE WHEN k % 5 = 1 THEN 'Gateway Fees' ELSE 'bank' END AS source, CASE WHEN k % 7 = 2 THEN 'Refund of order' END AS description, CASE WHEN k % 11 = 0 THEN NULL ELSE dt END AS day"
+_CASH = f"{sql_views('ledger', 'bank')}, r AS (SELECT {_RECORDS} FROM bank), c AS (SELECT day, abs(coalesce(amount, 0)) AS x, coalesce(amount < 0, false) OR source LIKE '%Fee%' OR coalesce(description LIKE 'Refund%', false) AS goes FROM r)"
+
+
+def cash_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finance.cash_records(adapter.bank(spark, sf_dir).selectExpr(*_RECORDS.split(", ")))
+
+
+@query(f"WITH {_CASH} SELECT day, sum(CASE WHEN goes THEN 0 ELSE x END) AS inflow, sum(CASE WHEN goes THEN x ELSE 0 END) AS outflow FROM c WHERE day IS NOT NULL GROUP BY 1", columns="day inflow outflow")
+def d10_cash_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finance.daily_flows(cash_rows(spark, sf_dir).where("day IS NOT NULL"))
+
+
+@query(f"WITH {_CASH} SELECT sum(x) AS pending FROM c WHERE day IS NULL", columns="pending")
+def d11_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cash_rows(spark, sf_dir).agg(F.sum("pending").cast("decimal(38,2)").alias("pending"))
+
+
+@query(f"WITH {sql_views('cash_flows')} SELECT '2026-01-01' AS analysis_date, max(day) AS window_end, max(day) < DATE '2026-01-01' AS stale FROM cash_flows", columns="window_end")
+def w7_stale_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finance.stale_context(finance.forecast(finance.daily_flows(adapter.cash_flows(spark, sf_dir)), 7), "2026-01-01")
+
+
 @query(
     f"""WITH {_LEFT1}, {sql_views('cash_flows')}, u AS (SELECT sum(CASE WHEN amount >= 0 THEN amount ELSE 0 END) AS receivable, sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END) AS payable FROM a1), f AS (SELECT sum(inflow) AS i, sum(outflow) AS o FROM cash_flows)
     SELECT receivable, payable, CAST(round(CAST(receivable AS DOUBLE) * 365 / CAST(i AS DOUBLE), 2) AS DECIMAL(18,2)) AS dso, CAST(round(CAST(payable AS DOUBLE) * 365 / CAST(o AS DOUBLE), 2) AS DECIMAL(18,2)) AS dpo FROM u, f""", columns="receivable payable dso dpo")

@@ -122,6 +122,18 @@ def test_forecast(spark):
             finance.forecast(daily, horizon)
 
 
+def test_cash_records_and_filters(spark):
+    day = datetime.date(2026, 8, 1)
+    rows = [(Decimal(5), "bank", None, day), (Decimal(-2), None, None, day), (Decimal(3), "FEES", None, day), (Decimal(4), None, "a Refund", day), (None, None, None, day), (Decimal(7), None, "refund", None)]
+    df = spark.createDataFrame(rows, "amount decimal(18,2), source string, description string, day date")
+    got = finance.cash_records(df)
+    assert [tuple(map(int, r)) for r in got.select("inflow", "outflow", "pending").collect()] == [(5, 0, 0), (0, 2, 0), (0, 3, 0), (0, 4, 0), (0, 0, 0), (0, 0, 7)]
+    assert tuple(finance.stale_context(got.select("day"), "2026-08-01").first())[1:] == (datetime.date(2026, 7, 31), True)
+    assert tuple(finance.stale_context(got.select("day").limit(0), "2026-08-01").first())[1:] == (None, False)
+    assert [search.given(df, source=s).count() for s in ("bank", "ALL", "", None, "x")] == [1, 6, 6, 6, 0]
+    assert [(r.source, r.total) for r in search.counted_page(df, [F.desc_nulls_last("source")], 1, 1).collect()] == [("FEES", 6)]
+
+
 def test_working_capital(spark):
     one = spark.range(1)
     got = one.select(*(S.days_ratio(F.lit(n).cast(S.MONEY), F.lit(d).cast(S.MONEY), 365).alias(f"x{i}") for i, (n, d) in enumerate(((30000, 100000), (50000, 200000), (40000, 200000), (1, 0))))).first()
