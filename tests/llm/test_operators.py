@@ -280,6 +280,28 @@ def test_vectors(spark, monkeypatch):
     assert rp_forest.near_vectors(df.limit(0)).count() == 0
 
 
+def test_split_trees_find_planted_neighbours():
+    """Recall of trees that do split, for pairs just above the threshold, and how few pairs they compare."""
+    rng = np.random.default_rng(11)
+    for dim in (16, 64, 384):
+        base = rp_forest._unit(rng.standard_normal((10_000, dim)))
+        off = rng.standard_normal(base.shape)
+        off = rp_forest._unit(off - (off * base).sum(axis=1, keepdims=True) * base)
+        vectors = np.concatenate((base, 0.981 * base + np.sqrt(1 - 0.981**2) * off))
+        forest = rp_forest.Forest(vectors[::2], int(np.ceil(np.log2(len(vectors) / rp_forest.LEAF))))
+        assert forest.depth == 7
+        found, compared = np.zeros(len(base), dtype=bool), 0
+        for tree in range(rp_forest.TREES):
+            row, leaf = forest.leaves(vectors, tree)
+            size = np.bincount(leaf)
+            compared += (size * (size - 1) // 2).sum()
+            inside = np.zeros((len(vectors), len(size)), dtype=bool)
+            inside[row, leaf] = True
+            found |= (inside[: len(base)] & inside[len(base) :]).any(axis=1)
+        assert found.mean() >= 0.9, (dim, found.mean())
+        assert compared < 0.1 * len(vectors) ** 2 / 2, (dim, compared)
+
+
 # Repeated spans
 
 
