@@ -216,7 +216,7 @@ def best_of(rows, k, every):
 
 
 def best_by_spark(spark, rows, k=5, every=10):
-    df = spark.createDataFrame([(*r, 1, 2, 3, "r", 4, "d") for r in rows], VECTORS).repartition(3)
+    df = spark.createDataFrame([(i, v if v is None else [x if x is None else float(x) for x in v], 1, 2, 3, "r", 4, "d") for i, v in rows], VECTORS).repartition(3)
     return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k.top_k(df, every=every, k=k).collect())
 
 
