@@ -58,7 +58,7 @@ def running(rows: DataFrame, key: str | None, order: list[str], sums: dict[str,
 
     own = F.col(key) if key else F.lit(0).cast("long")
     ends = stage.groupBy("_part").agg(F.min_by(own, "_at").alias("first"), F.max_by(F.struct(own.alias("key"), *new), "_at").alias("last")).orderBy("_part").collect()  # one row a range
-    carry: list[tuple] = []
+    carry: list[tuple] = [(-1, 0, *[0] * len(new))]  # no range; so that there always is a row
     open_key, have = None, [0] * len(new)
     for end in ends:
         mine = [end["last"][c] for c in new]
@@ -67,8 +67,6 @@ def running(rows: DataFrame, key: str | None, order: list[str], sums: dict[str,
             if end["last"]["key"] == open_key:
                 mine = [a + b if c in sums else a ^ b for c, a, b in zip(new, mine, have, strict=True)]
         open_key, have = end["last"]["key"], mine
-    if not carry:
-        return stage.drop("_part", "_at")
     names = [f"_before_{c}" for c in new]
     before = spark.createDataFrame(carry, ", ".join(f"`{c}` long" for c in ("_range", "_key", *names)))
     joined = stage.join(F.broadcast(before), (F.col("_part") == F.col("_range")) & (own == F.col("_key")), "left")
