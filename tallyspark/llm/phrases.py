@@ -81,8 +81,8 @@ def _passes(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _shards(depth: int, known):
-    """lang, w1 .. w<depth> and n of the phrases of each run of texts, in order. `known` is None, or
-    tells the bit table of the frequent phrases one word shorter."""
+    """key and n of the phrases of each run of texts, in order: a key is the words and the language with
+    tabs between. `known` is None, or tells the bit table of the frequent phrases one word shorter."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value if known is not None else None
@@ -112,9 +112,9 @@ def _shards(depth: int, known):
                     key, size = key * len(words) + code[at_ + i], size * len(words)
                 _, first, count = np.unique(key, return_index=True, return_counts=True)
                 first = at_[first]
-                columns = [pa.array(names, pa.string()).take(pa.array(lang[first]))]
-                columns += [words.take(pa.array(code[first + i])).cast(pa.string()) for i in range(depth)]
-                yield pa.record_batch([*columns, pa.array(count, pa.int64())], names=["lang", *words_of(depth), "n"])
+                columns = [words.take(pa.array(code[first + i])) for i in range(depth)]
+                key = pc.binary_join_element_wise(*columns, pa.array([x.encode() for x in names], pa.large_binary()).take(pa.array(lang[first])), pa.scalar(b"\t", pa.large_binary()))
+                yield pa.record_batch([key.cast(pa.string()), pa.array(count, pa.int64())], names=["key", "n"])
 
     return job
 
@@ -203,13 +203,13 @@ def mine_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     levels, known, sizes = [], None, None
     for depth in range(1, longest + 1):
-        words = words_of(depth)
-        kinds = ", ".join(f"{w} string" for w in words)
-        shards = materialise(rows.mapInArrow(_shards(depth, known), f"lang string, {kinds}, n long"), f"shards-{depth}")
+        shards = materialise(rows.mapInArrow(_shards(depth, known), "key string, n long"), f"shards-{depth}")
         if depth == 1:
-            sizes = materialise(shards.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
-        merged = shards.repartitionByRange("lang", *words).groupBy("lang", *words).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        levels.append(materialise(merged, f"level-{depth}"))
+            lang = F.expr("substr(key, instr(key, '\t') + 1)")
+            sizes = materialise(shards.groupBy(lang.alias("lang")).agg(F.sum("n").alias("n")), "sizes")
+        merged = shards.repartitionByRange("key").groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        parts = F.split("key", "\t", depth + 1)
+        levels.append(materialise(merged.select(F.get(parts, F.lit(depth)).alias("lang"), *(F.get(parts, F.lit(i)).alias(w) for i, w in enumerate(words_of(depth))), "f"), f"level-{depth}"))
         discard(shards)
         if known is not None:
             known.destroy()
