@@ -24,7 +24,7 @@ from .common import discard, materialise
 #: least before there are more blocks than tasks, bins of a round, and scores that one numpy step holds.
 BLOCK, QUERY_BLOCK, LEAST_BLOCK, BINS, STEP = 1 << 20, 1 << 18, 512, 4_096, 1 << 22
 #: Scores beyond this, up or down, count as this.
-LIMIT = 1 << 60
+LIMIT = (1 << 62) - (1 << 40)
 #: Products stay exact in doubles up to here, beyond it in Python's integers.
 EXACT = 1 << 53
 

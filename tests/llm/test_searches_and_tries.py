@@ -241,7 +241,7 @@ def test_top_k_in_many_blocks_and_rounds(spark, monkeypatch):
 
 
 def test_top_k_of_large_numbers(spark):
-    rows = [(0, [3e5, -4e5]), (1, [1e5, 2e5]), (2, [1e5 + 1, 2e5]), (3, [-1e8, 1.0]), (10, [1e7, 1e7])]
+    rows = [(0, [3e5, -4e5]), (1, [1e5, 2e5]), (2, [1e5 + 1, 2e5]), (3, [-3e6, 1.0]), (10, [1e7, 1e7])]
     assert best_by_spark(spark, rows) == best_of(rows, 5, 10)
     huge = best_by_spark(spark, [(0, [1e30, 1e30]), (1, [1e30, 1.0]), (2, [-1e30, 1.0]), (3, [1.0, 1.0])])
     assert [x[2] for x in huge] == [1, 3, 2] and huge[0][3] == top_k.LIMIT and huge[2][3] == -top_k.LIMIT
