@@ -59,13 +59,19 @@ CANDIDATES, BASE_SPANS, ALL_SPANS = (f"__tallyspark_pii_{x}" for x in ("candidat
 EMPTY = "CAST(array() AS array<struct<kind: int, start: int, end: int, code: int, valid: boolean, base: boolean>>)"
 
 
-#: Elements that one step of a fold handles, so that folds copy little however many there are.
-FOLD = 256
+#: Elements that one step of a fold handles, so that folds copy little however many there are, and
+#: characters of a block of text that is cut out at places.
+FOLD, BLOCK = 256, 1024
 
 
-def folded(items: Column, first: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> tuple[Column, Column]:
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def folded(items: Column, first: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
     """Fold an array from the left with a running value: `step(value, item)` gives the next value and
-    an array that is put out. Returns the last value and all that was put out, of SQL type `kind`."""
+    an array that is put out. Returns the last `value` and all that was put `out`, of SQL type `kind`."""
     empty = F.expr(f"CAST(array() AS array<{kind}>)")
     blocks = F.expr(f"CAST(array() AS array<array<{kind}>>)")
 
@@ -73,30 +79,41 @@ def folded(items: Column, first: Column, step: Callable[[Column, Column], tuple[
         value, out = step(have["value"], item)
         return F.struct(value.alias("value"), F.concat(have["out"], out).alias("out"))
 
-    def block(have: Column, i: Column) -> Column:
-        done = F.aggregate(F.slice(items, i * FOLD + 1, FOLD), F.struct(have["value"].alias("value"), empty.alias("out")), add)
-        return F.struct(done["value"].alias("value"), F.concat(have["out"], F.array(done["out"])).alias("out"))
+    def whole(items: Column) -> Column:
+        def block(have: Column, i: Column) -> Column:
+            done = F.aggregate(F.slice(items, i * FOLD + 1, FOLD), F.struct(have["value"].alias("value"), empty.alias("out")), add)
+            return bound(done, lambda x: F.struct(x["value"].alias("value"), F.concat(have["out"], F.array(x["out"])).alias("out")))
+
+        count = F.greatest(F.ceil(F.size(items) / FOLD).cast("int"), F.lit(1))
+        done = F.aggregate(F.sequence(F.lit(0), count - 1), F.struct(first.alias("value"), blocks.alias("out")), block)
+        return bound(done, lambda x: F.struct(x["value"].alias("value"), F.flatten(x["out"]).alias("out")))
 
-    count = F.greatest(F.ceil(F.size(items) / FOLD).cast("int"), F.lit(1))
-    done = F.aggregate(F.sequence(F.lit(0), count - 1), F.struct(first.alias("value"), blocks.alias("out")), block)
-    return done["value"], F.flatten(done["out"])
+    return bound(items, whole)
 
 
-HIT = "struct<start: int, end: int, value: string>"
+HIT = "struct<start: int, end: int, value: string, before: string, after: string>"
 
 
 def found(text: Column, pattern: str, hint: str) -> Column:
-    """Array of (start, end, value) of all matches, in code points, end exclusive."""
+    """Array of (start, end, value, before, after) of all matches, in code points, end exclusive;
+    `before` is what the text holds before the match, up to CONTEXT_CHARS, and `after` the next character."""
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    none = F.expr(f"CAST(NULL AS {HIT})")
 
-    def add(at: Column, piece: Column) -> tuple[Column, Column]:
-        start = at + F.char_length(piece["gap"])
-        end = start + F.char_length(piece["hit"])
-        hit = F.struct(start.alias("start"), end.alias("end"), piece["hit"].alias("value"))
-        return F.coalesce(end, start), F.when(end.isNull(), F.expr(f"CAST(array() AS array<{HIT}>)")).otherwise(F.array(hit))
+    def add(have: Column, piece: Column) -> tuple[Column, Column]:
+        gap, hit, last = piece["gap"], piece["hit"], have["last"]  # the last gap has no hit
+        start = have["at"] + F.char_length(gap)
+        here = F.struct(
+            start.alias("start"), (start + F.char_length(hit)).alias("end"), hit.alias("value"), F.right(F.concat(have["tail"], gap), F.lit(CONTEXT_CHARS)).alias("before"), F.lit("").alias("after"),
+        )
+        after = F.left(F.when(gap != "", gap).otherwise(F.coalesce(hit, F.lit(""))), F.lit(1))
+        done = F.when(last.isNull(), F.expr(f"CAST(array() AS array<{HIT}>)")).otherwise(F.array(F.struct(*(last[c].alias(c) for c in ("start", "end", "value", "before")), after.alias("after"))))
+        tail = F.right(F.concat(have["tail"], gap, F.coalesce(hit, F.lit(""))), F.lit(CONTEXT_CHARS))
+        at = start + F.coalesce(F.char_length(hit), F.lit(0))
+        return F.struct(at.alias("at"), tail.alias("tail"), F.when(hit.isNotNull(), here).otherwise(none).alias("last")), done
 
-    hits = folded(pieces, F.lit(0), add, HIT)[1]
-    return F.when(text.rlike(hint), hits).otherwise(F.expr(f"CAST(array() AS array<{HIT}>)"))
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("last"))
+    return F.when(text.rlike(hint), folded(pieces, first, add, HIT)["out"]).otherwise(F.expr(f"CAST(array() AS array<{HIT}>)"))
 
 
 def luhn(digits: Column) -> Column:
@@ -166,16 +183,15 @@ _TOP_NAME = r"(?:\.|\[dot\]|\(dot\)) ?[A-Za-z]{2,24}$"
 _ADDRESS = r"^(?i)(?:[23][0-9a-f]{3}|f[cd][0-9a-f]{2}|fe[89ab][0-9a-f]):"
 
 
-def _code(kind: str, text: Column, hit: Column) -> Column:
+def _code(kind: str, hit: Column) -> Column:
     """Format and context of a match as one number."""
     value, n = hit["value"], F.char_length(_digits(hit["value"]))
     bucket = sum((F.when(n >= bound, 1).otherwise(0) for bound in DIGITS), F.lit(0))
-    from_ = F.greatest(hit["start"] - CONTEXT_CHARS, F.lit(0))
     flags = (
         value.rlike("[0-9][ .()-]+[0-9]"),
         value.rlike("[0-9]") & value.rlike("[A-Za-z]"),
-        F.substring(text, from_ + 1, hit["start"] - from_).rlike(CONTEXT),
-        (F.when(hit["start"] > 0, F.substring(text, hit["start"], F.lit(1))).otherwise("").rlike("[A-Za-z0-9]")) | F.substring(text, hit["end"] + 1, F.lit(1)).rlike("[A-Za-z0-9]"),
+        hit["before"].rlike(CONTEXT),
+        hit["before"].rlike(r"[A-Za-z0-9]\z") | hit["after"].rlike("[A-Za-z0-9]"),
     )
     code = F.lit(KINDS.index(kind)) * (len(DIGITS) + 1) + bucket
     for flag in flags:
@@ -196,7 +212,7 @@ def candidates(text: Column) -> Column:
 
     def judged(kind: str, pattern: str, hint: str, rule: Callable[[str, Column], Column], base: bool) -> Column:
         def one(hit: Column) -> Column:
-            return F.struct(F.lit(KINDS.index(kind)).alias("kind"), hit["start"].alias("start"), hit["end"].alias("end"), _code(kind, text, hit).alias("code"), rule(kind, hit["value"]).alias("valid"), F.lit(base).alias("base"))
+            return F.struct(F.lit(KINDS.index(kind)).alias("kind"), hit["start"].alias("start"), hit["end"].alias("end"), _code(kind, hit).alias("code"), rule(kind, hit["value"]).alias("valid"), F.lit(base).alias("base"))
 
         return F.transform(found(text, pattern, hint), one)
 
@@ -239,6 +255,9 @@ def select_codes(code: np.ndarray, n: np.ndarray, valid: np.ndarray) -> list[int
     return sorted(chosen)
 
 
+SPAN = "struct<start: int, kind: int, end: int>"
+
+
 def with_spans(candidates_: DataFrame, codes: list[int]) -> DataFrame:
     """Rows with BASE_SPANS and ALL_SPANS in place of CANDIDATES: arrays of (start, kind, end),
     ordered, base rules applied."""
@@ -248,7 +267,12 @@ def with_spans(candidates_: DataFrame, codes: list[int]) -> DataFrame:
 
     base = F.filter(CANDIDATES, lambda x: x["base"] & x["valid"])
     more = F.filter(CANDIDATES, lambda x: x["valid"] & (x["base"] | (x["code"].isin(codes) if codes else F.lit(False))))
-    return candidates_.withColumns({BASE_SPANS: F.array_sort(F.transform(base, bare)), ALL_SPANS: F.array_sort(F.array_distinct(F.transform(more, bare)))}).drop(CANDIDATES)
+
+    def once(last: Column, span: Column) -> tuple[Column, Column]:  # of equal spans, neighbours in order, one stays
+        return span, F.when(last.eqNullSafe(span), F.expr(f"CAST(array() AS array<{SPAN}>)")).otherwise(F.array(span))
+
+    distinct = folded(F.array_sort(F.transform(more, bare)), F.expr(f"CAST(NULL AS {SPAN})"), once, SPAN)["out"]
+    return candidates_.withColumns({BASE_SPANS: F.array_sort(F.transform(base, bare)), ALL_SPANS: distinct}).drop(CANDIDATES)
 
 
 def _named(spans: str) -> Column:
@@ -284,11 +308,22 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     text = F.col(text_col)
 
-    def add(at: Column, span: Column) -> tuple[Column, Column]:
-        gap = F.substring(text, at + 1, span["start"] - at)
-        parts = F.when(span["start"] >= at, F.array(gap, F.get(names, span["kind"]))).otherwise(F.expr("CAST(array() AS array<string>)"))
-        return F.greatest(at, span["end"]), parts
+    def replaced(blocks: Column) -> Column:
+        """The text, given as blocks of BLOCK characters, so that no place is counted from its start."""
+
+        def cut(start: Column, end: Column) -> Column:
+            first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+            part = lambda i, at, n: F.substring(F.coalesce(F.get(blocks, i), F.lit("")), at, n)
+            inner = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+            across = F.concat(part(first, start % BLOCK + 1, F.lit(BLOCK)), inner, part(last, F.lit(1), end % BLOCK))
+            return F.when(first == last, part(first, start % BLOCK + 1, end - start)).otherwise(across)
+
+        def add(at: Column, span: Column) -> tuple[Column, Column]:
+            parts = F.when(span["start"] >= at, F.array(cut(at, span["start"]), F.get(names, span["kind"]))).otherwise(F.expr("CAST(array() AS array<string>)"))
+            return F.greatest(at, span["end"]), parts
+
+        done = folded(F.col(ALL_SPANS), F.lit(0), add, "string")
+        return bound(done, lambda x: F.concat(F.array_join(x["out"], ""), cut(x["value"], F.char_length(text))))
 
-    at, parts = folded(F.col(ALL_SPANS), F.lit(0), add, "string")
-    whole = F.concat(F.array_join(parts, ""), F.substring(text, at + 1, F.char_length(text)))
+    whole = bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), replaced)
     return out.withColumn(text_col, F.when(F.size(ALL_SPANS) > 0, whole).otherwise(text)).select(*docs.columns)
