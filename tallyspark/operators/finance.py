@@ -1,11 +1,11 @@
-"""Exceptions, multi-source agreement, tax lines, cash forecasts, working capital and run metrics."""
+"""Duplicates, enrichment, multi-source agreement, cash flows, working capital and evaluation."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import MONEY, days_ratio, tax_severity
+from ..functions.scalar import MONEY, days_ratio
 
 
 def duplicate_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -16,19 +16,6 @@ def duplicate_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
     return filled.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("first_uid")).where("n > 1")
 
 
-def exceptions(rows: DataFrame, other: DataFrame, consumed: DataFrame, duplicates: DataFrame, last: str) -> DataFrame:
-    """A reason for every row that no pass has consumed: missing amount, duplicate id, several or one
-    counterpart by reference (with the difference), or `last` if there is none."""
-    lookup = other.where("clean_ref != ''").groupBy("clean_ref").agg(F.count(F.lit(1)).alias("n_other"), F.min_by("amount", "uid").alias("other_amount"))
-    left = rows.join(consumed, "uid", "left_anti").join(duplicates.select("canonical_id", F.lit(True).alias("is_dup")), "canonical_id", "left").join(lookup, "clean_ref", "left")
-    reason = (
-        F.when(F.col("amount").isNull(), "MISSING_AMOUNT").when(F.coalesce("is_dup", F.lit(False)), "DUPLICATE_TRANSACTION").when(F.col("n_other") > 1, "AMBIGUOUS_CANDIDATE_CONFLICT")
-        .when(F.col("n_other") == 1, "AMOUNT_MISMATCH").otherwise(last)
-    )
-    diff = F.when(reason == "AMOUNT_MISMATCH", F.abs(F.col("amount") - F.col("other_amount")).cast(MONEY))
-    return left.select("uid", "record_id", "amount", reason.alias("reason"), diff.alias("amount_difference"), F.when(F.coalesce(diff, F.abs("amount"), F.lit(0)) <= 1, "NORMAL").otherwise("MATERIAL").alias("level"))
-
-
 def enrichment(extra: DataFrame, rows: DataFrame) -> DataFrame:
     """Each enrichment row joined to the matched population by canonical id: JOINED or UNRESOLVED, with
     the first adjustment that is not zero."""
@@ -62,31 +49,6 @@ def multi_source(rows: DataFrame, sources: int, tolerance: str = "0.05", outlier
     return groups.select("canonical_id", "n", "n_sources", status.alias("status"), apart.alias("n_disagreeing"))
 
 
-def tax_status(lines: DataFrame, default_rate: str = "0.18", tolerance: str = "0.05") -> DataFrame:
-    """Expected and reported tax of each line (base, rate, reported), status and severity."""
-    rate = F.coalesce(F.when(F.col("rate") > 1, F.col("rate") / 100).otherwise(F.col("rate")), F.lit(default_rate).cast("decimal(6,4)"))
-    expected = (F.col("base") * rate).cast(MONEY)
-    diff = F.abs(F.col("reported") - expected)
-    status = (
-        F.when(F.col("base").isNull() | (F.col("base") < 0.005) | F.col("reported").isNull(), "TAX_DATA_UNAVAILABLE").when((F.col("reported") == 0) & (expected > 0), "MISSING")
-        .when(diff <= F.lit(tolerance).cast(MONEY), "MATCH").otherwise("MISMATCH")
-    )
-    out = lines.withColumns({"expected": expected, "status": status, "difference": diff.cast(MONEY), "net_difference": (F.col("reported") - expected).cast(MONEY)})
-    return out.withColumn("severity", F.when(F.col("status").isin("MISSING", "MISMATCH"), tax_severity(F.col("difference"), F.col("expected"))))
-
-
-def tax_rollup(lines: DataFrame) -> DataFrame:
-    counted = lines.where("status != 'TAX_DATA_UNAVAILABLE'")
-    by = [F.count_if(F.col("status") == s).alias(s.lower()) for s in ("MATCH", "MISMATCH", "MISSING")] + [F.count_if(F.col("severity") == s).alias(f"severity_{s.lower()}") for s in ("HIGH", "MEDIUM", "LOW")]
-    sums = [F.sum(c).cast("decimal(38,2)").alias(f"total_{c}") for c in ("expected", "reported", "net_difference")]
-    rate = F.round(F.try_divide(F.lit(100.0) * F.count_if(F.col("status") == "MATCH"), F.count(F.lit(1))), 1)
-    return counted.agg(F.count(F.lit(1)).alias("n"), *by, *sums, rate.alias("match_rate"))
-
-
-# Weight of each weekday, from Monday.
-WEEKDAY_WEIGHTS = (1.10, 1.05, 1.00, 1.00, 1.15, 0.40, 0.30)
-
-
 def daily_flows(flows: DataFrame) -> DataFrame:
     return flows.groupBy("day").agg(F.sum("inflow").cast("decimal(38,2)").alias("inflow"), F.sum("outflow").cast("decimal(38,2)").alias("outflow"))
 
@@ -111,47 +73,6 @@ def stale_context(projection: DataFrame, today: str) -> DataFrame:
     return projection.agg(F.lit(today).alias("analysis_date"), end.alias("window_end"), F.coalesce(end < F.lit(today).cast("date"), F.lit(False)).alias("stale"))
 
 
-def all_exceptions(outcomes: DataFrame, source: DataFrame, counterpart: DataFrame) -> DataFrame:
-    """origin, uid and reason: the outcomes that are no match by their source row, then the rows of both
-    sides that no pair has (`exceptions`)."""
-    conflicts = outcomes.where("NOT is_match").select(F.lit("pass").alias("origin"), F.col("uid_a").alias("uid"), F.col("outcome").alias("reason"))
-    rest = [rows.select(F.lit(name).alias("origin"), "uid", "reason") for name, rows in (("source", source), ("counterpart", counterpart))]
-    return conflicts.unionByName(rest[0]).unionByName(rest[1])
-
-
-def ewma(daily: DataFrame, value: str, by: Column, alpha: float = 0.3) -> DataFrame:
-    """Exponentially weighted level of each group after its last day, starting from the first value.
-
-    One value a day and group is folded in order of days, so a group's list is as long as its days."""
-    ordered = F.array_sort(F.collect_list(F.struct("day", F.col(value).cast("double").alias("x"))))
-    level = F.aggregate(ordered, F.lit(None).cast("double"), lambda have, e: F.when(have.isNull(), e["x"]).otherwise(F.lit(alpha) * e["x"] + F.lit(1 - alpha) * have))
-    return daily.groupBy(by.alias("period")).agg(F.round(level, 4).alias("level"), F.count(F.lit(1)).alias("days"))
-
-
-def forecast(daily: DataFrame, horizon: int, opening: str | None = None) -> DataFrame:
-    """Projected flow and running balance for `horizon` days (1 to 90) after the last day.
-
-    Run rates are totals over the days with inflow; weekdays weigh the inflow and the outflow. Without an opening
-    balance the history's net flow is one."""
-    if not 1 <= horizon <= 90:
-        raise ValueError("horizon must lie between 1 and 90 days")
-    base = daily.agg(F.max("day").alias("last"), F.sum("inflow").alias("inflow"), F.sum("outflow").alias("outflow"), F.greatest(F.count_if(F.col("inflow") > 0), F.lit(1)).alias("days"))
-    weights = F.array(*(F.lit(w) for w in WEEKDAY_WEIGHTS))
-    days = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("i")).withColumn("day", F.date_add("last", F.col("i")))
-    weight = F.get(weights, F.weekday("day"))
-    flow = lambda c: F.round(F.col(c).cast("double") / F.col("days") * weight, 2).cast(MONEY)
-    days = days.withColumns({"in_flow": flow("inflow"), "out_flow": flow("outflow")})
-    start = F.lit(opening).cast("decimal(38,2)") if opening is not None else (F.col("inflow") - F.col("outflow")).cast("decimal(38,2)")
-    running = F.sum(F.col("in_flow") - F.col("out_flow")).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0))  # horizon rows at most
-    return days.select("day", "in_flow", "out_flow", (start + running).cast("decimal(38,2)").alias("balance"))
-
-
-def forecast_confidence(daily: DataFrame) -> DataFrame:
-    span = F.datediff(F.max("day"), F.min("day")) + 1
-    n = F.count(F.lit(1))
-    return daily.agg(span.alias("span_days"), n.alias("n_days"), F.when((span >= 14) & (n >= 20), "HIGH").when((span >= 5) | (n >= 6), "MEDIUM").otherwise("LOW").alias("confidence"))
-
-
 def working_capital(unmatched: DataFrame, flows: DataFrame, lag: DataFrame, days: int = 365) -> DataFrame:
     """Receivable and payable from unmatched amounts, DSO, DPO, no DIO, their partial cycle, and the
     average days between matched dates."""
@@ -174,14 +95,3 @@ def evaluate(cases: DataFrame) -> DataFrame:
         *(v.alias(k.lower()) for k, v in n.items()), F.round(100 * precision, 2).alias("precision"), F.round(100 * recall, 2).alias("recall"),
         F.round(200 * F.try_divide(precision * recall, precision + recall), 2).alias("f1"), F.round(100 * (n["TP"] + n["TN"]) / F.count(F.lit(1)), 2).alias("accuracy"),
     )
-
-
-def run_metrics(outcomes: DataFrame, source: DataFrame, counterpart: DataFrame) -> DataFrame:
-    """Counts by outcome, match rate over source rows, and the totals of both sides."""
-    counts = outcomes.agg(
-        F.count_if("is_match").alias("matches"), F.count_if(F.col("outcome") == "EXACT_MATCH").alias("exact"), F.count_if(F.col("is_match") & (F.col("outcome") != "EXACT_MATCH")).alias("not_exact"),
-        F.sum(F.when(F.col("is_match"), F.col("amount_a"))).cast("decimal(38,2)").alias("matched_volume"),
-    )
-    totals = [df.agg(F.count(F.lit(1)).alias(f"rows_{s}"), F.sum(F.coalesce("amount", F.lit(0))).cast("decimal(38,2)").alias(f"total_{s}")) for s, df in (("a", source), ("b", counterpart))]
-    one = counts.join(F.broadcast(totals[0])).join(F.broadcast(totals[1]))  # one row each
-    return one.withColumn("match_rate", F.round(100.0 * F.col("matches") / F.greatest("rows_a", F.lit(1)), 1))

@@ -8,15 +8,15 @@ at most once.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import MONEY
+from .common import checkpointed
+from .settle import settled
+from .splits import splits
 
 FIELDS = ("uid", "record_id", "canonical_id", "clean_ref", "dt", "amount", "net_amount", "fee_amount", "currency", "entity", "source")
 
@@ -68,19 +68,30 @@ def sided(rows: DataFrame, side: str) -> DataFrame:
     return rows.select(*(F.col(c).alias(f"{c}_{side}") for c in FIELDS))
 
 
+#: Row numbers (uid) of one block of a key: a task ranks one block of a key at a time.
+RANK_BLOCK = 1 << 20
+
+
+def ranked(rows: DataFrame, key: str, side: str) -> DataFrame:
+    """The rows of a side with `_key`, their `_rank` inside it in order of rows, and the key's size.
+
+    Ranks are made in two levels: inside blocks of row numbers, and by counts of the blocks before, so
+    that a key with very many rows is spread over tasks, and no task sorts more of it than a block."""
+    own = rows.where((F.col(key) != "") & F.col(key).isNotNull()).select(*(F.col(c).alias(f"{c}_{side}") for c in FIELDS), F.col(key).alias("_key"), F.floor(F.col("uid") / RANK_BLOCK).alias("_block"))
+    counts = own.groupBy("_key", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy("_key").orderBy("_block")  # one row a block
+    before = F.sum("_n").over(whole.rowsBetween(Window.unboundedPreceding, -1))
+    size = F.sum("_n").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    offsets = counts.select("_key", "_block", F.coalesce(before, F.lit(0)).alias("_before"), size.alias(f"_size_{side}"))
+    inside = F.row_number().over(Window.partitionBy("_key", "_block").orderBy(f"uid_{side}"))
+    return own.withColumn("_rank", inside).join(offsets, ["_key", "_block"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_block", "_before")
+
+
 def rank_zip(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Pairs of equal, non-empty keys: in each key group the k-th row of one side meets the k-th of the
     other, in row order. That is what visiting all pairs in order comes to when each visit consumes
-    both rows, without making the pairs. Key groups are numbered by rank inside the key, so the join
-    is on (key, rank) and no group is multiplied out."""
-
-    def ranked(rows: DataFrame, side: str) -> DataFrame:
-        own = rows.where((F.col(key) != "") & F.col(key).isNotNull())
-        order = Window.partitionBy(key).orderBy("uid")  # one sort serves both columns
-        size = F.count(F.lit(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        return own.select(*(F.col(c).alias(f"{c}_{side}") for c in FIELDS), F.col(key).alias("_key"), F.row_number().over(order).alias("_rank"), size.alias(f"_size_{side}"))
-
-    return ranked(a, "a").join(ranked(b, "b"), ["_key", "_rank"]).drop("_key", "_rank")
+    both rows, without making the pairs: the join is on (key, rank) and no group is multiplied out."""
+    return ranked(a, key, "a").join(ranked(b, key, "b"), ["_key", "_rank"]).drop("_key", "_rank")
 
 
 def key_pass(a: DataFrame, b: DataFrame, key: str, strategies: tuple[str, str], t: Tolerances, scores: tuple[int, int, int], repeated: DataFrame | None) -> DataFrame:
@@ -111,49 +122,9 @@ def duplicate_ids(rows: DataFrame) -> DataFrame:
     return rows.where("canonical_id != ''").groupBy("canonical_id", "side").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("canonical_id").distinct()
 
 
-def greedy(edges: DataFrame, ends: list[str], order: list[str]) -> DataFrame:
-    """The edges that a sequential greedy choice over the total order `order` takes, each taking its
-    end points. Edges that come first at all their ends are taken at once, edges that touch them go,
-    until none is left; every round is two aggregations and joins, and its result is a stored table."""
-    key = F.struct(*order)
-    left = checkpointed(edges.withColumn("_order", key))
-    taken: list[DataFrame] = []
-    while not left.isEmpty():
-        points = left.select(F.explode(F.array(*ends)).alias("point"), "_order")
-        first = points.groupBy("point").agg(F.min("_order").alias("_first"))
-        ranked = left
-        for i, end in enumerate(ends):
-            ranked = ranked.join(first.select(F.col("point").alias(end), F.col("_first").alias(f"_first_{i}")), end)
-        local = None
-        for i in range(len(ends)):
-            here = F.col("_order") == F.col(f"_first_{i}")
-            local = here if local is None else local & here
-        chosen = checkpointed(ranked.where(local).select(*left.columns))
-        taken.append(chosen)
-        gone = chosen.select(F.explode(F.array(*ends)).alias("point"))
-        for end in ends:
-            left = left.join(gone.select(F.col("point").alias(end)), end, "left_anti")
-        left = checkpointed(left.select(*chosen.columns))
-    out = left
-    for part in taken:
-        out = out.unionByName(part)
-    return out.drop("_order")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the session shares with its executors. Where it names none and
-    all runs on one machine, as in tests, a folder of this machine serves; a cluster must name one."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            at = tempfile.mkdtemp(prefix="tallyspark-checkpoints-")
-            atexit.register(shutil.rmtree, at, ignore_errors=True)
-        context.setCheckpointDir(at)
-    return df.checkpoint()
+def points() -> dict[str, Column]:
+    """Ends of a pair in a conflict graph: even numbers for one side, odd ones for the other."""
+    return {"_a": F.col("uid_a") * 2, "_b": F.col("uid_b") * 2 + 1}
 
 
 def by_days(a: DataFrame, b: DataFrame, t: Tolerances) -> tuple[DataFrame, DataFrame, Column]:
@@ -177,79 +148,69 @@ def amount_candidates(a: DataFrame, b: DataFrame, t: Tolerances) -> DataFrame:
     return gross.unionByName(net.withColumn("phase", F.lit(1))).drop("_bucket_a", "_bucket_b").withColumns(differences(t))
 
 
-def amount_pass(a: DataFrame, b: DataFrame, t: Tolerances) -> DataFrame:
+def amount_outcomes(pairs: DataFrame, t: Tolerances) -> DataFrame:
     """Greedy outcomes of the amount candidates in order of phase and rows. A candidate whose rows have
     others too is ambiguous; else it matches, better if the names are equal or share a word."""
-    pairs = amount_candidates(a, b, t)
     for side in "ab":
         pairs = pairs.withColumn(f"_degree_{side}", F.count(F.lit(1)).over(Window.partitionBy(f"uid_{side}")))
     shares = F.arrays_overlap(F.split("entity_a", " "), F.split("entity_b", " "))  # two empty names are equal
     score = F.when(shares, 85).otherwise(76)
     outcome = F.when(F.col("currency_a") != F.col("currency_b"), "CURRENCY_MISMATCH").when((F.col("_degree_a") > 1) | (F.col("_degree_b") > 1), "AMBIGUOUS_CANDIDATE_CONFLICT").when(score >= t.confidence, "FUZZY_MATCH")
     pairs = pairs.withColumns({"outcome": outcome, "confidence": F.when(outcome == "FUZZY_MATCH", score), "strategy": F.lit("FALLBACK_AMOUNT_DATE")}).where("outcome IS NOT NULL")
-    points = pairs.withColumns({"_a": F.concat(F.lit("a"), F.col("uid_a")), "_b": F.concat(F.lit("b"), F.col("uid_b"))})
-    out = greedy(points, ["_a", "_b"], ["phase", "uid_a", "uid_b"])
+    net = F.col("phase") == 1
+    pairs = pairs.withColumns({"basis": F.when(net, "NET").otherwise("GROSS"), "best_diff": F.when(net, F.abs(F.col("net_amount_a") - F.col("net_amount_b"))).otherwise(F.col("gross_diff")).cast(MONEY)})
+    out = settled(pairs.withColumns(points()), ["_a", "_b"], ["phase", "uid_a", "uid_b"])
     return out.withColumn("is_match", F.col("outcome") == "FUZZY_MATCH").drop("_a", "_b", "_degree_a", "_degree_b", "phase")
 
 
+def amount_pass(a: DataFrame, b: DataFrame, t: Tolerances) -> DataFrame:
+    return amount_outcomes(amount_candidates(a, b, t), t)
+
+
 def entity_candidates(a: DataFrame, b: DataFrame, t: Tolerances) -> DataFrame:
     """Pairs of equal entity, within the date window and with a best difference within the fee band;
-    here the smaller of the gross and the net difference is the best, whichever it is."""
-    left, right, days = by_days(a, b, t)
-    pairs = left.join(right, (F.col("entity_a") == F.col("entity_b")) & days).drop("_bucket_a", "_bucket_b").where(F.abs(F.datediff("dt_a", "dt_b")) <= t.days).withColumns(differences(t))
-    pairs = pairs.withColumn("best_diff", F.least("gross_diff", "net_diff"))
-    return pairs.where(F.col("best_diff") <= money(t.fee))
-
+    here the smaller of the gross and the net difference is the best, whichever it is.
 
-def entity_pass(a: DataFrame, b: DataFrame, t: Tolerances) -> DataFrame:
-    """Pairs by entity: those of unlike currencies first, then pairs that are each other's only
-    candidate; ambiguous pairs are left alone."""
-    pairs = checkpointed(entity_candidates(a, b, t))
-    cross = pairs.where("currency_a != currency_b").withColumns({"_a": F.concat(F.lit("a"), F.col("uid_a")), "_b": F.concat(F.lit("b"), F.col("uid_b"))})
-    cross = greedy(cross, ["_a", "_b"], ["uid_a", "uid_b"]).drop("_a", "_b").withColumns({"outcome": F.lit("CURRENCY_MISMATCH"), "confidence": F.lit(None).cast("int")})
+    Besides entity and date bucket, rows meet by cells of the amount as wide as the band, each row by
+    its gross and its net amount, so that an entity of very many rows (the empty name is one) makes
+    no more pairs than are near in amount."""
+    width = money(t.fee)
+    cell = lambda c: F.floor(F.col(c) / width)
+    left, right, days = by_days(a, b, t)
+    near = F.array(*(cell(c) + i for c in ("amount_a", "net_amount_a") for i in (-1, 0, 1)))
+    left = left.withColumn("_cell_a", F.explode(F.array_distinct(near)))
+    right = right.withColumn("_cell_b", F.explode(F.array_distinct(F.array(cell("amount_b"), cell("net_amount_b")))))
+    pairs = left.join(right, (F.col("entity_a") == F.col("entity_b")) & days & (F.col("_cell_a") == F.col("_cell_b"))).where(F.abs(F.datediff("dt_a", "dt_b")) <= t.days)
+    pairs = pairs.drop("_bucket_a", "_bucket_b", "_cell_a", "_cell_b").withColumns(differences(t))
+    pairs = pairs.withColumn("best_diff", F.least("gross_diff", "net_diff")).where(F.col("best_diff") <= width)
+    return pairs.dropDuplicates(["uid_a", "uid_b"])
+
+
+def entity_outcomes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, ambiguous pairs) of the entity candidates: those of unlike currencies come first, then
+    pairs that are each other's only candidate of one currency; ambiguous pairs are left alone."""
+    cross = settled(pairs.where("currency_a != currency_b").withColumns(points()), ["_a", "_b"], ["uid_a", "uid_b"])
+    cross = cross.drop("_a", "_b").withColumns({"outcome": F.lit("CURRENCY_MISMATCH"), "confidence": F.lit(None).cast("int")})
     same = pairs.where("currency_a = currency_b")
-    for side in "ab":
-        same = same.join(cross.select(f"uid_{side}"), f"uid_{side}", "left_anti")
+    # Degrees count all candidates of one currency, also those that a pair of two currencies has consumed.
     for side in "ab":
         same = same.withColumn(f"_degree_{side}", F.count(F.lit(1)).over(Window.partitionBy(f"uid_{side}")))
-    only = same.where("_degree_a = 1 AND _degree_b = 1").drop("_degree_a", "_degree_b").withColumns({"outcome": F.lit("FUZZY_MATCH"), "confidence": F.lit(78)})
-    return cross.unionByName(only).withColumns({"strategy": F.lit("FALLBACK_ENTITY_AMOUNT_DATE"), "is_match": F.col("outcome") == "FUZZY_MATCH"})
-
-
-def splits(a: DataFrame, b: DataFrame, t: Tolerances) -> DataFrame:
-    """One row against two of the other side whose amounts add up to it, in both directions.
-
-    Rather than making all pairs of rows, each (single, member) pair within the window looks up the
-    partner amount it needs, to the cent within the tolerance, by an equi-join. Rows are consumed
-    greedily by difference, then their sorted record ids, so that swapping the sides changes nothing;
-    only rows of equal record ids are told apart by direction and place."""
-    cents = int(float(t.amount) * 100 + 0.5)
-    found = None
-    for kind, one, two in (("ONE_TO_TWO_SPLIT", a, b), ("TWO_TO_ONE_SPLIT", b, a)):
-        tag_one, tag_two = ("a", "b") if kind.startswith("ONE") else ("b", "a")
-        single = one.where("amount IS NOT NULL").select(F.col("uid").alias("single"), F.col("amount").alias("whole"), F.col("dt").alias("dt_s"), F.col("record_id").alias("id_s"))
-        parts = two.where("amount IS NOT NULL").select("uid", "amount", "dt", "record_id")
-        # Days that a single can meet; rows without a date meet all, in joins of
-        # their own that only such rows take part in.
-        day = F.explode(F.sequence(F.date_sub("dt_s", t.days), F.date_add("dt_s", t.days)))
-        dated = single.where("dt_s IS NOT NULL").withColumn("dt", day).join(parts.where("dt IS NOT NULL"), "dt")
-        undated = F.lit(True)
-        open_s = single.where("dt_s IS NULL").join(parts, undated)
-        open_p = single.where("dt_s IS NOT NULL").join(parts.where("dt IS NULL"), undated)
-        columns = ["single", "whole", "dt_s", "id_s", "uid", "amount", "record_id"]
-        first = dated.select(*columns).unionByName(open_s.select(*columns)).unionByName(open_p.select(*columns))
-        need = first.withColumn("need", F.explode(F.sequence(F.lit(-cents), F.lit(cents))))
-        need = need.select("single", "whole", "dt_s", "id_s", F.col("record_id").alias("id_one"), F.col("uid").alias("one"), F.col("amount").alias("part_one"), ((F.col("whole") - F.col("amount")) + F.col("need") / F.lit(100).cast("decimal(3,0)")).cast(MONEY).alias("part_two"))
-        second = parts.select(F.col("uid").alias("two"), F.col("amount").alias("part_two"), F.col("dt").alias("dt_two"), F.col("record_id").alias("id_two"))
-        edges = need.join(second, "part_two").where("one < two").where(F.coalesce(F.abs(F.datediff("dt_s", "dt_two")) <= t.days, F.lit(True)))
-        edges = edges.select(F.lit(kind).alias("kind"), "single", "one", "two", F.abs(F.col("part_one") + F.col("part_two") - F.col("whole")).cast(MONEY).alias("diff"), F.array_join(F.array_sort(F.array("id_s", "id_one", "id_two")), "~").alias("_ids"), *(F.concat(F.lit(tag), F.col(c)).alias(f"_{c}") for tag, c in ((tag_one, "single"), (tag_two, "one"), (tag_two, "two"))))
-        found = edges if found is None else found.unionByName(edges)
-    out = greedy(found.distinct(), ["_single", "_one", "_two"], ["diff", "_ids", "kind", "single", "one", "two"])
-    return out.select("kind", "single", "one", "two", "diff").withColumn("confidence", F.lit(80))
+    for side in "ab":
+        same = same.join(cross.select(f"uid_{side}"), f"uid_{side}", "left_anti")
+    alone = F.expr("_degree_a = 1 AND _degree_b = 1")
+    only = same.where(alone).drop("_degree_a", "_degree_b").withColumns({"outcome": F.lit("FUZZY_MATCH"), "confidence": F.lit(78)})
+    out = cross.unionByName(only).withColumns({"strategy": F.lit("FALLBACK_ENTITY_AMOUNT_DATE"), "is_match": F.col("outcome") == "FUZZY_MATCH"})
+    return out, same.where(~alone).select("uid_a", "uid_b")
+
+
+def entity_pass(a: DataFrame, b: DataFrame, t: Tolerances) -> DataFrame:
+    return entity_outcomes(checkpointed(entity_candidates(a, b, t)))[0]
 
 
 def reconcile(a: DataFrame, b: DataFrame, t: Tolerances = Tolerances()) -> tuple[DataFrame, DataFrame]:
-    """(outcomes of all passes, splits) for source rows `a` and counterpart rows `b`."""
+    """(outcomes of all passes, splits) for source rows `a` and counterpart rows `b`. The passes by
+    amount and entity take rows with an amount only; the others have consumed or leave the rest."""
+    a, b = checkpointed(a), checkpointed(b)
     both = a.select("canonical_id", F.lit("a").alias("side")).unionByName(b.select("canonical_id", F.lit("b").alias("side")))
     outcomes = None
     for run in (
@@ -261,4 +222,4 @@ def reconcile(a: DataFrame, b: DataFrame, t: Tolerances = Tolerances()) -> tuple
         done = checkpointed(run(a, b))
         outcomes = done if outcomes is None else outcomes.unionByName(done)
         a, b = residual(a, done, "a"), residual(b, done, "b")
-    return outcomes, splits(a, b, t)
+    return outcomes, splits(a, b, t.days, t.amount)

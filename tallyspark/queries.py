@@ -2,45 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
 from .functions import similarity
-from .operators import finance, matching, search
+from .operators import finance, forecast, matching, search
 from .plans import mapping
+from .registry import ORACLES, QUERIES, query
 from .sources import adapter
 from .sources.adapter import read, sql_views
 
 T = matching.Tolerances()
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-#: Columns of money and of days: results show them as doubles and as ISO texts, in both engines.
-MONEY = "amount net best_diff gross_diff adjustment total total_a total_b variance total_expected total_reported inflow outflow receivable payable dso dpo diff balance in_flow out_flow pending".split()
-DAYS = ["day"]
-
-
-def query(sql: str | None = None, columns: str = ""):
-    """Register a query under its function's name, with SQL that gives the same rows. `columns` names
-    those that SQL has to cast as the query's result is."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = f(spark, sf_dir)
-            kinds = {"decimal": "double", "date": "string"}
-            return df.withColumns({c: F.col(c).cast(kinds[kind.split("(")[0]]) for c, kind in df.dtypes if kind.split("(")[0] in kinds})
-
-        QUERIES[f.__name__] = shown
-        if sql:
-            casts = ", ".join(f"CAST({c} AS {'DOUBLE' if c in MONEY else 'VARCHAR'}) AS {c}" for c in columns.split())
-            ORACLES[f.__name__] = f"SELECT * REPLACE ({casts}) FROM ({sql})" if casts else sql
-        return f
-
-    return add
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -199,31 +172,12 @@ def j3_amount_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.amount_candidates(a, b, T).select("uid_a", "uid_b", "phase")
 
 
-@query()
-def j5_amount_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, a, b = second_pass(*sides(spark, sf_dir))
-    return matching.amount_pass(a, b, T).select(*_SHOWN, "confidence")
-
-
 @query(f"WITH {_LEFT2} SELECT x.uid AS uid_a, y.uid AS uid_b FROM a2 x JOIN b2 y ON x.entity = y.entity AND abs(x.dt - y.dt) <= 3 WHERE least(abs(x.amount - y.amount), abs(x.net_amount - y.amount), abs(x.amount - y.net_amount), abs(x.net_amount - y.net_amount)) <= 2.50")
 def j6_entity_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, a, b = second_pass(*sides(spark, sf_dir))
     return matching.entity_candidates(a, b, T).select("uid_a", "uid_b")
 
 
-@query()
-def j7_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, a, b = second_pass(*sides(spark, sf_dir))
-    return matching.splits(a, b, T)
-
-
-@query()
-def reconcile_all_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcomes, found = matching.reconcile(*sides(spark, sf_dir))
-    counts = outcomes.groupBy("strategy", "outcome").agg(F.count(F.lit(1)).alias("n"))
-    return counts.unionByName(found.groupBy(F.lit("SPLIT").alias("strategy"), F.col("kind").alias("outcome")).agg(F.count(F.lit(1)).alias("n")))
-
-
 @query(f"WITH {_ROWS}, n AS (SELECT canonical_id, count(*) AS n FROM a GROUP BY 1) SELECT b.uid, b.canonical_id, CASE WHEN n.n > 0 THEN 'JOINED' ELSE 'UNRESOLVED' END AS status, coalesce(nullif(b.amount, 0), nullif(k.fee_amount, 0), nullif(b.net_amount, 0), 0) AS adjustment FROM b JOIN bank k USING (record_id) LEFT JOIN n ON n.canonical_id = b.canonical_id", columns="adjustment")
 def j8_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = sides(spark, sf_dir)
@@ -267,29 +221,6 @@ def a4_multisource(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agreed.groupBy("status").agg(F.count(F.lit(1)).alias("n_groups"))
 
 
-@query(f"WITH {_PASS1} SELECT count(*) FILTER (outcome IN ('EXACT_MATCH', 'TOLERANCE_MATCH')) AS matches, count(*) FILTER (outcome = 'EXACT_MATCH') AS exact, (SELECT count(*) FROM a) AS rows_a, (SELECT count(*) FROM b) AS rows_b, (SELECT sum(amount) FROM a) AS total_a, (SELECT sum(amount) FROM b) AS total_b, round(100.0 * count(*) FILTER (outcome IN ('EXACT_MATCH', 'TOLERANCE_MATCH')) / (SELECT count(*) FROM a), 1) AS match_rate FROM p1", columns="total_a total_b")
-def a6_run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = sides(spark, sf_dir)
-    return finance.run_metrics(first_pass(a, b), a, b).select("matches", "exact", "rows_a", "rows_b", "total_a", "total_b", "match_rate")
-
-
-@query(f"WITH {_PASS1} SELECT outcome, count(*) AS n FROM p1 WHERE outcome NOT IN ('EXACT_MATCH', 'TOLERANCE_MATCH') GROUP BY 1")
-def a9_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_pass(*sides(spark, sf_dir)).where("NOT is_match").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
-
-
-_TAX = f"""{sql_views("tax_lines")}, e AS (SELECT *, CAST(base * rate AS DECIMAL(18,2)) AS expected FROM tax_lines), s AS (SELECT *, CASE WHEN base IS NULL OR base < 0.005 OR reported IS NULL THEN 'TAX_DATA_UNAVAILABLE' WHEN reported = 0 AND expected > 0 THEN 'MISSING' WHEN abs(reported - expected) <= 0.05 THEN 'MATCH' ELSE 'MISMATCH' END AS status FROM e)"""
-
-
-@query(f"WITH {_TAX} SELECT status, count(*) AS n, sum(reported - expected) AS variance FROM s GROUP BY 1", columns="variance")
-def d8_tax_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finance.tax_status(adapter.tax_lines(spark, sf_dir)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("net_difference").alias("variance"))
-
-
-@query(f"WITH {_TAX} SELECT count(*) AS n, count(*) FILTER (status = 'MATCH') AS \"match\", count(*) FILTER (status = 'MISSING') AS missing, sum(expected) AS total_expected, sum(reported) AS total_reported FROM s WHERE status <> 'TAX_DATA_UNAVAILABLE'", columns="total_expected total_reported")
-def a11_tax_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finance.tax_rollup(finance.tax_status(adapter.tax_lines(spark, sf_dir))).select("n", "match", "missing", "total_expected", "total_reported")
-
 
 @query(f"WITH {sql_views('cash_flows')} SELECT day, sum(inflow) AS inflow, sum(outflow) AS outflow FROM cash_flows GROUP BY 1", columns="day inflow outflow")
 def a12_daily_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,7 +233,7 @@ def a12_daily_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT r.period, round(level, 4) AS level, r.i AS days FROM r JOIN (SELECT period, max(i) AS i FROM d GROUP BY 1) USING (period, i)"""
 )
 def a13_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finance.ewma(finance.daily_flows(adapter.cash_flows(spark, sf_dir)), "inflow", F.year("day"))
+    return forecast.smoothed(finance.daily_flows(adapter.cash_flows(spark, sf_dir)), "inflow", F.year("day")).withColumn("level", F.round("level", 4))
 
 
 @query(f"WITH {_PASS1} SELECT round(avg(days), 4) AS lag FROM p1 WHERE outcome IN ('EXACT_MATCH', 'TOLERANCE_MATCH')")
@@ -324,76 +255,6 @@ def a15_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finance.evaluate(a.select("uid", wanted.alias("expected_target")).join(actual, "uid", "left")).select("tp", "fp", "fn", "tn")
 
 
-_D1 = f"""{_PASS1}, o AS (SELECT clean_ref, count(*) AS n, arg_min(coalesce(amount, -99999), uid) AS amt FROM b GROUP BY 1), x AS (SELECT a.uid, CASE WHEN a.amount IS NULL THEN 'MISSING_AMOUNT' WHEN a.canonical_id IN (SELECT canonical_id FROM dup) THEN 'DUPLICATE_TRANSACTION' WHEN o.n > 1 THEN 'AMBIGUOUS_CANDIDATE_CONFLICT' WHEN o.n = 1 THEN 'AMOUNT_MISMATCH' ELSE 'MISSING_COUNTERPART' END AS reason FROM a LEFT JOIN o USING (clean_ref) WHERE a.uid NOT IN (SELECT uid_a FROM p1))"""
-
-
-@query(f"WITH {_D1} SELECT uid, reason FROM x")
-def d1_exceptions_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = sides(spark, sf_dir)
-    both = a.select("canonical_id", F.lit("a").alias("side")).unionByName(b.select("canonical_id", F.lit("b").alias("side")))
-    used = first_pass(a, b).select(F.col("uid_a").alias("uid"))
-    return finance.exceptions(a, b, used, matching.duplicate_ids(both), "MISSING_COUNTERPART").select("uid", "reason")
-
-
-@query(f"WITH {_D1} SELECT reason, count(*) AS n FROM x GROUP BY 1")
-def a17_reason_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d1_exceptions_a(spark, sf_dir).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(
-    f"""WITH {_PASS1}, o AS (SELECT clean_ref, count(*) AS n FROM a GROUP BY 1) SELECT b.uid, CASE WHEN b.amount IS NULL THEN 'MISSING_AMOUNT' WHEN b.canonical_id IN (SELECT canonical_id FROM dup) THEN 'DUPLICATE_TRANSACTION' WHEN o.n > 1 THEN 'AMBIGUOUS_CANDIDATE_CONFLICT' WHEN o.n = 1 THEN 'AMOUNT_MISMATCH' ELSE 'UNRECORDED_TRANSACTION' END AS reason FROM b LEFT JOIN o USING (clean_ref) WHERE b.uid NOT IN (SELECT uid_b FROM p1)"""
-)
-def d2_exceptions_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = sides(spark, sf_dir)
-    both = a.select("canonical_id", F.lit("a").alias("side")).unionByName(b.select("canonical_id", F.lit("b").alias("side")))
-    used = first_pass(a, b).select(F.col("uid_b").alias("uid"))
-    return finance.exceptions(b, a, used, matching.duplicate_ids(both), "UNRECORDED_TRANSACTION").select("uid", "reason")
-
-
-def exceptions_of(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(outcomes of the id pass, exceptions of a, exceptions of b)."""
-    both = a.select("canonical_id", F.lit("a").alias("side")).unionByName(b.select("canonical_id", F.lit("b").alias("side")))
-    twice, pairs = matching.duplicate_ids(both), matching.checkpointed(first_pass(a, b))
-    of = lambda rows, other, side, last: finance.exceptions(rows, other, pairs.select(F.col(f"uid_{side}").alias("uid")), twice, last)
-    return pairs, of(a, b, "a", "MISSING_COUNTERPART"), of(b, a, "b", "UNRECORDED_TRANSACTION")
-
-
-_ALL = f"""{_D1}, o2 AS (SELECT clean_ref, count(*) AS n FROM a GROUP BY 1),
- x2 AS (SELECT b.uid, CASE WHEN b.amount IS NULL THEN 'MISSING_AMOUNT' WHEN b.canonical_id IN (SELECT canonical_id FROM dup) THEN 'DUPLICATE_TRANSACTION' WHEN o2.n > 1 THEN 'AMBIGUOUS_CANDIDATE_CONFLICT' WHEN o2.n = 1 THEN 'AMOUNT_MISMATCH' ELSE 'UNRECORDED_TRANSACTION' END AS reason FROM b LEFT JOIN o2 USING (clean_ref) WHERE b.uid NOT IN (SELECT uid_b FROM p1)),
- every AS (SELECT 'pass' AS origin, uid_a AS uid, outcome AS reason FROM p1 WHERE outcome NOT IN ('EXACT_MATCH', 'TOLERANCE_MATCH') UNION ALL SELECT 'source', uid, reason FROM x UNION ALL SELECT 'counterpart', uid, reason FROM x2)"""
-
-
-@query(f"WITH {_ALL} SELECT * FROM every")
-def u6_all_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finance.all_exceptions(*exceptions_of(*sides(spark, sf_dir)))
-
-
-@query(f"WITH {_ALL} SELECT * FROM every WHERE reason = 'AMOUNT_MISMATCH'")
-def f2_exception_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.given(u6_all_exceptions(spark, sf_dir), reason="AMOUNT_MISMATCH", origin="ALL", uid=None)
-
-
-@query(f"WITH {_ALL} SELECT *, (SELECT count(*) FROM every) AS total FROM every ORDER BY uid DESC, origin LIMIT 200 OFFSET 10")
-def k2_exceptions_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = matching.checkpointed(u6_all_exceptions(spark, sf_dir))
-    return search.counted_page(rows, [F.desc("uid"), F.col("origin")], 200, 10)
-
-
-@query(
-    f"""WITH {_D1}, e AS (SELECT a.uid, x.reason, a.amount, CASE WHEN x.reason = 'AMOUNT_MISMATCH' THEN abs(a.amount - nullif(o.amt, -99999)) END AS diff FROM x JOIN a USING (uid) LEFT JOIN o USING (clean_ref))
-    SELECT uid, reason, diff FROM e WHERE coalesce(diff, abs(amount), 0) > 1 ORDER BY diff DESC NULLS LAST, uid LIMIT 50""",
-    columns="diff",
-)
-def f6_material(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = search.given(exceptions_of(*sides(spark, sf_dir))[1], level="MATERIAL")
-    return search.page(rows, [F.desc_nulls_last("amount_difference"), F.col("uid")], 50).select("uid", "reason", F.col("amount_difference").alias("diff"))
-
-
-@query(f"WITH {_PASS1} SELECT record_id FROM p1 JOIN a ON a.uid = uid_a WHERE outcome IN ('EXACT_MATCH', 'TOLERANCE_MATCH') UNION SELECT record_id FROM p1 JOIN b ON b.uid = uid_b WHERE outcome IN ('EXACT_MATCH', 'TOLERANCE_MATCH')")
-def u5_matched_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = first_pass(*sides(spark, sf_dir)).where("is_match")
-    return pairs.select(F.explode(F.array("record_id_a", "record_id_b")).alias("record_id")).distinct()
-
 
 @query(f"WITH {sql_views('ledger', 'bank')} SELECT record_id, dt FROM bank ORDER BY dt DESC NULLS LAST, record_id LIMIT 50", columns="dt")
 def k9_settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,11 +280,6 @@ def d11_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cash_rows(spark, sf_dir).agg(F.sum("pending").cast("decimal(38,2)").alias("pending"))
 
 
-@query(f"WITH {sql_views('cash_flows')} SELECT '2026-01-01' AS analysis_date, max(day) AS window_end, max(day) < DATE '2026-01-01' AS stale FROM cash_flows", columns="window_end")
-def w7_stale_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finance.stale_context(finance.forecast(finance.daily_flows(adapter.cash_flows(spark, sf_dir)), 7), "2026-01-01")
-
-
 @query(
     f"""WITH {_LEFT1}, {sql_views('cash_flows')}, u AS (SELECT sum(CASE WHEN amount >= 0 THEN amount ELSE 0 END) AS receivable, sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END) AS payable FROM a1), f AS (SELECT sum(inflow) AS i, sum(outflow) AS o FROM cash_flows)
     SELECT receivable, payable, CAST(round(CAST(receivable AS DOUBLE) * 365 / CAST(i AS DOUBLE), 2) AS DECIMAL(18,2)) AS dso, CAST(round(CAST(payable AS DOUBLE) * 365 / CAST(o AS DOUBLE), 2) AS DECIMAL(18,2)) AS dpo FROM u, f""", columns="receivable payable dso dpo")
@@ -433,22 +289,6 @@ def d16_working_capital(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finance.working_capital(matching.residual(a, pairs, "a"), adapter.cash_flows(spark, sf_dir), pairs.where("is_match")).select("receivable", "payable", "dso", "dpo")
 
 
-@query(
-    f"""WITH {sql_views('cash_flows')}, d AS (SELECT day, sum(inflow) AS i, sum(outflow) AS o FROM cash_flows GROUP BY 1), t AS (SELECT max(day) AS last, sum(i) AS i, sum(o) AS o, greatest(count_if(i > 0), 1) AS n FROM d),
-    h AS (SELECT CAST(last + CAST(k AS INTEGER) AS DATE) AS day, CAST(i AS DOUBLE) / n AS ir, CAST(o AS DOUBLE) / n AS orr, i - o AS start FROM t, range(1, 31) r(k)),
-    f AS (SELECT day, start, CAST(round(ir * CASE isodow(day) WHEN 1 THEN 1.1e0 WHEN 2 THEN 1.05e0 WHEN 5 THEN 1.15e0 WHEN 6 THEN 0.4e0 WHEN 7 THEN 0.3e0 ELSE 1e0 END, 2) AS DECIMAL(18,2)) AS in_flow, CAST(round(orr * CASE isodow(day) WHEN 1 THEN 1.1e0 WHEN 2 THEN 1.05e0 WHEN 5 THEN 1.15e0 WHEN 6 THEN 0.4e0 WHEN 7 THEN 0.3e0 ELSE 1e0 END, 2) AS DECIMAL(18,2)) AS out_flow FROM h)
-    SELECT day, in_flow, out_flow, start + sum(in_flow - out_flow) OVER (ORDER BY day) AS balance FROM f""",
-    columns="day in_flow out_flow balance",
-)
-def w1_forecast_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finance.forecast(finance.daily_flows(adapter.cash_flows(spark, sf_dir)), 30)
-
-
-@query(f"WITH {sql_views('cash_flows')}, d AS (SELECT DISTINCT day FROM cash_flows) SELECT CAST(max(day) - min(day) + 1 AS INTEGER) AS span_days, count(*) AS n_days, CASE WHEN max(day) - min(day) + 1 >= 14 AND count(*) >= 20 THEN 'HIGH' WHEN max(day) - min(day) + 1 >= 5 OR count(*) >= 6 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM d")
-def w8_forecast_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finance.forecast_confidence(finance.daily_flows(adapter.cash_flows(spark, sf_dir)))
-
-
 # Tables, search and guards
 
 
@@ -462,11 +302,6 @@ def k1_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.page(read(spark, sf_dir, "events"), [F.desc("ts"), F.col("event_id")], 50, 100).select("event_id", "user_id")
 
 
-@query(f"WITH {_PASS1} SELECT uid_a, gross AS gross_diff FROM p1 WHERE outcome = 'AMOUNT_MISMATCH' ORDER BY gross DESC, uid_a LIMIT 50", columns="gross_diff")
-def k3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_pass(*sides(spark, sf_dir)).where("outcome = 'AMOUNT_MISMATCH'").orderBy(F.desc("gross_diff"), "uid_a").limit(50).select("uid_a", "gross_diff")
-
-
 @query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%E\\_1%' ESCAPE '\\' OR p_type ILIKE '%e\\_1%' ESCAPE '\\' OR p_brand ILIKE '%BRAND#1%'")
 def f3_ilike(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "part")
@@ -486,26 +321,6 @@ def f5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(read(spark, sf_dir, "documents"), "doc_id", "text", "License version, LICENSE reserved")
 
 
-@query(
-    f"""WITH {_LEFT1}, w AS (SELECT record_id AS id FROM a UNION SELECT record_id FROM b UNION SELECT 'NONE-1'), m AS (SELECT *, outcome NOT IN ('EXACT_MATCH', 'TOLERANCE_MATCH') AS bad FROM p1),
-    t AS (SELECT record_id AS id, CASE WHEN bad THEN 1 ELSE 0 END AS l FROM m JOIN a ON a.uid = uid_a UNION ALL SELECT record_id, CASE WHEN bad THEN 1 ELSE 0 END FROM m JOIN b ON b.uid = uid_b
-     UNION ALL SELECT record_id, 1 FROM a1 UNION ALL SELECT record_id, 1 FROM b1 UNION ALL SELECT record_id, 2 FROM a UNION ALL SELECT record_id, 2 FROM b),
-    c AS (SELECT id, l, count(*) AS n FROM t GROUP BY 1, 2), s AS (SELECT id, min(l) AS l, arg_min(n, l) AS n FROM c GROUP BY 1)
-    SELECT w.id, CASE s.l WHEN 0 THEN 'matches' WHEN 1 THEN 'exceptions' WHEN 2 THEN 'records' END AS stage, CASE WHEN s.l IS NULL THEN 'NOT_FOUND' WHEN s.n > 1 THEN 'AMBIGUOUS' ELSE 'FOUND' END AS status FROM w LEFT JOIN s ON s.id = w.id"""
-)
-def f4_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record id of both sides, and one that is in none: exceptions are the outcomes that are no
-    match and the rows without a counterpart."""
-    a, b = sides(spark, sf_dir)
-    pairs = matching.checkpointed(first_pass(a, b))
-    ids = lambda df, c="record_id": df.select(F.col(c).alias("id"))
-    of_pairs = lambda df: ids(df, "record_id_a").unionByName(ids(df, "record_id_b"))
-    records = ids(a).unionByName(ids(b))
-    odd = of_pairs(pairs.where("NOT is_match")).unionByName(ids(matching.residual(a, pairs, "a"))).unionByName(ids(matching.residual(b, pairs, "b")))
-    wanted = records.distinct().unionByName(spark.createDataFrame([("NONE-1",)], "id string"))
-    return search.look_up([("matches", of_pairs(pairs.where("is_match"))), ("exceptions", odd), ("records", records)], wanted)
-
-
 def _guard_sql() -> str:
     found = lambda column, pattern: f"regexp_matches({column}, '(?i){pattern.replace(chr(39), chr(39) * 2)}')"
     steps = "".join(f" WHEN {found('plain', pattern)} THEN '{verdict}'" for verdict, pattern in search.injection_ladder())
@@ -543,3 +358,6 @@ def u4_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j0_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = sides(spark, sf_dir)
     return a.unionByName(b).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"))
+
+
+from . import outlook_queries, plan_queries, run_queries, store_queries  # noqa: E402, F401  (they register their queries)

@@ -26,13 +26,27 @@ FROM {ledger} CROSS JOIN (SELECT 0 AS copy_no UNION ALL SELECT 1) n
 WHERE k%20<>7 AND (copy_no=0 OR k%20 IN (12,14,16))
 """
 TAX_SQL = """
-SELECT 'LN-'||CAST(l_orderkey AS STRING)||'-'||CAST(l_linenumber AS STRING) AS record_id,
- CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,2)) AS base, CAST(l_tax AS DECIMAL(6,4)) AS rate,
- CASE WHEN l_orderkey % 13 = 0 THEN NULL WHEN l_linenumber = 3 THEN CAST(0 AS DECIMAL(18,2))
-  ELSE CAST(CAST(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(6,4)) AS DECIMAL(18,2))
-   + CAST(CASE WHEN l_linenumber = 2 THEN 10.00 WHEN l_linenumber = 4 THEN 0.01 ELSE 0.00 END AS DECIMAL(18,2)) AS DECIMAL(18,2)) END AS reported, l_orderkey AS k
+SELECT 'LN-'||CAST(l_orderkey AS STRING)||'-'||CAST(l_linenumber AS STRING) AS record_id, (l_orderkey + l_linenumber) % 11 AS v,
+ CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,2)) AS amount, CAST(l_tax AS DECIMAL(6,4)) AS rate,
+ CAST(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(6,4)) AS DECIMAL(18,2)) AS own_tax,
+ CAST(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,2)) * CAST(0.18 AS DECIMAL(6,4)) AS DECIMAL(18,2)) AS usual_tax
 FROM {lineitem}
 """
+# Raw records of every kind of tax line, by v. This text is Spark's alone: raw records are maps of texts.
+RAW_TAX_SQL = """
+SELECT record_id, amount, CASE v
+ WHEN 0 THEN map('amount', CAST(amount AS STRING))
+ WHEN 1 THEN map('taxable_amount', CAST(amount AS STRING), 'tax_amount', CAST(own_tax AS STRING), 'tax_rate', CAST(rate AS STRING))
+ WHEN 2 THEN map('subtotal', CAST(amount AS STRING), 'gst', CAST(NULL AS STRING), 'tax_rate', '8')
+ WHEN 3 THEN map('taxable_amount', '0', 'tax', '0.00', 'note', 'Zero rated goods')
+ WHEN 4 THEN map('taxable_amount', '0', 'tax', '0')
+ WHEN 5 THEN map('net_amount', CAST(amount AS STRING), 'vat', CAST(usual_tax + 10 AS STRING))
+ WHEN 6 THEN map('taxable_base', CAST(amount AS STRING), 'tax', CAST(usual_tax AS STRING), 'total', CAST(amount + usual_tax + 5 AS STRING))
+ WHEN 7 THEN map('taxable_amount', 'n/a', 'amount', CAST(amount AS STRING), 'cgst', CAST(own_tax + CAST(0.04 AS DECIMAL(4,2)) AS STRING), 'gst_rate', CAST(rate AS STRING))
+ WHEN 8 THEN map('base_amount', CAST(-amount AS STRING), 'tax', '5')
+ WHEN 10 THEN map('withholding_tax', CAST(usual_tax AS STRING)) END AS raw
+FROM {tax_lines}
+"""
 CASH_SQL = """
 SELECT CAST(o_orderdate AS DATE) AS day, CAST(o_totalprice AS DECIMAL(18,2)) AS inflow, CAST(0 AS DECIMAL(18,2)) AS outflow FROM {orders}
 UNION ALL
@@ -57,8 +71,8 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(BANK_SQL, ledger=ledger(spark, sf_dir))
 
 
-def tax_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, TAX_SQL)
+def tax_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(RAW_TAX_SQL, tax_lines=_view(spark, sf_dir, TAX_SQL))
 
 
 def cash_flows(spark: SparkSession, sf_dir: str) -> DataFrame:

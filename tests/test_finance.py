@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import random
 from decimal import Decimal
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import scalar as S
 from tallyspark.functions import similarity
-from tallyspark.operators import finance, matching, search
+from tallyspark.operators import finance, forecast, matching, search, splits, tax
 from tallyspark.plans import mapping
 from tallyspark.sources import files
 
@@ -82,7 +83,7 @@ def test_splits_do_not_depend_on_the_side(spark):
     one = spark.createDataFrame([row(0, "S", 2, "10.00")], ROW)
     two = spark.createDataFrame([row(i * 2, k, 2, x) for i, (k, x) in enumerate((("Z", "4.00"), ("B", "4.00"), ("Q", "6.00"), ("A", "6.00")))], ROW)
     for a, b in ((one, two), (two, one)):
-        assert [(r.single, {r.one, r.two}) for r in matching.splits(a, b, matching.Tolerances()).collect()] == [(0, {2, 6})]  # A, B and S come first
+        assert [(r.single, {r.one, r.two}) for r in splits.splits(a, b, 3, "0.05").collect()] == [(0, {2, 6})]  # A, B and S come first
 
 
 def test_guard(spark):
@@ -103,23 +104,106 @@ def test_search_counts_repeated_terms(spark):
 
 
 def test_tax(spark):
-    lines = spark.createDataFrame([("a", Decimal(1000), None, Decimal(180)), ("b", Decimal(1000), None, Decimal(120)), ("c", Decimal(500), None, Decimal(0)), ("d", None, None, Decimal(1))], "record_id string, base decimal(18,2), rate decimal(6,4), reported decimal(18,2)")
-    got = finance.tax_status(lines)
-    assert {r.record_id: r.status for r in got.collect()} == {"a": "MATCH", "b": "MISMATCH", "c": "MISSING", "d": "TAX_DATA_UNAVAILABLE"}
-    total = finance.tax_rollup(got).first()
-    assert (total.total_expected, total.total_reported, total.total_net_difference) == (Decimal("450.00"), Decimal("300.00"), Decimal("-150.00"))
-
-
-def test_forecast(spark):
-    daily = spark.createDataFrame([(datetime.date(2026, 8, i), Decimal(1000 * i), Decimal(0)) for i in range(1, 6)], "day date, inflow decimal(38,2), outflow decimal(38,2)")
-    got = finance.forecast(daily, 7, "5000").orderBy("day").collect()
-    assert len(got) == 7 and got[0].day == datetime.date(2026, 8, 6) and got[0].balance == Decimal("8000.00")  # a Thursday weighs 1.00
-    out = spark.createDataFrame([(datetime.date(2026, 8, 7), Decimal(0), Decimal(100)), (datetime.date(2026, 8, 8), Decimal(200), Decimal(0))], "day date, inflow decimal(38,2), outflow decimal(38,2)")
-    got = finance.forecast(out, 2, "0").orderBy("day").collect()  # a Sunday weighs 0.30, a Monday 1.10
-    assert [(r.in_flow, r.out_flow, r.balance) for r in got] == [(Decimal(60), Decimal(30), Decimal(30)), (Decimal(220), Decimal(110), Decimal(140))]
+    cases = {  # raw record: status, severity, expected, signed difference, source of the rate
+        "match": ({"taxable_amount": "1000", "tax": "180"}, "MATCH", None, "180.00", "0.00", "ASSUMED"),
+        "short": ({"taxable_amount": "1000", "tax": "120"}, "MISMATCH", "HIGH", "180.00", "-60.00", "ASSUMED"),
+        "slight": ({"taxable_amount": "1000", "tax": "189"}, "MISMATCH", "MEDIUM", "180.00", "9.00", "ASSUMED"),
+        "least": ({"taxable_amount": "1000", "tax": "180.06"}, "MISMATCH", "LOW", "180.00", "0.06", "ASSUMED"),
+        "none": ({"subtotal": "500", "gst": None}, "MISSING", "HIGH", "90.00", "-90.00", "ASSUMED"),
+        "percent": ({"amount": "200", "vat": "10", "vat_rate": "5"}, "MATCH", None, "10.00", "0.00", "SOURCE_DATA"),
+        "words": ({"taxable_amount": "0", "tax": "0", "note": "EXEMPTION"}, "MATCH", None, "0.00", "0.00", "ASSUMED"),
+        "zero": ({"taxable_amount": "0.004", "tax": "0"}, "TAX_DATA_UNAVAILABLE", None, "0.00", "0.00", "ASSUMED"),
+        "exempt but taxed": ({"taxable_amount": "0", "tax": "1", "note": "exempt"}, "TAX_DATA_UNAVAILABLE", None, "0.00", "1.00", "ASSUMED"),
+        "total": ({"taxable_base": "100", "tax": "18", "total": "120"}, "AMBIGUOUS", "LOW", "18.00", "0.00", "ASSUMED"),
+        "total near": ({"taxable_base": "100", "tax": "18", "total": "118.05"}, "MATCH", None, "18.00", "0.00", "ASSUMED"),
+        "record": ({"tds": "1.80"}, "MATCH", None, "1.80", "0.00", "ASSUMED"),
+        "no key": ({"amount": "10"}, "NOT_TAX_APPLICABLE", None, None, None, None),
+        "no map": (None, "NOT_TAX_APPLICABLE", None, None, None, None),
+        "texts": ({"tax_amount": "n/a", "gst": "1.8", "amount": " 10 "}, "MATCH", None, "1.80", "0.00", "ASSUMED"),
+    }
+    rows = spark.createDataFrame([(k, Decimal(10), v[0]) for k, v in cases.items()], "record_id string, amount decimal(18,2), raw map<string,string>")
+    lines = tax.tax_lines(rows)
+    decimal = lambda x: None if x is None else Decimal(x)
+    got = {r.record_id: (r.status, r.severity, r.expected, r.signed, r.rate_source) for r in lines.collect()}
+    assert got == {k: (v[1], v[2], decimal(v[3]), decimal(v[4]), v[5]) for k, v in cases.items()}
+    total = tax.tax_rollup(lines).first()
+    assert (total.n_lines, total.n_eligible, total.match, total.ambiguous, total.not_tax_applicable, total.severity_high) == (15, 13, 6, 1, 2, 2)
+    none = tax.tax_rollup(lines.where("status = 'NOT_TAX_APPLICABLE'")).first()
+    assert none.total_expected is None and none.match_rate == 0.0
+    assert {r.rate_source for r in tax.tax_lines(rows, rate="0.05").where("status != 'NOT_TAX_APPLICABLE'").collect()} == {"USER_CONFIGURED", "SOURCE_DATA"}
+
+
+RECORD = "amount decimal(18,2), source string, description string, day date"
+PAID = "amount_a decimal(18,2), dt_a date, dt_b date"
+
+
+def august(i):
+    return datetime.date(2026, 8, i)
+
+
+def records_of(spark, *rows):
+    return spark.createDataFrame([(Decimal(a), None, d, day) for a, d, day in rows], RECORD)
+
+
+def test_outlook(spark):
+    records = records_of(spark, *((1000 * i, None, august(i)) for i in range(1, 6)))
+    summary, days = forecast.outlook(records, 7, opening="5000")
+    got = days.orderBy("day").collect()
+    assert len(got) == 7 and got[0].day == august(6) and got[0].balance == Decimal("8000.00")  # a Thursday weighs 1.00
+    assert tuple(summary.select("status", "n_records", "span_days", "confidence", "baseline_source").first()) == ("COMPLETED", 5, 5, "MEDIUM", "USER_PROVIDED")
+    got = forecast.outlook(records_of(spark, (-100, None, august(7)), (200, None, august(8))), 2, opening="0")[1].orderBy("day").collect()
+    assert [(r.in_flow, r.out_flow, r.balance) for r in got] == [(Decimal(60), Decimal(30), Decimal(30)), (Decimal(220), Decimal(110), Decimal(140))]  # a Sunday, a Monday
     for horizon in (0, 95):
         with pytest.raises(ValueError):
-            finance.forecast(daily, horizon)
+            forecast.outlook(records, horizon)
+    with pytest.raises(ValueError):
+        forecast.outlook(records, 7, method="guess")
+
+
+def test_outlook_without_inflow_takes_the_span(spark):
+    out = records_of(spark, (-100, None, august(3)), (30, "Refund", august(6)))
+    got = forecast.outlook(out, 1)[1].first()  # 4 days; a Friday weighs 1.15
+    assert (got.in_flow, got.out_flow, got.balance) == (Decimal(0), Decimal("37.38"), Decimal("-167.38"))
+    paid = spark.createDataFrame([(Decimal(-50), None, august(9)), (Decimal(70), august(4), august(5)), (Decimal(8), None, None)], PAID)
+    summary, days = forecast.outlook(out, 2, matches=paid)
+    assert tuple(summary.select("pending", "span_days", "n_records").first()) == (Decimal(8), 7, 2)
+    got = days.orderBy("day").collect()  # Monday and Tuesday after the 9th: half of 8 each
+    assert [(r.in_flow, r.out_flow) for r in got] == [(Decimal("70.00"), Decimal("71.50")), (Decimal("67.00"), Decimal("68.25"))]
+    assert forecast.outlook(records_of(spark, (1, None, august(3))), 1, matches=paid)[0].first().pending == 0  # not sparse
+
+
+def test_pending_money_comes_on_weekdays_only(spark):
+    rows = records_of(spark, (10, None, august(7)), (-5, None, None))  # the 8th is a Saturday
+    assert [r.in_flow for r in forecast.outlook(rows, 4)[1].orderBy("day").collect()] == [Decimal("4.00"), Decimal("3.00"), Decimal("11.00"), Decimal("10.50")]
+    rows = records_of(spark, (10, None, august(9)), (-5, None, None))
+    assert [r.in_flow for r in forecast.outlook(rows, 3)[1].orderBy("day").collect()] == [Decimal("13.50"), Decimal("13.00"), Decimal("10.00")]
+
+
+def test_a_record_of_nothing_is_a_day_of_inflow(spark):
+    rows = records_of(spark, (0, None, august(3)), (100, None, august(4)), (0, "refund", august(5)))
+    got = forecast.outlook(rows, 1)[1].first()
+    assert (got.day, got.in_flow) == (august(6), Decimal("50.00"))
+
+
+def test_nothing_to_forecast(spark):
+    none = records_of(spark).limit(0)
+    summary, days = forecast.outlook(none, 7, today="2026-08-01")
+    assert (summary.first().status, summary.first().confidence, days.count()) == ("INSUFFICIENT_DATA", "LOW", 0)
+    summary, days = forecast.outlook(none, 2, today="2026-08-01", n_exceptions=1)
+    assert summary.first().status == "COMPLETED" and [(r.day, r.balance) for r in days.orderBy("day").collect()] == [(august(2), 0), (august(3), 0)]
+
+
+def test_smoothing_over_ranges_like_a_fold(spark, monkeypatch):
+    monkeypatch.setattr(forecast, "RANGE_DAYS", 3)
+    rng = random.Random(9)
+    values = {datetime.date(2025, 1, 1) + datetime.timedelta(days=d): rng.randrange(1, 10_000) for d in sorted(rng.sample(range(400), 120))}
+    level = None
+    for v in values.values():
+        level = v if level is None else 0.3 * v + 0.7 * level
+    df = spark.createDataFrame(list(values.items()), "day date, v long").repartition(4)
+    got = forecast.smoothed(df, "v").first()
+    assert got.level == pytest.approx(level, rel=1e-12) and got.days == 120
+    assert forecast.smoothed(df.limit(0), "v").count() == 0
 
 
 def test_cash_records_and_filters(spark):
@@ -143,14 +227,52 @@ def test_working_capital(spark):
 def test_roles_and_plans(spark):
     for headers, role in (("invoice_id taxable_amount gst_rate tax_amount", "TAX"), ("mdr_fee interchange commission", "FEE"), ("utr closing_balance value_date debit", "BANK_STATEMENT")):
         found = mapping.classify_role(headers.split())
-        assert found[0] == role and found[1] >= 0.7
-    assert mapping.classify_role(["foo", "bar"]) == ("UNKNOWN", 0.0)
-    plan = mapping.plan_documents({"l": "LEDGER", "b": "BANK_STATEMENT", "p": "PAYOUT", "f": "FEE"})
-    assert (plan.source, plan.counterparts, plan.enrichments, plan.kind) == ("l", ["b", "p"], ["f"], "MULTI_SOURCE_RECONCILIATION")
+        assert found.name == role and found.confidence >= 0.7
+    assert mapping.classify_role(["foo", "bar"]).name == "UNKNOWN"
+    assert mapping.classify_role(["Fees-Deducted"]).name == "FEE"  # a header may go on after the word
+    assert mapping.classify_role(["x_fee"]).points == 30 and mapping.classify_role(["coffee"]).points == 0
+    assert [mapping.classify_role([], n).name for n in ("settle_bank.csv", "bank_tax.csv", "vat_fee.csv", "ledger.csv", "sales.csv", "x.csv")] == ["SETTLEMENT", "BANK_STATEMENT", "TAX", "LEDGER", "TRANSACTION", "UNKNOWN"]
+    plan = mapping.plan_documents({"l": "LEDGER", "b": "BANK_STATEMENT", "p": "PAYOUT", "f": "FEE", "t": "TRANSACTION", "u": "UNKNOWN"})
+    assert (plan.source, plan.counterparts, plan.enrichments, plan.kind, plan.unknown) == ("l", ["b", "p"], {"f": "FEE_ADJUSTMENT"}, "MULTI_SOURCE_RECONCILIATION", ["u", "t"])
+    assert mapping.plan_documents({"t": "TRANSACTION", "s": "SETTLEMENT"}).kind == "TRANSACTION_VS_SETTLEMENT"
+    assert mapping.plan_documents({}).kind == "EMPTY" and mapping.plan_documents({"l": "LEDGER"}).kind == "SINGLE_DOCUMENT"
+    rest = mapping.plan_documents({"x": "UNKNOWN", "l": "LEDGER", "m": "LEDGER"})
+    assert (rest.source, rest.counterparts) == ("x", ["l", "m"])
     df = spark.createDataFrame([("x", "2026-08-01", "5.00", "m")], "utr string, posting_date string, debit_amount string, memo string")
     got = mapping.map_columns(df)
     assert got.valid and got.columns == {"reference_id": "utr", "date": "posting_date", "amount": "debit_amount", "description": "memo"}
-    assert not mapping.map_columns(spark.createDataFrame([("a", "b")], "some_id string, notes string")).valid
+    assert got.samples == {"utr": "x", "posting_date": "2026-08-01", "debit_amount": "5.00", "memo": "m"}
+    assert mapping.map_columns(spark.createDataFrame([("a", "b")], "some_id string, notes string")).missing == ["amount"]
+
+
+def test_columns_by_content(spark):
+    df = spark.createDataFrame([("a", 0.0, "2026-08-01", -3.5), ("b", 0.0, "2026-09-01", 4.0), (None, 0.0, None, None)], "name2 string, zero double, when_ string, worth double")
+    got = mapping.map_columns(df)
+    assert (got.columns["amount"], got.columns["date"]) == ("worth", "when_")
+    member = spark.createDataFrame([("m", "t1"), ("m", "t2")], "member_id string, order_ref string")
+    assert mapping.best_id(mapping.Document("", member)) == "order_ref"
+    ids = spark.createDataFrame([(str(i % 90), str(i)) for i in range(100)], "txn_id string, payment_id string")
+    assert mapping.best_id(mapping.Document("", ids)) == "payment_id"  # both are worth 100 by name
+    assert mapping.best_id(mapping.Document("", ids.limit(0))) == "txn_id"
+
+
+def test_roles_by_values(spark):
+    rows = [("SETTLED", 5.0), ("Refund issued", -5.0), (None, -1.0)]
+    found = mapping.classify_role(["state", "worth"], columns=mapping.Document("", spark.createDataFrame(rows, "state string, worth double")).measured())
+    assert (found.name, found.points) == ("REFUND", 40)
+    assert mapping.Document("", spark.createDataFrame([], "a string, b long")).measured()[1]["rows"] == 0
+
+
+def test_best_keys_of_four_pairs(spark):
+    a = spark.createDataFrame([(f"T{i}", f"inv-{i}", 1.0) for i in range(300)], "transaction_id string, reference_id string, amount double")
+    b = spark.createDataFrame([(f"B{i}" if i % 3 else f"T{i}", f"INV-{i}", 1.0) for i in range(200, 500)], "txn_id string, utr string, amount double")
+    x, y = mapping.Document("a", a), mapping.Document("b", b)
+    assert mapping.best_keys(x, mapping.map_document(x), y, mapping.map_document(y)) == (("reference_id", "utr"), 100, 0.3333)
+    none = mapping.Document("c", b.select(F.concat(F.lit("no"), "txn_id").alias("txn_id"), "amount"))
+    assert mapping.best_keys(x, mapping.map_document(x), none, mapping.map_document(none)) == (("transaction_id", "txn_id"), 0, 0.0)
+    plan, roles, mappings, wrong = mapping.make_plan([mapping.Document("a", a, "sales.csv"), mapping.Document("b", b, "bank.csv")])
+    assert (plan.kind, plan.keys, wrong) == ("TRANSACTION_VS_BANK_STATEMENT", ("reference_id", "utr"), [])
+    assert "(100 overlapping IDs)" in mapping.explain(plan, [mapping.Document("a", a, "sales.csv"), mapping.Document("b", b, "bank.csv")], roles)
 
 
 def test_files(spark, tmp_path):
