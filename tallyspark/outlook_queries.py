@@ -67,7 +67,7 @@ def _case(name: str, rows: str, paid: str | None, smooth: bool) -> str:
 
 
 _PAID = "SELECT amount AS amount_a, CASE WHEN k % 3 = 0 THEN NULL ELSE dt END AS dt_a, CASE WHEN k % 6 = 0 THEN NULL ELSE date_add(dt, 1) END AS dt_b FROM {ledger}"
-_FORECASTS = f"""{_CASH}, gone AS (SELECT day, x, true AS goes FROM c), m AS ({_PAID.format(ledger='ledger')}), paid AS (SELECT CAST(coalesce(dt_a, dt_b) AS DATE) AS day, abs(amount_a) AS x FROM m),
+_FORECASTS = f"""{_CASH}, gone AS (SELECT day, x, true AS goes FROM c WHERE x > 0), m AS ({_PAID.format(ledger='ledger')}), paid AS (SELECT CAST(coalesce(dt_a, dt_b) AS DATE) AS day, abs(amount_a) AS x FROM m),
  {_case('average', 'c', None, False)}, {_case('smoothing', 'c', None, True)}, {_case('no_inflow', 'gone', None, False)}, {_case('matches', 'gone', 'paid', False)}"""
 
 
@@ -75,7 +75,7 @@ _FORECASTS = f"""{_CASH}, gone AS (SELECT day, x, true AS goes FROM c), m AS ({_
 def w1_forecast_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with and without dates by both methods, records that only flow out, and those with matches."""
     records = cash_records_of(spark, sf_dir)
-    gone = records.withColumn("amount", -F.abs(F.coalesce("amount", F.lit(0))).cast("decimal(18,2)"))
+    gone = records.where("amount IS NOT NULL").withColumn("amount", -F.abs("amount").cast("decimal(18,2)"))
     paid = spark.sql(_PAID, ledger=adapter.ledger(spark, sf_dir))
     cases = {"average": (records, {}), "smoothing": (records, {"method": forecast.METHODS[1]}), "no_inflow": (gone, {}), "matches": (gone, {"matches": paid})}
     out = None
