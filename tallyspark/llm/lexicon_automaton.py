@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-#: Distance allowed for a word, by its least length; shorter words and stems must match exactly.
-EDITS = ((10, 2), (5, 1))
+#: Distance allowed for a word, by its least length, and how much longer a stem must be, as anything may
+#: follow it; shorter ones must match exactly.
+EDITS, STEM_MORE = ((10, 2), (5, 1)), 2
 
 
 def allowed_edits(term: str) -> int:
-    return 0 if term.endswith("*") else next((k for least, k in EDITS if len(term) >= least), 0)
+    size = len(term) - 1 - STEM_MORE if term.endswith("*") else len(term)
+    return next((k for least, k in EDITS if size >= least), 0)
 
 
 @dataclass

@@ -1,7 +1,7 @@
 """Toxicity scores: a learned lexicon, misspellings by automaton, and the context of each hit.
 
 Terms - words, and stems that stand for all words they begin - are learned from a bounded sample of
-labelled texts by their log odds. Words of a text that are a term, or a few edits from one, are
+labelled texts by their log odds, and kept only if they add texts that the terms before them miss. Words of a text that are a term, or a few edits from one, are
 hits, unless the sample shows that word in clean texts. A hit inside quotation marks, or after a word
 that reports speech, weighs as quotation, others as abuse. A logistic model over these strengths
 gives the score.
@@ -27,6 +27,8 @@ THRESHOLD = 0.5
 #: Texts of class 1 that a term needs, least log odds ratio, and lengths of stems. The sample's size
 #: bounds the number of terms.
 LEAST_TEXTS, LEAST_ODDS = 8, 3.0
+#: Terms that a text of class 1 may have before further ones add nothing.
+COVERED = 3
 STEMS = range(4, 9)
 #: Words before a hit that may report speech.
 REPORT_WINDOW = 4
@@ -56,25 +58,70 @@ def plain(token: str) -> str:
     return token
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, y, texts) with each text counted once for a term."""
-    counts: Counter[tuple[str, int]] = Counter()
+def _parts(text: str) -> set[str]:
+    return {w for w in set(tokens(text)) if len(w) > 3 and w.isalpha()}
 
-    def out() -> pa.RecordBatch:
-        keys = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())], names=["term", "y", "texts"])
 
-    for batch in batches:
-        classes = batch.column(1).to_pylist()
-        for at, texts in chunks(batch.column(0)):
-            for i, text in enumerate(texts):
-                words = {w for w in set(tokens(text)) if len(w) > 3 and w.isalpha()}
-                stems = {f"{w[:n]}*" for w in words for n in STEMS if n < len(w)}
-                counts.update((t, classes[at + i]) for t in words | stems)
-            if len(counts) > 400_000:
-                yield out()
-                counts.clear()
-    yield out()
+def _stems(words: set[str]) -> set[str]:
+    return {f"{w[:n]}*" for w in words for n in STEMS if n < len(w)}
+
+
+def _term_counts(wanted: frozenset[str] | None):
+    """(term, texts) with each text counted once for a term; of `wanted` terms alone if they are given."""
+    begin = {t[: STEMS.start] for t in wanted} if wanted is not None else None
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "texts"])
+
+        for batch in batches:
+            for _, texts in chunks(batch.column(0)):
+                for text in texts:
+                    words = _parts(text)
+                    if wanted is None:
+                        counts.update(words | _stems(words))
+                    else:
+                        words = {w for w in words if w[: STEMS.start] in begin}
+                        counts.update((words | _stems(words)) & wanted)
+                if len(counts) > 400_000:
+                    yield out()
+                    counts.clear()
+        yield out()
+
+    return job
+
+
+def _held_terms(terms: list[str]):
+    """The places in `terms` of those that a text holds, in order."""
+    place = {t: i for i, t in enumerate(terms)}
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [sorted(place[t] for t in words | _stems(words) if t in place) for _, texts in chunks(batch.column(0)) for words in map(_parts, texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32()))], names=["held"])
+
+    return job
+
+
+def covering(held: list[tuple[list[int], int]], least: int = LEAST_TEXTS, times: int = COVERED) -> list[int]:
+    """Terms chosen one by one, each the one that is in most of the texts with fewer than `times` chosen
+    terms, as long as those are `least`. `held` has the terms of a text, and how many texts have those.
+    What comes along with other terms by chance, as in copies of a text, adds too little."""
+    left = [(set(terms), n, 0) for terms, n in held]
+    chosen: list[int] = []
+    while True:
+        more: Counter[int] = Counter()
+        for terms, n, _ in left:
+            for t in terms:
+                more[t] += n
+        best = min(more, key=lambda t: (-more[t], t), default=None)
+        if best is None or more[best] < least:
+            return chosen
+        chosen.append(best)
+        left = [(terms - {best}, n, seen + (best in terms)) for terms, n, seen in left]
+        left = [x for x in left if x[2] < times]
 
 
 def choose_terms(counts: list[tuple[str, int, float]]) -> list[tuple[str, float]]:
@@ -208,12 +255,17 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str, te
     sample = materialise(sample.select("text", "y").dropDuplicates(), "toxic_sample")
     size = dict(sample.groupBy("y").count().collect())
     ones, zeros = size.get(1, 0), size.get(0, 0)
-    found = sample.mapInArrow(_term_counts, "term string, y int, texts long").groupBy("term")
-    found = found.agg(F.sum(F.expr("IF(y = 1, texts, 0)")).alias("n1"), F.sum(F.expr("IF(y = 0, texts, 0)")).alias("n0"))
-    odds = F.log((F.col("n1") + 0.5) / F.lit(ones + 1)) - F.log((F.col("n0") + 0.5) / F.lit(zeros + 1))
-    found = found.select("term", "n1", odds.alias("odds")).where((F.col("n1") >= LEAST_TEXTS) & (F.col("odds") >= LEAST_ODDS))
-    top = found.orderBy(F.desc("n1"), "term").collect()  # terms of LEAST_TEXTS texts of the sample or more
-    chosen = choose_terms([(r["term"], r["n1"], min(r["odds"], 6.0)) for r in top])
+    texts = {y: sample.where(F.col("y") == y).select("text") for y in (0, 1)}
+
+    def counted(y: int, wanted: frozenset[str] | None) -> DataFrame:
+        return texts[y].mapInArrow(_term_counts(wanted), "term string, texts long").groupBy("term").agg(F.sum("texts").alias("n"))
+
+    n1 = dict(counted(1, None).where(F.col("n") >= LEAST_TEXTS).collect())  # terms of LEAST_TEXTS texts of the sample or more
+    n0 = dict(counted(0, frozenset(n1)).collect()) if n1 else {}
+    odds = {t: float(np.log((n + 0.5) / (ones + 1)) - np.log((n0.get(t, 0) + 0.5) / (zeros + 1))) for t, n in n1.items()}
+    chosen = choose_terms([(t, n1[t], min(odds[t], 6.0)) for t in sorted(n1, key=lambda t: (-n1[t], t)) if odds[t] >= LEAST_ODDS])
+    held = texts[1].mapInArrow(_held_terms([t for t, _ in chosen]), "held array<int>").where(F.size("held") > 0).groupBy("held").count().orderBy("held").collect()  # as many rows as texts of class 1 at most
+    chosen = [chosen[i] for i in sorted(covering([(r["held"], r["count"]) for r in held]))]
     lexicon = Lexicon([t for t, _ in chosen], [w for _, w in chosen], [allowed_edits(t) for t, _ in chosen])
 
     def approached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
