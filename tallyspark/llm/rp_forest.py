@@ -28,9 +28,9 @@ from .common import discard, join_by_key, materialise
 from .components import connected_components
 
 TREES = 5
-#: Distinct vectors that the medians are fitted on at most, those of them that a node of its own
-#: median needs, and vectors of one label in a leaf at about.
-SAMPLE, NODE_SAMPLE, LEAF = 20_000, 24, 256
+#: Distinct vectors that the medians are fitted on at about (twice as many at most), those of them that a
+#: node of its own median needs, and vectors of one label in a leaf at about.
+SAMPLE, NODE_SAMPLE, LEAF = 20_000, 24, 32
 #: Vectors nearer to a split than this share of a neighbour's usual distance go down both sides.
 SPILL = 0.4
 BLOCK = 2048
