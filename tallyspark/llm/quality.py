@@ -73,7 +73,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def labelled_sample(labels: DataFrame, may_learn: Column, label_col: str) -> DataFrame:
-    """doc_id and y (0 or 1) of at most SAMPLE labelled rows. An id with several labels counts as 1
+    """doc_id and y (0 or 1) of at most SAMPLE labelled ids. An id with several labels counts as 1
     if any is 1; null ids and labels are left out."""
     found = labels.where(may_learn & F.col("doc_id").isNotNull() & F.col(label_col).isNotNull())
     found = found.groupBy("doc_id").agg(F.max(F.col(label_col)).cast("int").alias("y"))
@@ -85,8 +85,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col:
 
     `labels` has doc_id and `label_col`; `may_learn` is a condition on its doc_id. Null and empty
     texts get the score of a text without statistics. Rows of a null or repeated id are scored like
-    any other. Without a label the score is 0.5 for all. An empty table gives no rows; other columns
-    are ignored."""
+    any other, and the fit takes at most 2 * SAMPLE of them. Texts are read whole, however long; a score
+    at the threshold counts as 1. Without a label the score is 0.5 for all. An empty table gives no
+    rows; other columns are ignored."""
     measured = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_measured, "doc_id long, stats array<float>")
     measured = materialise(measured, "statistics")
     sample = measured.join(F.broadcast(labelled_sample(labels, may_learn, label_col)), "doc_id").orderBy("doc_id").limit(2 * SAMPLE).toPandas()
