@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .workbooks import sheet_rows
 
 MAX_BYTES = 25 * 1024 * 1024
 EXTENSIONS = ("csv", "json", "xlsx", "xls")
@@ -31,14 +32,25 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.inline("records")) if df.columns == ["records"] else df
 
 
+def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of one workbook, or of all workbooks of a folder with one header: all columns as
+    text. Each file is read in a task of its own, as a stream over its zipped parts; files over
+    MAX_BYTES are left out, as they are refused on upload. The first row that has a cell is the header."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).where(F.col("length") <= MAX_BYTES)
+    cells = raw.select("path", "content").mapInPandas(sheet_rows, "path string, row long, cells map<int,string>")
+    first = cells.where(F.size("cells") > 0).groupBy("path").agg(F.min("row").alias("row"))
+    heads = cells.join(first, ["path", "row"])
+    names = {k: v for r in heads.select("cells").distinct().collect() for k, v in sorted(r["cells"].items())}  # one header, as all files share it
+    body = cells.join(first.withColumnRenamed("row", "head"), "path").where("row > head")
+    return body.select(*(F.try_element_at("cells", F.lit(k)).alias(name) for k, name in sorted(names.items())))
+
+
 def read_any(spark: SparkSession, path: str) -> DataFrame:
     ending = path.rsplit(".", 1)[-1].lower()
     if ending == "json":
         return read_json(spark, path)
-    if ending in ("xlsx", "xls"):
-        import pandas as pd
-
-        return spark.createDataFrame(pd.read_excel(path, dtype=str))
+    if ending == "xlsx":
+        return read_xlsx(spark, path)
     if ending == "csv":
         return read_csv(spark, path)
     raise ValueError(f"no reader for .{ending}")
@@ -95,10 +107,22 @@ def normal_records(rows: DataFrame, source: str) -> DataFrame:
     )
 
 
+#: Hexadecimal digits of an item's hash that one sum takes, and sums of a fingerprint.
+DIGITS, SUMS = 15, 4
+
+
+def multiset_hash(items: Column) -> Column:
+    """An aggregate over texts that is equal for equal multisets, whatever their order: the number of items
+    and four sums over parts of their SHA-256, hashed. Partial sums are merged, so no group is held."""
+    parts = [F.conv(F.substring(F.sha2(items, 256), 1 + i * DIGITS, DIGITS), 16, 10).cast("decimal(20,0)") for i in range(SUMS)]
+    sums = [F.coalesce(F.sum(p), F.lit(0)).cast("decimal(38,0)").cast("string") for p in parts]
+    return F.sha2(F.concat_ws(":", F.count(items).cast("string"), *sums), 256)
+
+
 def fingerprint(records: DataFrame, by: str) -> DataFrame:
     """One hash for the records of each document, whatever their order and headers."""
     item = F.to_json(F.struct("record_id", F.col("amount").cast("string").alias("amount"), "clean_reference_id", "iso_date", "clean_entity", "description"), {"ignoreNullFields": "false"})
-    return records.groupBy(by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(item)), "\n"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("records"))
+    return records.groupBy(by).agg(multiset_hash(item).alias("fingerprint"), F.count(F.lit(1)).alias("records"))
 
 
 def append(rows: DataFrame, path: str, partition: str = "thread_id") -> None:
