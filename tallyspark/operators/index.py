@@ -35,7 +35,7 @@ class SearchIndex:
         rows = rows.withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % self.buckets).cast("int"))
         spread = F.pmod(F.xxhash64("id"), F.lit(8))
         rows.repartition("bucket", spread).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings")
-        counts = self.spark.read.parquet(f"{self.root}/postings").groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
+        counts = self.spark.read.schema(rows.schema).parquet(f"{self.root}/postings").groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
         counts.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/terms")
         docs.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{self.root}/size")  # one row
         return self
@@ -88,11 +88,14 @@ class PagedOrder:
         n = max(1, -(-rows.count() // per_range))
         ranged = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_range", F.spark_partition_id())
         ranged.write.mode("overwrite").partitionBy("_range").parquet(f"{self.root}/rows")
-        self.order = order
-        sizes = self.spark.read.parquet(f"{self.root}/rows").groupBy("_range").agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect()  # one row a range
+        self.order, self.schema = order, ranged.schema
+        sizes = self._kept().groupBy("_range").agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect()  # one row a range
         self.sizes = [(r["_range"], r["n"]) for r in sizes]
         return self
 
+    def _kept(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/rows")
+
     @property
     def total(self) -> int:
         return sum(n for _, n in self.sizes)
@@ -111,7 +114,7 @@ class PagedOrder:
         """Rows offset .. offset + limit in order; past the end there are none."""
         names, first = self.ranges(offset, max(1, min(limit, 1000)))
         keys = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in self.order]
-        rows = self.spark.read.parquet(f"{self.root}/rows").where(F.col("_range").isin(*names) if names else F.lit(False)).drop("_range")
+        rows = self._kept().where(F.col("_range").isin(*names) if names else F.lit(False)).drop("_range")
         return rows.orderBy(*keys).offset(offset - first if names else 0).limit(max(1, min(limit, 1000)))
 
     def after(self, last: dict, limit: int = 50) -> DataFrame:
@@ -121,4 +124,4 @@ class PagedOrder:
         for c, down in self.order:
             here = F.col(c) < F.lit(last[c]) if down else F.col(c) > F.lit(last[c])
             beyond, equal = beyond | (equal & (here | F.col(c).isNull())), equal & (F.col(c) == F.lit(last[c]))
-        return self.spark.read.parquet(f"{self.root}/rows").drop("_range").where(beyond).orderBy(*keys).limit(max(1, min(limit, 1000)))
+        return self._kept().drop("_range").where(beyond).orderBy(*keys).limit(max(1, min(limit, 1000)))

@@ -37,12 +37,10 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     text. Each file is read in a task of its own, as a stream over its zipped parts; files over
     MAX_BYTES are left out, as they are refused on upload. The first row that has a cell is the header."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).where(F.col("length") <= MAX_BYTES)
-    cells = raw.select("path", "content").mapInPandas(sheet_rows, "path string, row long, cells map<int,string>")
-    first = cells.where(F.size("cells") > 0).groupBy("path").agg(F.min("row").alias("row"))
-    heads = cells.join(first, ["path", "row"])
-    names = {k: v for r in heads.select("cells").distinct().collect() for k, v in sorted(r["cells"].items())}  # one header, as all files share it
-    body = cells.join(first.withColumnRenamed("row", "head"), "path").where("row > head")
-    return body.select(*(F.try_element_at("cells", F.lit(k)).alias(name) for k, name in sorted(names.items())))
+    cells = raw.select("content").mapInPandas(sheet_rows, "head boolean, cells map<int,string>")
+    heads = cells.where("head").select(F.array_sort(F.map_entries("cells")).alias("names")).distinct().collect()  # one header, as all files share it
+    names = {e["key"]: e["value"] for r in heads for e in r["names"]}
+    return cells.where("NOT head").select(*(F.try_element_at("cells", F.lit(k)).alias(name) for k, name in sorted(names.items())))
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:

@@ -96,14 +96,18 @@ def cells(content: bytes) -> Iterator[tuple[int, dict[int, str]]]:
 
 
 def sheet_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """path and content of workbooks -> path, row and cells, some rows at a time."""
+    """content of workbooks -> head (whether a row is its workbook's first that has a cell) and cells of
+    that row and all after it, some rows at a time."""
     for pdf in parts:
-        for path, content in zip(pdf["path"], pdf["content"], strict=True):
-            out = []
-            for row, found in cells(bytes(content)):
-                out.append((path, row, found))
+        for content in pdf["content"]:
+            out, head = [], True
+            for _, found in cells(bytes(content)):
+                if head and not found:
+                    continue
+                out.append((head, found))
+                head = False
                 if len(out) == ROWS:
-                    yield pd.DataFrame(out, columns=["path", "row", "cells"])
+                    yield pd.DataFrame(out, columns=["head", "cells"])
                     out = []
             if out:
-                yield pd.DataFrame(out, columns=["path", "row", "cells"])
+                yield pd.DataFrame(out, columns=["head", "cells"])
