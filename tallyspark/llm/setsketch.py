@@ -40,11 +40,11 @@ SPACING, SHIFT, TOP = 1.004, 12000, 65535
 #: standard errors at similarity 0.8.
 SLACK = 0.18
 #: Members of a band that are compared in one task, and rows that one call gets at about.
-TASK, BOX = 1024, 8192
+TASK, BOX = 512, 8192
 #: Partners of a text that its full set meets in one place.
 SALTED = 1024
 #: Shingles that one call of the confirmation gets at about.
-BOX_SHINGLES = 4_000_000
+BOX_SHINGLES = 500_000
 SHINGLE_WORDS, SIMILARITY = 5, 80
 
 _FACTORS = np.random.default_rng(0x5E75).integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

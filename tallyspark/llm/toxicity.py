@@ -32,8 +32,8 @@ COVERED = 3
 STEMS = range(4, 9)
 #: Words before a hit that may report speech.
 REPORT_WINDOW = 4
-#: Known words that a worker remembers.
-REMEMBERED = 400_000
+#: Known words, and counts of terms, that a worker holds.
+REMEMBERED = 100_000
 
 # Words that report speech or mention a word as such.
 REPORTING = frozenset("said says say called calls wrote writes quoted quotes quote word words term phrase shouted reported dit sagte dijo".split())
@@ -85,7 +85,7 @@ def _term_counts(wanted: frozenset[str] | None):
                     else:
                         words = {w for w in words if w[: STEMS.start] in begin}
                         counts.update((words | _stems(words)) & wanted)
-                if len(counts) > 400_000:
+                if len(counts) > REMEMBERED:
                     yield out()
                     counts.clear()
         yield out()
