@@ -213,13 +213,15 @@ def reconcile(a: DataFrame, b: DataFrame, t: Tolerances = Tolerances()) -> tuple
     a, b = checkpointed(a), checkpointed(b)
     both = a.select("canonical_id", F.lit("a").alias("side")).unionByName(b.select("canonical_id", F.lit("b").alias("side")))
     outcomes = None
-    for run in (
+    for i, run in enumerate((
         lambda x, y: key_pass(x, y, "canonical_id", ID_STRATEGIES, t, (100, 98, 95), duplicate_ids(both)),
         lambda x, y: key_pass(x, y, "clean_ref", REFERENCE_STRATEGIES, t, (95, 95, 90), None),
         lambda x, y: amount_pass(x, y, t),
         lambda x, y: entity_pass(x, y, t),
-    ):
+    )):
         done = checkpointed(run(a, b))
         outcomes = done if outcomes is None else outcomes.unionByName(done)
         a, b = residual(a, done, "a"), residual(b, done, "b")
+        if i in (1, 2):  # the passes that follow read them several times
+            a, b = checkpointed(a), checkpointed(b)
     return outcomes, splits(a, b, t.days, t.amount)
