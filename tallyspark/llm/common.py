@@ -89,6 +89,17 @@ def discard(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df.stage_path)
 
 
+def written(spark: SparkSession) -> set[str]:
+    """Paths of the stage tables that this application has written and not deleted."""
+    return set(_written.get(spark.sparkContext.applicationId, ()))
+
+
+def forget(spark: SparkSession, keep: set[str]) -> None:
+    """Delete the stage tables of this application but those to keep."""
+    for path in written(spark) - keep:
+        _delete(spark, path)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all stage tables of this application, once its results are written."""
     for path in list(_written.get(spark.sparkContext.applicationId, ())):

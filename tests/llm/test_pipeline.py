@@ -40,3 +40,40 @@ def test_stages(spark):
     assert set(packed["doc_id"]) == set(near["doc_id"]) and packed.groupby("sequence_id")["length"].sum().max() <= 2048
 
 
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, rep long, sketch string, key string, id long"
+EXTRA = (0.5, False, 3, "s", "k", 7)
+
+
+def odd_rows():
+    long = " ".join(f"w{i % 977}" for i in range(20_000))
+    texts = [(0, None), (1, ""), (2, None), (3, " \n"), (4, "One two three four five six seven"), (5, "one TWO three four five six seven"), (6, long), (7, long + " end"), (None, "no id here at all today friend"), (8, "mail me at a.b@c.example.com now")]
+    texts += [(8, "mail me at a.b@c.example.com now"), (9, "unlike any other text of this table")]
+    return [(i, t, None if i == 4 else "en", None, None if t is None else len(t), *EXTRA) for i, t in texts]
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and long texts, repeated rows and clashing names, by hand."""
+    docs = spark.createDataFrame(odd_rows(), ODD).repartition(3)
+    toxic, exact, near, personal, packing = (stage for _, stage in corpus_pipeline.STAGES)
+    ids = lambda df: sorted((str(r.doc_id) for r in df.collect()))
+    assert ids(toxic(spark, docs, SF)) == ids(docs)
+    once = exact(spark, docs, SF)
+    assert ids(once) == sorted(["2", "3", "5", "6", "7", "8", "8", "9", "None"])  # 0, 1 and 2 are empty, 4 is like 5
+    left = near(spark, once, SF)
+    assert ids(left) == sorted(["2", "3", "5", "6", "8", "8", "9", "None"])  # 7 is near 6
+    clean = personal(spark, left, SF)
+    texts = {r.doc_id: (r.text, r.n_chars) for r in clean.collect()}
+    assert texts[8] == ("mail me at [EMAIL] now", 22) and texts[2] == (None, None) and ids(clean) == ids(left)
+    for out in (once, left, clean):
+        assert out.columns == docs.columns and {(r.score, r.kept, r.rep, r.sketch, r.key, r.id) for r in out.collect()} == {EXTRA}
+    packed = packing(spark, clean, SF).toPandas()
+    assert packed.groupby("sequence_id")["length"].sum().max() <= 2048 and set(map(str, packed["doc_id"].astype("Int64"))) == {"2", "3", "5", "6", "8", "9", "<NA>"}
+    assert personal(spark, left.drop("n_chars"), SF).columns == [c for c in docs.columns if c != "n_chars"]
+
+
+def test_stages_of_an_empty_table(spark):
+    none = spark.createDataFrame([], ODD)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0
