@@ -179,3 +179,32 @@ def test_open_rows_of_an_empty_other_side(spark):
     done = run.run(frame(spark, [row(0, "A", 1, "1.00")]), frame(spark, []))
     assert [(r.reason, r.level) for r in done.exceptions.collect()] == [("MISSING_COUNTERPART", "MATERIAL")]
     assert done.totals["material_discrepancies"] == 1
+
+
+MONEY_ROW = "uid long, record_id string, dt date, amount decimal(18,2)"
+
+
+@pytest.mark.parametrize("ids", ["plain", "joined"])
+def test_splits_like_a_sequential_loop(spark, ids):
+    rng = random.Random(9)
+    texts = ["B-1", "B-10", "B-1-D", "B-100", "T-1", "T-10"] + [f"R{i}" for i in range(30)] + ["R~1"] * (ids == "joined")
+    sides = [[(2 * i, rng.choice(texts), None if rng.random() < 0.1 else DAY + datetime.timedelta(days=rng.randrange(5)), Decimal(rng.choice(cents))) for i in range(n)] for n, cents in ((35, (150, 200, 300)), (45, (100, 200)))]
+    if ids == "joined":
+        sides[0][0] = (0, "R~1", DAY, Decimal(200))
+    edges = []
+    for kind, tag in zip(splits.KINDS, (0, 1), strict=True):
+        one, two = sides[tag], sides[1 - tag]
+        names = [{r[0]: r[1] for r in rows} for rows in (one, two)]
+        for s, g, h, off in brute(one, two, 3, Decimal("0.05")):
+            text = "~".join(sorted((names[0][s], names[1][g], names[1][h])))
+            edges.append(((kind, s, g, h), ((tag, s), (1 - tag, g), (1 - tag, h)), (off, text, kind, s, g, h)))
+    want = sequential(edges, lambda e: e[2])
+    got = splits.splits(*(spark.createDataFrame(rows, MONEY_ROW) for rows in sides), 3, "0.05")
+    assert sorted((r.kind, r.single, r.one, r.two) for r in got.collect()) == want and len(want) > 10
+
+
+def test_equal_rows_are_not_multiplied_out(spark):
+    """2,000 rows that any two of 4,000 add up to: 16,000 million splits, of which 2,000 are taken."""
+    rows = lambda n, amount: spark.range(n).selectExpr("id * 2 AS uid", "concat('R', id) AS record_id", "DATE'2026-08-01' AS dt", f"CAST({amount} AS DECIMAL(18,2)) AS amount")
+    got = splits.splits(rows(2_000, 200), rows(4_000, 100), 3, "0.05").collect()
+    assert len(got) == 2_000 and len({u for r in got for u in (r.one, r.two)}) == 4_000
