@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import datetime
+import re
+
+from pyspark.sql import functions as F
 
 from tallyspark import queries
+from tallyspark.functions import scalar
 
 
 def test_thread_overview_has_runs_of_all_threads(spark, tmp_path):
@@ -26,3 +30,24 @@ def test_redaction_keeps_rows_with_keys(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: r.text for r in queries.QUERIES["n25_redact"](spark, str(tmp_path)).collect()}
     assert got == {0: "key [REDACTED_KEY] here", 1: "[REDACTED_KEY]", 2: "[REDACTED_KEY]", 3: "a risk-free [CONFIDENTIAL_BENCHMARK]", 4: None}
+
+
+def test_passes_read_cleaned_rows_that_are_kept_and_spread(spark):
+    data = "/root/testdata/sf0.001"
+    a, _ = queries.sides(spark, data)
+    assert a.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # one small file is no longer one task
+    for name in ("j1_pass1_exact", "j2_pass2_reference", "j3_amount_candidates", "j6_entity_candidates"):
+        plan = queries.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_replace" not in plan and "orders" not in plan, name
+
+
+def test_company_endings_go_one_after_the_other(spark):
+    names = ["Acme Pvt. Ltd.", "acme co inc", "Acme Ltd Pvt Ltd", "Acme Company Co", "Co", "ACME-CO", "Acme & Sons", " x  Private Limited ", "NaN", None]
+    got = spark.createDataFrame([(k,) for k in names], "x string").select("x", scalar.entity_name(F.col("x")).alias("y")).collect()
+    plain = {}
+    for name in names:
+        out = re.sub(r"[-_/\\#&.]+", " ", (name or "").strip(" ").lower())
+        for ending in scalar.COMPANY_ENDINGS:
+            out = out.removesuffix(f" {ending}")
+        plain[name] = "" if (name or "").strip(" ").lower() == "nan" else " ".join(out.split())
+    assert {r.x: r.y for r in got} == plain
