@@ -122,14 +122,32 @@ def join_by_key(rows: DataFrame, keyed: DataFrame, key: list[str], weight: str,
     return rows.join(hot, key).unionByName(rest)
 
 
+#: Words of 64 bits that a sieve has at most.
+SIEVE = 1 << 19
+
+
+def sieved(rows: DataFrame, column: str, wanted: DataFrame, among: str) -> DataFrame:
+    """Those of the rows whose `column` may stand in column `among` of `wanted`, which is read twice and
+    counts repeated values each time; both are of one type. A join with `wanted` that follows shuffles few rows besides its own.
+
+    A broadcast table has a bit or more for each value, eight if there are not more than SIEVE words; rows of
+    a null go. What the sieve lets through decides only the way, never the result."""
+    words = 1 << min(SIEVE.bit_length() - 1, (wanted.count() // 8).bit_length())
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(words * 64))
+    word, bit = F.expr("shiftright(_spot, 6)").alias("_word"), F.expr("shiftleft(1L, CAST(_spot & 63 AS INT))")
+    bits = wanted.where(F.col(among).isNotNull()).select(spot(among).alias("_spot")).groupBy(word).agg(F.bit_or(bit).alias("_bits"))
+    found = rows.where(F.col(column).isNotNull()).withColumn("_spot", spot(column)).withColumn("_word", F.expr("shiftright(_spot, 6)")).join(F.broadcast(bits), "_word")
+    return found.where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def remainder(key: str, by: int) -> Column:
     """crc32 of the id written as decimal text, modulo `by`; null for a null id."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % by
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) for runs of rows with about CHUNK_BYTES of text; a null text counts as empty."""
-    for at, part in slices(texts, CHUNK_BYTES):
+def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) for runs of rows with about `size` bytes of text; a null text counts as empty."""
+    for at, part in slices(texts, size):
         yield at, [t or "" for t in part.to_pylist()]
 
 

@@ -13,9 +13,10 @@ each other in blocks, so that a band costs the square of their number: such band
 share five registers though they are not similar, which are few, or chains of texts. A pair is first judged by the sketches alone: the
 similarity is estimated by maximum likelihood from the counts of greater, equal and smaller
 registers and the known set sizes, and far pairs go. All others are confirmed on their full sets.
-The second round does both inside its tasks: a first pass over the sketches finds the members that
-have a likely partner, a second one gets their full sets and hands on, for each member, one link to
-its component within the task. So no table of pairs is ever made.
+Both rounds do that inside tasks: the texts of those that have a likely partner come there, become full
+sets there, and for each member one link to its component within the task is handed on. Texts are half
+as large as their hashes in a shuffle, and no table of full sets is ever made. The second round finds its
+likely partners inside its tasks too, so it makes no table of pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, join_by_key, materialise, runs, word_hashes
+from .common import chunks, discard, join_by_key, materialise, runs, sieved, word_hashes
 from .components import connected_components
 
 BANDS, ROWS = 40, 5
@@ -41,10 +42,10 @@ SPACING, SHIFT, TOP = 1.004, 12000, 65535
 SLACK = 0.18
 #: Members of a band that are compared in one task, and rows that one call gets at about.
 TASK, BOX = 512, 8192
-#: Partners of a text that its full set meets in one place.
+#: Partners of a text that its full set meets in one task.
 SALTED = 1024
-#: Shingles that one call of the confirmation gets at about.
-BOX_SHINGLES = 500_000
+#: Shingles that one call of the confirmation gets at about, and bytes of text that one step makes into sets.
+BOX_SHINGLES, STEP_BYTES = 500_000, 1 << 18
 SHINGLE_WORDS, SIMILARITY = 5, 80
 
 _FACTORS = np.random.default_rng(0x5E75).integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,7 +108,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys, sketches = [], [], []
-            for _, texts in chunks(batch.column(1)):
+            for _, texts in chunks(batch.column(1), STEP_BYTES):
                 for found in shingle_sets(texts, k):
                     sizes.append(len(found))
                     keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
@@ -119,41 +120,12 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     )
 
 
-def _full_sets(docs: DataFrame, k: int) -> DataFrame:
-    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, texts in chunks(batch.column(1)):
-                sets = [s.tobytes() for s in shingle_sets(texts, k)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(sets, pa.binary())], names=["id", "hashes"])
-
-    return docs.mapInArrow(job, "id long, hashes binary")
-
-
 def _estimated(least: float):
     def job(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             if len(pdf):
                 a, b = (np.frombuffer(b"".join(pdf[c]), dtype="<u2").reshape(len(pdf), REGISTERS) for c in ("sketch_a", "sketch_b"))
-                yield pdf.loc[estimated_above(least, register_counts(a, b), pdf["n_a"].to_numpy(float), pdf["n_b"].to_numpy(float)), ["a", "b"]]
-
-    return job
-
-
-def _confirmed(percent: int):
-    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, left, right = batch.columns
-            linked = []
-            for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            mask = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
+                yield pdf.loc[estimated_above(least, register_counts(a, b), pdf["n_a"].to_numpy(float), pdf["n_b"].to_numpy(float)), ["task", "a", "b", "n_a", "n_b"]]
 
     return job
 
@@ -171,34 +143,37 @@ def near_duplicates(
     however long. An empty table gives no rows; other columns are ignored."""
     rows = materialise(sketched(docs, id_col, text_col, shingle_words), "sketches")
     known = rows.where(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
-    classes = materialise(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
+    # Rows of one set have one sketch and one size, so any of them is the representative's.
+    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = materialise(classes, "classes")
     total = classes.agg(F.sum("copies")).first()[0] or 0
-    member = materialise(join_by_key(known.select("set_key", "doc_id"), classes, ["set_key"], "copies", total), "members")
-    first = member.where("doc_id = rep").select("set_key", "doc_id").distinct()
-    reps = known.join(first, ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key"])
-    reps = materialise(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"), "classes")
+    member = materialise(join_by_key(known.select("set_key", "doc_id"), classes.select("set_key", "rep", "copies"), ["set_key"], "copies", total), "members")
+    reps = classes.select(F.col("rep").alias("id"), "n", "sketch")
 
     bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("sketch", i * 2 * ROWS + 1, F.lit(2 * ROWS)))).alias("band", "part")
     keyed = reps.select("id", "n", bands).select(F.xxhash64("band", "part").alias("key"), "band", "id", "n")
     heads = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
     heads = materialise(heads, "heads")
     total = heads.agg(F.sum("size")).first()[0] or 0
-    keyed = materialise(join_by_key(keyed, heads, ["key"], "size", total).select("key", "band", "id", "n", "head"), "bands")
+    keyed = materialise(join_by_key(sieved(keyed, "key", heads, "key"), heads, ["key"], "size", total).select("key", "band", "id", "n", "head"), "bands")
     close = f"a != b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
 
     stars = keyed.select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.n").alias("n_a"), F.col("n").alias("n_b"))
     stars = materialise(stars.where(close).distinct(), "stars")
     # A head may have very many partners, so it brings its sketch as a hot key does.
-    degree = stars.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).join(reps.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+    degree = stars.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).join(sieved(reps, "id", stars, "a").select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
     degree = materialise(degree, "star_heads")
-    likely = join_by_key(stars, degree, ["a"], "degree", stars.count()).join(reps.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    likely = materialise(likely.mapInPandas(_estimated(percent / 100 - SLACK), "a long, b long").distinct(), "likely")
-    links = materialise(_confirmed_links(likely, docs, id_col, text_col, shingle_words, percent), "star_links")
+    likely = join_by_key(stars, degree, ["a"], "degree", stars.count()).join(sieved(reps, "id", stars, "b").select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+    task = F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / SALTED))).alias("task")
+    likely = likely.select(task, "a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInPandas(_estimated(percent / 100 - SLACK), "task long, a long, b long, n_a long, n_b long")
+    likely = materialise(likely.distinct(), "likely")
+    ends = [likely.select("task", F.lit(side).alias("side"), F.col(c).alias("id"), F.col(f"n_{c}").alias("n"), F.col(c).alias("part")) for side, c in enumerate("ab")]
+    links = materialise(_linked_members(ends[0].distinct().unionByName(ends[1]), docs, id_col, text_col, shingle_words, percent), "star_links")
     parts = materialise(connected_components(links), "parts")
-    discard(classes, heads, stars, degree, likely, links)
+    discard(heads, stars, degree, likely, links)
 
     open_ = materialise(_likely_members(keyed.select("key", "band", "id", "n"), parts, reps, percent), "likely_members")
-    discard(keyed, reps)
+    discard(keyed, classes)
     more = materialise(_linked_members(open_, docs, id_col, text_col, shingle_words, percent), "cross_links")
     discard(open_)
 
@@ -227,7 +202,8 @@ def _likely_members(keyed: DataFrame, parts: DataFrame, reps: DataFrame, percent
     mixed = counts.groupBy("key").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.max("size").alias("n_main"), F.sum("size").alias("n_all")).where("n_all > n_main")
     mixed = materialise(mixed, "mixed")
     all_ = mixed.agg(F.sum("n_all")).first()[0] or 0
-    members = materialise(join_by_key(grouped, mixed, ["key"], "n_all", all_).join(reps.select("id", "sketch"), "id"), "open")
+    members = materialise(join_by_key(sieved(grouped, "key", mixed, "key"), mixed, ["key"], "n_all", all_), "open")
+    members = materialise(members.join(sieved(reps, "id", members, "id").select("id", "sketch"), "id"), "open_sketches")
     discard(grouped, mixed)
     total = members.count()
     inner, whole = F.col("part") == F.col("main"), F.col("n_all") <= TASK
@@ -277,20 +253,21 @@ def _compared(percent: int):
 
 
 def _linked_members(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """Links (a, b) that join, in each task, the members that their full sets link."""
-    sets = _sets_of(members.select("id").distinct(), docs, id_col, text_col, k)
+    """Links (a, b) that join, in each task, the members (task, side, id, n, part) that their full sets link."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = members.agg(F.sum("n")).first()[0] or 0
     box = F.pmod(F.xxhash64("task"), F.lit(-(-total // BOX_SHINGLES) or 1))
-    return members.join(sets.where("octet_length(hashes) > 0"), "id").groupBy(box.alias("box")).applyInArrow(_linked(percent), "a long, b long").distinct()
+    return members.join(sieved(texts, "id", members, "id"), "id").groupBy(box.alias("box")).applyInArrow(_linked(k, percent), "a long, b long").distinct()
 
 
-def _linked(percent: int):
+def _linked(k: int, percent: int):
     def job(table: pa.Table) -> pa.Table:
         task, side, ids, part = (table.column(c).to_numpy() for c in ("task", "side", "id", "part"))
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        sets = [found for part_ in table.column("text").chunks for _, texts in chunks(part_, STEP_BYTES) for found in shingle_sets(texts, k)]
         size = np.array([len(x) for x in sets])
         found = [np.empty((2, 0), dtype=np.int64)]
         for rows in _task_rows(task):
+            rows = rows[size[rows] > 0]
             left, right = np.flatnonzero(side[rows] != 1), np.flatnonzero(side[rows] != 0)
             if not len(left) or not len(right):
                 continue
@@ -315,24 +292,6 @@ def _linked(percent: int):
     return job
 
 
-def _sets_of(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, hashes): the full sets of the texts whose ids are wanted."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-    return materialise(_full_sets(texts, k), "sets")
-
-
-def _confirmed_links(likely: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that the full sets of the texts confirm."""
-    sets = _sets_of(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, id_col, text_col, k)
-    # The set of a text with very many partners goes to as many places as SALTED of them fill.
-    degree = materialise(likely.groupBy("a").agg(F.count(F.lit(1)).alias("degree")), "degree")
-    places = F.ceil(F.col("degree") / SALTED)
-    salted = join_by_key(likely, degree, ["a"], "degree", likely.count()).withColumn("salt", F.pmod(F.xxhash64("b"), places)).drop("degree")
-    spread = sets.select(F.col("id").alias("a"), F.col("hashes").alias("hashes_a")).join(degree, "a").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), places - 1))).drop("degree")
-    pairs = salted.join(spread, ["a", "salt"]).join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hashes_b")), "b")
-    return pairs.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_confirmed(percent), "a long, b long").distinct()
-
-
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = SIMILARITY) -> DataFrame:
     """The rows of `docs` that `near_duplicates` keeps, with all their columns. Rows with a null id or
     without words stay; rows that repeat an id stay or go together; an empty table stays empty."""
