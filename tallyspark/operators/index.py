@@ -6,13 +6,15 @@ import re
 import zlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import tokens
 
 #: Buckets of terms; a bucket is a folder of postings in order of terms.
 BUCKETS = 64
+#: Ranges of a kept order that a task writes into one file.
+RANGES_OF_FILE = 64
 
 
 def bucket_of(term: str, buckets: int) -> int:
@@ -83,16 +85,24 @@ class PagedOrder:
 
     def build(self, rows: DataFrame, order: list[tuple[str, bool]], per_range: int = 100_000) -> PagedOrder:
         """Keep `rows` in `order`, (column, descending) with nulls last; it must tell all rows apart for
-        pages to be stable. Ranges have about `per_range` rows, but equal rows stay together."""
-        keys = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in order]
-        n = max(1, -(-rows.count() // per_range))
-        ranged = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_range", F.spark_partition_id())
-        ranged.write.mode("overwrite").partitionBy("_range").parquet(f"{self.root}/rows")
-        self.order, self.schema = order, ranged.schema
-        sizes = self._kept().groupBy("_range").agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect()  # one row a range
-        self.sizes = [(r["_range"], r["n"]) for r in sizes]
+        pages to be stable. Ranges have `per_range` rows, the last one of a file perhaps fewer.
+
+        A file holds about RANGES_OF_FILE ranges, one after the other, each in Parquet pages of its own;
+        so there are as many times fewer tasks, files and rows sampled for bounds than ranges."""
+        keys = self._keys(order)
+        n = max(1, -(-rows.count() // (per_range * RANGES_OF_FILE)))
+        ranged = rows.repartitionByRange(n, *keys).withColumn("_file", F.spark_partition_id()).sortWithinPartitions("_file", *keys)
+        ranged = ranged.withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))  # from 0 in each task
+        ranged.write.mode("overwrite").option("parquet.page.row.count.limit", per_range).partitionBy("_file").parquet(f"{self.root}/rows")
+        self.order, self.schema, self.per_range = order, ranged.schema, per_range
+        files = self._kept().groupBy("_file").agg(F.count(F.lit(1)).alias("n")).orderBy("_file").collect()  # one row a file
+        self.sizes = [((r["_file"], i), min(per_range, r["n"] - i * per_range)) for r in files for i in range(-(-r["n"] // per_range))]
         return self
 
+    @staticmethod
+    def _keys(order: list[tuple[str, bool]]) -> list[Column]:
+        return [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in order]
+
     def _kept(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/rows")
 
@@ -100,7 +110,7 @@ class PagedOrder:
     def total(self) -> int:
         return sum(n for _, n in self.sizes)
 
-    def ranges(self, offset: int, limit: int) -> tuple[list[int], int]:
+    def ranges(self, offset: int, limit: int) -> tuple[list[tuple[int, int]], int]:
         """(ranges that rows offset .. offset + limit lie in, rows before the first of them)."""
         found, before, first = [], 0, 0
         for name, n in self.sizes:
@@ -110,18 +120,24 @@ class PagedOrder:
             before += n
         return found, first
 
+    def within(self, names: list[tuple[int, int]]) -> DataFrame:
+        """The rows of these ranges, with their file and their place in it."""
+        inside = F.lit(False)
+        for file in {f for f, _ in names}:
+            own = [i for f, i in names if f == file]  # next to each other
+            inside = inside | ((F.col("_file") == file) & F.col("_place").between(min(own) * self.per_range, (max(own) + 1) * self.per_range - 1))
+        return self._kept().where(inside)
+
     def page(self, offset: int, limit: int = 50) -> DataFrame:
         """Rows offset .. offset + limit in order; past the end there are none."""
         names, first = self.ranges(offset, max(1, min(limit, 1000)))
-        keys = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in self.order]
-        rows = self._kept().where(F.col("_range").isin(*names) if names else F.lit(False)).drop("_range")
-        return rows.orderBy(*keys).offset(offset - first if names else 0).limit(max(1, min(limit, 1000)))
+        rows = self.within(names).orderBy("_file", "_place")
+        return rows.offset(offset - first if names else 0).limit(max(1, min(limit, 1000))).drop("_file", "_place")
 
     def after(self, last: dict, limit: int = 50) -> DataFrame:
         """The page that follows the row `last` (its columns of the order, none of them null)."""
-        keys = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in self.order]
         beyond, equal = F.lit(False), F.lit(True)
         for c, down in self.order:
             here = F.col(c) < F.lit(last[c]) if down else F.col(c) > F.lit(last[c])
             beyond, equal = beyond | (equal & (here | F.col(c).isNull())), equal & (F.col(c) == F.lit(last[c]))
-        return self._kept().drop("_range").where(beyond).orderBy(*keys).limit(max(1, min(limit, 1000)))
+        return self._kept().drop("_file", "_place").where(beyond).orderBy(*self._keys(self.order)).limit(max(1, min(limit, 1000)))

@@ -12,6 +12,7 @@ from math import log
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark.operators import index
 from tallyspark.operators.index import PagedOrder, SearchIndex, bucket_of
 from tallyspark.sources import files, workbooks
 
@@ -65,6 +66,29 @@ def test_deep_pages_read_one_range(spark, root):
     assert [r.id for r in paged.after({"worth": last.worth, "id": last.id}, 30).orderBy(F.desc_nulls_last("worth"), "id").collect()] == want[100:130]
 
 
+def test_ranges_share_tasks_and_files(spark, root):
+    rows = spark.range(5_000).select(F.col("id"), F.pmod("id", F.lit(7)).alias("worth")).repartition(5)
+    paged = PagedOrder(spark, root).build(rows, [("worth", True), ("id", False)], per_range=250)
+    assert [n for _, n in paged.sizes] == [250] * 20 and len(paged._kept().inputFiles()) == 1
+    names, _ = paged.ranges(3_010, 10)
+    part = paged.within(names)
+    assert part.count() == 250 and len(names) == 1
+    part.collect()
+    scan = part._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() <= 500  # the range's pages of the file
+
+
+def test_many_files_and_equal_rows_are_kept_in_order(spark, root, monkeypatch):
+    monkeypatch.setattr(index, "RANGES_OF_FILE", 3)
+    rng = random.Random(3)
+    values = [rng.choice([None, 1, 1, 1, *range(40)]) for _ in range(2_000)]
+    paged = PagedOrder(spark, root).build(spark.createDataFrame([(v,) for v in values], "worth long").repartition(6), [("worth", False)], per_range=50)
+    want = sorted(values, key=lambda v: (v is None, v or 0))
+    assert len(paged._kept().inputFiles()) > 5 and paged.total == 2_000
+    for offset in (0, 49, 50, 140, 777, 1_990, 2_000):
+        assert [r.worth for r in paged.page(offset, 120).collect()] == want[offset : offset + 120]
+
+
 def test_equal_multisets_have_equal_prints(spark):
     rows = [("a", "x"), ("a", "y"), ("a", "x"), ("b", "y"), ("b", "x"), ("b", "x"), ("c", "x"), ("c", "y"), ("d", None)]
     df = spark.createDataFrame(rows, "doc string, item string").repartition(4)
