@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import MONEY, days_ratio
@@ -53,15 +53,20 @@ def daily_flows(flows: DataFrame) -> DataFrame:
     return flows.groupBy("day").agg(F.sum("inflow").cast("decimal(38,2)").alias("inflow"), F.sum("outflow").cast("decimal(38,2)").alias("outflow"))
 
 
-def cash_records(records: DataFrame) -> DataFrame:
-    """day, inflow, outflow and pending of each record (amount, source, description, day). Negative
-    amounts, fees by source and refunds by description flow out; a null amount is zero, and a record
-    without a day is pending."""
-    size, none, dated = F.abs(F.coalesce("amount", F.lit(0))).cast(MONEY), F.lit(0).cast(MONEY), F.col("day").isNotNull()
+def flows_out() -> Column:
+    """Whether a record (amount, source, description) flows out: negative amounts, fees, refunds."""
     signs = ((F.col("amount") < 0), F.lower("source").contains("fee"), F.lower("description").contains("refund"))
     out = F.lit(False)
     for sign in signs:
         out = out | F.coalesce(sign, F.lit(False))
+    return out
+
+
+def cash_records(records: DataFrame) -> DataFrame:
+    """day, inflow, outflow and pending of each record (amount, source, description, day). Negative
+    amounts, fees by source and refunds by description flow out; a null amount is zero, and a record
+    without a day is pending."""
+    size, none, dated, out = F.abs(F.coalesce("amount", F.lit(0))).cast(MONEY), F.lit(0).cast(MONEY), F.col("day").isNotNull(), flows_out()
     part = lambda holds: F.when(holds, size).otherwise(none)
     return records.select("day", part(dated & ~out).alias("inflow"), part(dated & out).alias("outflow"), part(~dated).alias("pending"))
 

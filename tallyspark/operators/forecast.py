@@ -1,7 +1,8 @@
 """Cash forecasts from dated records: run rates or smoothing, pending money, balance, confidence.
 
-Everything stays a lazy table: history is one aggregation by day, what hangs on all of it is one row,
-and projections are that row times the days of the horizon.
+History is one aggregation of the records by day, which is kept, so that several forecasts read it and not the
+records. The rest stays lazy tables: what hangs on all of it is one row, and projections are that row
+times the days of the horizon.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import MONEY
-from .finance import cash_records
+from .common import checkpointed
+from .finance import flows_out
 
 WIDE = "decimal(38,2)"
 # Weight of each weekday, from Monday; the methods; the share of a new day in the level.
@@ -43,36 +45,51 @@ def smoothed(daily: DataFrame, value: str, by: Column | None = None, alpha: floa
     return part.groupBy("period").agg(level.alias("level"), F.sum("n").alias("days"))
 
 
-def history(records: DataFrame, matches: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(daily, facts) of records (amount, source, description, day).
+def days_of(records: DataFrame) -> DataFrame:
+    """Records (amount, source, description, day), counted and summed by day, and kept: the only time that they are
+    read. A row for each day, and one for those without a day: n, inflow and outflow, each null without such a
+    record, and pending. A record of nothing is an inflow of zero unless its marks make it an outflow."""
+    out, size = flows_out(), F.abs(F.coalesce("amount", F.lit(0))).cast(MONEY)
+    dated = F.col("day").isNotNull()
+    sums = {"inflow": F.when(dated & ~out, size), "outflow": F.when(dated & out, size), "pending": F.when(~dated, size)}
+    return checkpointed(records.groupBy("day").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).cast(WIDE).alias(name) for name, c in sums.items())))
+
+
+def paid_days(matches: DataFrame) -> DataFrame:
+    """The same of matches (amount_a, dt_a, dt_b): they flow in on either date; those without one are pending."""
+    return days_of(matches.select(F.abs("amount_a").alias("amount"), *(F.lit(None).cast("string").alias(c) for c in ("source", "description")), F.coalesce("dt_a", "dt_b").alias("day")))
+
+
+def history(days: DataFrame, paid: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(daily, facts) of `days_of` records and `paid_days` of matches.
 
     daily: day, inflow and outflow, each null on days without such a record. facts, one row: n_records,
     n_matches, pending, first, last, n_inflow_days. If no record flows in on a dated day, the matches
-    (amount_a, dt_a, dt_b) count as inflow on either date; those without a date are pending."""
-    spark = records.sparkSession
-    flows = cash_records(records)
-    none = F.lit(None).cast(MONEY)
-    goes = F.col("outflow") > 0
-    # A record of nothing is an inflow of zero unless its marks make it an outflow; both columns are zero then.
-    marked = records.select("day", F.coalesce("amount", F.lit(0)).alias("amount"), *(F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in ("source", "description")))
-    zero = marked.where("amount = 0 AND day IS NOT NULL").select("day", (F.col("source").contains("fee") | F.col("description").contains("refund")).alias("out"))
-    rows = flows.select("day", F.when(F.col("inflow") > 0, F.col("inflow")).otherwise(none).alias("inflow"), F.when(goes, F.col("outflow")).otherwise(none).alias("outflow"), "pending")
-    nothing = F.lit(0).cast(MONEY)
-    rows = rows.where("day IS NULL OR inflow > 0 OR outflow > 0").unionByName(zero.select("day", F.when(~F.col("out"), nothing).alias("inflow"), F.when(F.col("out"), nothing).alias("outflow"), nothing.alias("pending")))
-    if matches is None:
-        matches = spark.createDataFrame([], "amount_a decimal(18,2), dt_a date, dt_b date")
-    size, day = F.abs(F.coalesce("amount_a", F.lit(0))).cast(MONEY), F.coalesce("dt_a", "dt_b")
-    paid = matches.select(day.alias("day"), F.when(day.isNotNull(), size).alias("inflow"), none.alias("outflow"), F.when(day.isNull(), size).otherwise(nothing).alias("pending"))
-    counts = records.agg(F.count(F.lit(1)).alias("n_records")).join(F.broadcast(matches.agg(F.count(F.lit(1)).alias("n_matches"))))  # one row each
-    sparse = rows.agg((F.count("inflow") == 0).alias("sparse"))  # one row
-    rows = rows.unionByName(paid.join(F.broadcast(sparse)).where("sparse").drop("sparse"))
+    count as inflow."""
+    paid = days.limit(0) if paid is None else paid
+    counts = days.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_records")).join(F.broadcast(paid.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_matches"))))  # one row each
+    sparse = days.agg((F.count("inflow") == 0).alias("sparse"))  # one row
+    rows = days.unionByName(paid.join(F.broadcast(sparse)).where("sparse").drop("sparse"))
     daily = rows.where("day IS NOT NULL").groupBy("day").agg(F.sum("inflow").cast(WIDE).alias("inflow"), F.sum("outflow").cast(WIDE).alias("outflow"))
     pending = rows.agg(F.coalesce(F.sum("pending"), F.lit(0)).cast(WIDE).alias("pending"))
     of_days = daily.agg(F.min("day").alias("first"), F.max("day").alias("last"), F.count("inflow").alias("n_inflow_days"), *(F.coalesce(F.sum(c), F.lit(0)).cast(WIDE).alias(c) for c in ("inflow", "outflow")))
     return daily, counts.join(F.broadcast(pending)).join(F.broadcast(of_days))  # one row each
 
 
-def outlook(records: DataFrame, horizon: int, *, matches: DataFrame | None = None, opening: str | None = None, method: str = METHODS[0], today: str = "1970-01-01", n_exceptions: int = 0) -> tuple[DataFrame, DataFrame]:
+def outlook(records: DataFrame, horizon: int, *, matches: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """`outlook_of_days` of records and matches, each of which is read once."""
+    check(horizon, options.get("method", METHODS[0]))
+    return outlook_of_days(days_of(records), horizon, paid=None if matches is None else paid_days(matches), **options)
+
+
+def check(horizon: int, method: str) -> None:
+    if not 1 <= horizon <= 90:
+        raise ValueError("horizon must lie between 1 and 90 days")
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {', '.join(METHODS)}")
+
+
+def outlook_of_days(history_days: DataFrame, horizon: int, *, paid: DataFrame | None = None, opening: str | None = None, method: str = METHODS[0], today: str = "1970-01-01", n_exceptions: int = 0) -> tuple[DataFrame, DataFrame]:
     """(summary, projections) for `horizon` days (1 to 90) after the last dated day, or after `today` if
     there is none.
 
@@ -81,11 +98,8 @@ def outlook(records: DataFrame, horizon: int, *, matches: DataFrame | None = Non
     each of the first two days that is a weekday. Without an opening balance the history's net flow
     is one. The summary has one row; its status is INSUFFICIENT_DATA, and there are no projections,
     if there is neither a record nor a match nor an exception."""
-    if not 1 <= horizon <= 90:
-        raise ValueError("horizon must lie between 1 and 90 days")
-    if method not in METHODS:
-        raise ValueError(f"method must be one of {', '.join(METHODS)}")
-    daily, facts = history(records, matches)
+    check(horizon, method)
+    daily, facts = history(history_days, paid)
     span = F.coalesce(F.datediff("last", "first") + 1, F.lit(1))
     level = lambda c: F.col(c).cast("double") / F.when(F.col("n_inflow_days") > 0, F.col("n_inflow_days")).otherwise(F.col("span_days"))
     facts = facts.withColumn("span_days", span)

@@ -76,11 +76,12 @@ def w1_forecast_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with and without dates by both methods, records that only flow out, and those with matches."""
     records = cash_records_of(spark, sf_dir)
     gone = records.where("amount IS NOT NULL").withColumn("amount", -F.abs("amount").cast("decimal(18,2)"))
-    paid = spark.sql(_PAID, ledger=adapter.ledger(spark, sf_dir))
-    cases = {"average": (records, {}), "smoothing": (records, {"method": forecast.METHODS[1]}), "no_inflow": (gone, {}), "matches": (gone, {"matches": paid})}
+    paid = forecast.paid_days(spark.sql(_PAID, ledger=adapter.ledger(spark, sf_dir)))
+    records, gone = forecast.days_of(records), forecast.days_of(gone)
+    cases = {"average": (records, {}), "smoothing": (records, {"method": forecast.METHODS[1]}), "no_inflow": (gone, {}), "matches": (gone, {"paid": paid})}
     out = None
     for name, (rows, options) in cases.items():
-        days = forecast.outlook(rows, 21, **options)[1].select(F.lit(name).alias("forecast"), "day", "in_flow", "out_flow", "balance")
+        days = forecast.outlook_of_days(rows, 21, **options)[1].select(F.lit(name).alias("forecast"), "day", "in_flow", "out_flow", "balance")
         out = days if out is None else out.unionByName(days)
     return out
 

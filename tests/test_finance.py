@@ -185,6 +185,21 @@ def test_a_record_of_nothing_is_a_day_of_inflow(spark):
     assert (got.day, got.in_flow) == (august(6), Decimal("50.00"))
 
 
+def test_forecasts_read_their_records_once(spark, tmp_path):
+    rows = records_of(spark, *((1 + i % 7, "refund" if i % 3 else None, august(1 + i % 9) if i % 5 else None) for i in range(60)))
+    rows.write.parquet(f"{tmp_path}/r")
+    read, paid = spark.sparkContext.accumulator(0), spark.createDataFrame([(Decimal(9), august(3), None)], PAID)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    kept = spark.read.parquet(f"{tmp_path}/r").mapInPandas(seen, rows.schema)
+    summary, days = forecast.outlook(kept, 5, matches=paid, method=forecast.METHODS[1])
+    assert summary.first().n_records == 60 and len(days.collect()) == 5 and read.value == 60
+
+
 def test_nothing_to_forecast(spark):
     none = records_of(spark).limit(0)
     summary, days = forecast.outlook(none, 7, today="2026-08-01")
