@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime
 import random
+import re
 from decimal import Decimal
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from tallyspark.functions import scalar as S
 from tallyspark.functions import similarity
 from tallyspark.operators import finance, forecast, matching, search, splits, tax
 from tallyspark.plans import mapping
-from tallyspark.sources import files
+from tallyspark.sources import adapter, files
 
 ROW = "uid long, record_id string, canonical_id string, clean_ref string, dt date, amount decimal(18,2), net_amount decimal(18,2), fee_amount decimal(18,2), currency string, entity string, source string"
 
@@ -36,6 +38,49 @@ def test_parsers(spark):
     assert values(spark, ["NA", "-", "--", "INF", "n/a", " 'ab  c' ", None], S.canonical_id) == ["NA", "-", "--", "INF", "", "AB C", ""]
 
 
+def test_company_endings_go_one_after_the_other(spark):
+    rng = random.Random(4)
+    words = ["acme", "pvt", "private", "", "\n", *(w for e in S.COMPANY_ENDINGS for w in e.split())]
+    names = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 7))) for _ in range(3_000)] + ["Acme-Co-Ltd", "ltd", " ltd", "a company limited", "a limited company", "a co\n"]
+
+    def plain(name):
+        out = re.sub(r"[-_/\\#&.]+", " ", name.strip(" ").lower())
+        for ending in S.COMPANY_ENDINGS:
+            out = re.sub(f" {re.escape(ending)}$", "", out)
+        return re.sub(r"\s+", " ", out).strip(" ")
+
+    assert values(spark, names, S.entity_name) == [plain(n) for n in names]
+    assert values(spark, ["REF-a12b3/CLR", "ORD12-34AUTO", "x٣y"], S.core_id) == ["123", "1234", "X٣Y"]
+
+
+def test_cleaning_is_compiled(spark):
+    """The JVM compiles no method of more than 8,000 bytes and runs such code many times slower."""
+    rows = adapter.normal_rows(adapter.bank(spark, "/root/testdata/sf0.001"), "bank")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        code = spark._jvm.PythonSQLUtils.explainString(rows.select("*")._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8_000
+
+
+def test_scores_known_without_texts_send_none_to_python(spark, monkeypatch):
+    sent, real = spark.sparkContext.accumulator(0), F.pandas_udf
+
+    def counted(f, kind):
+        def batch(left: pd.Series, right: pd.Series) -> pd.Series:
+            sent.add(int((left.notna() & right.notna()).sum()))
+            return f(left, right)
+
+        return real(batch, kind)
+
+    monkeypatch.setattr(F, "pandas_udf", counted)
+    one = F.struct(F.lit("INV-1").alias("ref"), F.lit("1").alias("clean_ref"), F.lit(5).cast(S.MONEY).alias("amount"), F.lit("2026-08-01").cast("date").alias("day"), F.lit("EUR").alias("currency"), F.lit("acme co").alias("entity"))
+    scored = spark.range(3).select(one.alias("a"), one.alias("b")).select(similarity.match_score("a", "b").alias("s"))
+    assert [(r.s.total, r.s.category) for r in scored.collect()] == [(100, "EXACT_MATCH")] * 3 and sent.value == 0
+
+
 def test_similarity(spark):
     df = spark.createDataFrame([("kitten", "sitting"), ("", ""), (None, "x"), ("same", "same")], "a string, b string")
     got = [r.s for r in df.select(similarity.text_ratio(F.col("a"), F.col("b")).alias("s")).collect()]
