@@ -26,6 +26,12 @@ def kept_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return matching.checkpointed(a), matching.checkpointed(b)
 
 
+def kept_ids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides, kept, without what the pass by id doesn't read: cleaned references and names."""
+    a, b = (side.drop("clean_ref", "entity") for side in sides(spark, sf_dir))
+    return matching.checkpointed(a), matching.checkpointed(b)
+
+
 def first_pass(a: DataFrame, b: DataFrame) -> DataFrame:
     both = a.select("canonical_id", F.lit("a").alias("side")).unionByName(b.select("canonical_id", F.lit("b").alias("side")))
     return matching.key_pass(a, b, "canonical_id", matching.ID_STRATEGIES, T, (100, 98, 95), matching.duplicate_ids(both))
@@ -167,7 +173,7 @@ def l3_key_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_PASS1} SELECT {_shown_sql('EXACT_TRANSACTION_ID', 'EXACT_TRANSACTION_ID_FEE_DELTA', 100, 98, 95)} FROM p1", columns="best_diff gross_diff")
 def j1_pass1_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_pass(*kept_sides(spark, sf_dir)).select(*_SHOWN, *_EVIDENCE)
+    return first_pass(*kept_ids(spark, sf_dir)).select(*_SHOWN, *_EVIDENCE)
 
 
 @query(f"WITH {_PASS2} SELECT {_shown_sql('FALLBACK_EXACT_REFERENCE', 'FALLBACK_REFERENCE_FEE_DELTA', 95, 95, 90)} FROM p2", columns="best_diff gross_diff")
@@ -195,7 +201,7 @@ def j8_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_LEFT1} SELECT uid, record_id FROM a1")
 def j9_residual_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = kept_sides(spark, sf_dir)
+    a, b = kept_ids(spark, sf_dir)
     return matching.residual(a, first_pass(a, b), "a").select("uid", "record_id")
 
 
@@ -247,7 +253,7 @@ def a13_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_PASS1} SELECT round(avg(days), 4) AS lag FROM p1 WHERE outcome IN ('EXACT_MATCH', 'TOLERANCE_MATCH')")
 def a14_settlement_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_pass(*kept_sides(spark, sf_dir)).where("is_match").agg(F.round(F.avg("days_diff"), 4).alias("lag"))
+    return first_pass(*kept_ids(spark, sf_dir)).where("is_match").agg(F.round(F.avg("days_diff"), 4).alias("lag"))
 
 
 @query(
@@ -256,7 +262,7 @@ def a14_settlement_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT count(*) FILTER (kind = 'TP') AS tp, count(*) FILTER (kind = 'FP') AS fp, count(*) FILTER (kind = 'FN') AS fn, count(*) FILTER (kind = 'TN') AS tn FROM k"""
 )
 def a15_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = kept_sides(spark, sf_dir)
+    a, b = kept_ids(spark, sf_dir)
     actual = first_pass(a, b).where("is_match").select(F.col("uid_a").alias("uid"), F.col("uid_b").alias("actual_target"))
     wanted = F.when(F.floor(F.col("uid") / 2).cast("long") % 20 == -1, 0)
     for case in (0, 1, 2, 4, 6, 10, 17, 18, 19):
@@ -293,8 +299,8 @@ def d11_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_LEFT1}, {sql_views('cash_flows')}, u AS (SELECT sum(CASE WHEN amount >= 0 THEN amount ELSE 0 END) AS receivable, sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END) AS payable FROM a1), f AS (SELECT sum(inflow) AS i, sum(outflow) AS o FROM cash_flows)
     SELECT receivable, payable, CAST(round(CAST(receivable AS DOUBLE) * 365 / CAST(i AS DOUBLE), 2) AS DECIMAL(18,2)) AS dso, CAST(round(CAST(payable AS DOUBLE) * 365 / CAST(o AS DOUBLE), 2) AS DECIMAL(18,2)) AS dpo FROM u, f""", columns="receivable payable dso dpo")
 def d16_working_capital(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = kept_sides(spark, sf_dir)
-    pairs = first_pass(a, b)
+    a, b = kept_ids(spark, sf_dir)
+    pairs = matching.checkpointed(first_pass(a, b).select("uid_a", "dt_a", "dt_b", "is_match"))  # read twice
     return finance.working_capital(matching.residual(a, pairs, "a"), adapter.cash_flows(spark, sf_dir), pairs.where("is_match")).select("receivable", "payable", "dso", "dpo")
 
 

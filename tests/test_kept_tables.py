@@ -1,5 +1,6 @@
 """What runs leave in the shared folder."""
 
+from tallyspark import queries
 from tallyspark.operators import matching
 from tallyspark.operators.common import kept
 from tallyspark.queries import T, sides
@@ -22,3 +23,11 @@ def test_passes_keep_their_results_only(spark):
     outcomes, found = matching.reconcile(*sides(spark, SMALL), T)
     assert len(kept(spark) - before) == 5
     assert outcomes.count() and found.count() >= 0
+
+
+def test_working_capital_cleans_ids_only_and_pairs_once(spark):
+    before = kept(spark)
+    assert queries.QUERIES["d16_working_capital"](spark, SMALL).count() == 1
+    columns = sorted(sorted(spark.read.parquet(p).columns) for p in kept(spark) - before)
+    assert len(columns) == 3 and ["dt_a", "dt_b", "is_match", "uid_a"] in columns  # both sides, pairs
+    assert not {"clean_ref", "entity"} & {c for table in columns for c in table}
