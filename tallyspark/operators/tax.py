@@ -56,13 +56,13 @@ def tax_lines(records: DataFrame, rate: str | None = None, tolerance: str = "0.0
     lines = records.withColumns({
         "_eligible": eligible, "_base": base, "_tax": first_number(raw, REPORTED_KEYS), "_total": first_number(raw, TOTAL_KEYS),
         "_rate": F.coalesce(F.when(given > 1, given / 100).otherwise(given).cast(NUMBER), usual), "_source": F.when(given.isNotNull(), "SOURCE_DATA").otherwise("USER_CONFIGURED" if rate is not None else "ASSUMED"),
-        "_said": F.lower(F.concat_ws(" ", F.map_keys(raw), F.map_values(raw))),
     })
     nothing = F.col("_base") < 0.005
     exact = lambda c: F.col(c).cast("decimal(38,8)")
     lines = lines.withColumn("_expected", F.when(nothing, 0).otherwise(F.round(F.col("_base") * F.col("_rate").cast("decimal(10,8)"), 2)).cast(CENTS))
     lines = lines.withColumn("_reported", F.coalesce("_tax", F.lit(0)).cast("decimal(38,8)"))
-    exempt = (F.col("_reported") == 0) & F.col("_said").rlike("|".join(EXEMPT))
+    said = F.lower(F.concat_ws(" ", F.map_keys("raw"), F.map_values("raw")))  # made for lines without base and tax only
+    exempt = (F.col("_reported") == 0) & said.rlike("|".join(EXEMPT))
     off = F.abs(exact("_reported") - exact("_expected"))
     unsettled = F.coalesce(F.abs(exact("_total") - (exact("_base") + exact("_reported"))) > tol, F.lit(False))
     status = (
