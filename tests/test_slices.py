@@ -5,10 +5,11 @@ import time
 
 import pytest
 
-from tallyspark.operators import matching, run
+from tallyspark.operators import matching, run, splits
 from tallyspark.operators.common import checkpointed
 
 from .test_finance import ROW, row
+from .test_whole_runs import MONEY_ROW, money_rows
 
 
 def shuffle_files(spark):
@@ -57,3 +58,8 @@ def test_a_slice_holds_its_keys_alone(spark, monkeypatch, slice_, n):
     keys = [{r.canonical_id for side in part for r in side.where("canonical_id != ''").collect()} for part in parts]
     assert len(parts) == n and sum(side.count() for part in parts for side in part) == 120
     assert len(set().union(*keys)) == sum(map(len, keys))
+
+
+def test_plans_of_splits_stay_small(spark):
+    frames = [spark.createDataFrame(money_rows(s, 20, 0), MONEY_ROW) for s in (1, 2)]
+    assert len(splits.split_candidates(*frames, 3, 5)._jdf.queryExecution().toString()) < 30_000
